@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +15,7 @@ QUARTILE_NAMES = ("p25", "p50", "p75")
 SKETCH_ACCURACY = 10_000
 SLACK = 2.0 / SKETCH_ACCURACY
 # rows that a search may group by value at its end
-EXACT_ROWS = 1_000_000
+EXACT_ROWS = 50_000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -51,28 +51,50 @@ def _long(wide: DataFrame, columns: Sequence[str], measures: Sequence[str]) -> D
     return wide.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
 
 
+def _unrolled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row ``(no, value)`` per row and column.
+
+    Feeds aggregations over many columns. The unrolled rows are combined in the same stage; one
+    aggregate per column and measure instead would make generated code too long to be compiled.
+    """
+    entries = [
+        F.struct(F.lit(i).alias("no"), F.col(c).cast("double").alias("value"))
+        for i, c in enumerate(columns)
+    ]
+    return df.select(F.inline(F.array(*entries)))
+
+
+def _named(columns: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("no") + 1)
+
+
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, n, mean, stddev, min, max)`` with numbers as numbers, for all columns in one job."""
     columns = list(columns or numeric_columns(df))
-    aggregates = []
-    for i, name in enumerate(columns):
-        value = F.col(name).cast("double")
-        aggregates += [
-            F.count(name).alias(f"n_{i}"),
-            F.avg(value).alias(f"mean_{i}"),
-            F.stddev_samp(value).alias(f"stddev_{i}"),
-            F.min(value).alias(f"min_{i}"),
-            F.max(value).alias(f"max_{i}"),
-        ]
-    return _long(df.agg(*aggregates), columns, ["n", "mean", "stddev", "min", "max"])
+    # a null per column, so that a column of an empty table still gets its row
+    blank = df.sparkSession.range(len(columns)).select(
+        F.col("id").cast("int").alias("no"), F.lit(None).cast("double").alias("value")
+    )
+    return (
+        _unrolled(df, columns)
+        .unionAll(blank)
+        .groupBy("no")
+        .agg(
+            F.count("value").alias("n"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("stddev"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+        )
+        .select(_named(columns).alias("column"), "n", "mean", "stddev", "min", "max")
+    )
 
 
 @dataclass
 class _Search:
-    """Search for the ``rank``-th smallest value strictly between ``low`` and ``high``."""
+    """Search for the ``rank``-th smallest of the ``rows`` values strictly between ``low`` and ``high``."""
 
-    tag: int
-    column: str
+    no: int
     share: float
     rank: int
     weight: float
@@ -83,77 +105,132 @@ class _Search:
     following: float | None = None
 
     @classmethod
-    def start(cls, tag: int, column: str, share: float, n: int) -> _Search:
+    def start(cls, no: int, share: float, n: int) -> _Search:
         place = share * (n - 1)
-        return cls(tag, column, share, int(place) + 1, place - int(place), n)
-
-    def inside(self) -> Column:
-        keep = F.col(self.column).isNotNull()
-        if self.low is not None:
-            keep = keep & (F.col(self.column) > self.low)
-        if self.high is not None:
-            keep = keep & (F.col(self.column) < self.high)
-        return keep
-
-    def counts(self, a: float, b: float) -> list[Column]:
-        """Rows before, on, between, on and behind two values of the range."""
-        value, inside = F.col(self.column), self.inside()
-        pieces = [value < a, value == a, (value > a) & (value < b), (value == b) & F.lit(b > a)]
-        return [F.count_if(inside & p).alias(f"c{self.tag}_{i}") for i, p in enumerate(pieces)]
-
-    def settle(self, a: float, b: float, counted: Sequence[int]) -> None:
-        """Keep the piece that holds the rank. A value that many rows share is a piece of its own."""
-        pieces = [(self.low, a), (a, a), (a, b), (b, b), (b, self.high)]
-        for (low, high), rows in zip(pieces, (*counted, self.rows - sum(counted))):
+        return cls(no, share, int(place) + 1, place - int(place), n)
+
+    @property
+    def range(self) -> tuple[int, float | None, float | None]:
+        return self.no, self.low, self.high
+
+    def settle(self, points: Sequence[float], counted: Mapping[int, int]) -> None:
+        """Keep the piece that holds the rank. ``counted`` has the rows of piece 2i + 1 on point i
+        and of the even pieces in between. A value that many rows share is a piece of its own."""
+        ends = [self.low, *points, self.high]
+        for piece in range(2 * len(points) + 1):
+            rows = counted.get(piece, 0)
             if self.rank <= rows:
                 break
             self.rank -= rows
         self.rows = rows
-        if low is not None and low == high:
-            self.value = low
-            self.following = low if self.rank < rows else None
+        if piece % 2:
+            self.value = points[piece // 2]
+            self.following = self.value if self.rank < rows else None
         else:
-            self.low, self.high = low, high
+            self.low, self.high = ends[piece // 2], ends[piece // 2 + 1]
 
 
-def _sketched(numbers: DataFrame, searches: Sequence[_Search]) -> dict[int, tuple[float, float]]:
-    """Two values of each range that should lie around the wanted one (one job)."""
-    guesses = []
+def _inside(value: Column, low: float | None, high: float | None) -> Column:
+    keep = value.isNotNull()
+    if low is not None:
+        keep = keep & (value > low)
+    if high is not None:
+        keep = keep & (value < high)
+    return keep
+
+
+def _by_range(searches: Sequence[_Search]) -> list[tuple[tuple, list[_Search]]]:
+    grouped: dict[tuple, list[_Search]] = {}
     for s in searches:
-        share = (s.rank - 0.5) / s.rows
-        spots = [max(0.0, share - SLACK), min(1.0, share + SLACK)]
-        inside = F.when(s.inside(), F.col(s.column))
-        guesses.append(F.percentile_approx(inside, spots, SKETCH_ACCURACY).alias(f"g{s.tag}"))
-    row = numbers.agg(*guesses).first()
-    return {s.tag: tuple(row[f"g{s.tag}"]) for s in searches}
+        grouped.setdefault(s.range, []).append(s)
+    return list(grouped.items())
+
+
+def _ranged(numbers: DataFrame, ranges: Sequence[tuple], payload) -> DataFrame:
+    """One row ``(at, …payload)`` per row and range that holds its value."""
+    entries = []
+    for at, (no, low, high) in enumerate(ranges):
+        value = F.col(numbers.columns[no])
+        entry = F.struct(F.lit(at).alias("at"), payload(at, value))
+        entries.append(F.when(_inside(value, low, high), entry))
+    return numbers.select(F.inline(F.array_compact(F.array(*entries))))
+
+
+def _piece(value: Column, points: Sequence[float]) -> Column:
+    """2i + 1 on point i, even numbers in between, by a balanced tree of comparisons."""
+
+    def branch(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(2 * a)
+        m = (a + b) // 2
+        return (
+            F.when(value < points[m], branch(a, m))
+            .when(value == points[m], F.lit(2 * m + 1))
+            .otherwise(branch(m + 1, b))
+        )
+
+    return branch(0, len(points))
+
+
+def _narrow(numbers: DataFrame, searches: Sequence[_Search]) -> None:
+    """Two jobs: a sketch proposes two values around each wanted rank, counts decide where it is."""
+    groups = _by_range(searches)
+    sketches = []
+    for at, ((no, low, high), members) in enumerate(groups):
+        value = F.col(numbers.columns[no])
+        middles = [(s.rank - 0.5) / s.rows for s in members]
+        spots = [x for m in middles for x in (max(0.0, m - SLACK), min(1.0, m + SLACK))]
+        inside = F.when(_inside(value, low, high), value)
+        sketches.append(F.percentile_approx(inside, spots, SKETCH_ACCURACY).alias(f"g{at}"))
+    row = numbers.agg(*sketches).first()
+    points = [sorted(set(row[f"g{at}"])) for at in range(len(groups))]
+    counted: dict[int, dict[int, int]] = {at: {} for at in range(len(groups))}
+    pieces = _ranged(
+        numbers,
+        [key for key, _ in groups],
+        lambda at, value: _piece(value, points[at]).alias("piece"),
+    )
+    for r in pieces.groupBy("at", "piece").count().collect():
+        counted[r["at"]][r["piece"]] = r["count"]
+    for at, (_, members) in enumerate(groups):
+        for s in members:
+            s.settle(points[at], counted[at])
 
 
 def _look_up(numbers: DataFrame, searches: Sequence[_Search]) -> None:
     """Find the values by rank among the rows of the ranges, grouped by value first."""
-    entries = [
-        F.when(s.inside(), F.struct(F.lit(s.tag).alias("tag"), F.col(s.column).alias("value")))
-        for s in searches
+    groups = _by_range(searches)
+    wanted = [
+        (at, j, s.rank) for at, (_, members) in enumerate(groups) for j, s in enumerate(members)
     ]
-    ranks = F.create_map(*[F.lit(x) for s in searches for x in (s.tag, s.rank)])
-    ordered = Window.partitionBy("tag").orderBy("value")
+    ranks = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(w, ("at", "j", "rank"))]) for w in wanted])
+    ordered = Window.partitionBy("at").orderBy("value")
     found = (
-        numbers.select(F.explode(F.array_compact(F.array(*entries))).alias("_e"))
-        .groupBy("_e.tag", "_e.value")
+        _ranged(numbers, [key for key, _ in groups], lambda at, value: value.alias("value"))
+        .groupBy("at", "value")
         .agg(F.count("*").alias("rows"))
         .select(
-            "tag",
+            "at",
             "value",
             "rows",
             F.sum("rows").over(ordered).alias("upto"),
             F.lead("value").over(ordered).alias("next"),
-            ranks[F.col("tag")].alias("rank"),
         )
-        .filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("rows") < F.col("rank")))
+        .select(
+            "*",
+            F.explode(
+                F.filter(
+                    ranks,
+                    lambda w: (w["at"] == F.col("at"))
+                    & (w["rank"] <= F.col("upto"))
+                    & (w["rank"] > F.col("upto") - F.col("rows")),
+                )
+            ).alias("w"),
+        )
         .collect()
     )
-    by_tag = {row["tag"]: row for row in found}
-    for s in searches:
-        row = by_tag[s.tag]
+    for row in found:
+        s = groups[row["at"]][1][row["w"]["j"]]
         s.value = row["value"]
         s.following = row["value"] if s.rank < row["upto"] else row["next"]
 
@@ -162,12 +239,14 @@ def _successors(numbers: DataFrame, searches: Sequence[_Search]) -> None:
     """Next larger value of the whole column where it lies outside the searched range."""
     row = numbers.agg(
         *[
-            F.min(F.when(F.col(s.column) > s.value, F.col(s.column))).alias(f"s{s.tag}")
-            for s in searches
+            F.min(F.when(F.col(numbers.columns[s.no]) > s.value, F.col(numbers.columns[s.no]))).alias(
+                f"s{i}"
+            )
+            for i, s in enumerate(searches)
         ]
     ).first()
-    for s in searches:
-        s.following = row[f"s{s.tag}"]
+    for i, s in enumerate(searches):
+        s.following = row[f"s{i}"]
 
 
 def percentiles(
@@ -188,17 +267,14 @@ def percentiles(
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     sizes = numbers.agg(*[F.count(c).alias(c) for c in columns]).first()
     searches = [
-        _Search.start(i * len(shares) + j, c, float(share), sizes[c])
-        for i, c in enumerate(columns)
-        for j, share in enumerate(shares)
-        if sizes[c]
+        _Search.start(no, float(share), sizes[no])
+        for no in range(len(columns))
+        for share in shares
+        if sizes[no]
     ]
     wide = [s for s in searches if s.rows > exact_rows]
     while wide:
-        guesses = _sketched(numbers, wide)
-        row = numbers.agg(*[c for s in wide for c in s.counts(*guesses[s.tag])]).first()
-        for s in wide:
-            s.settle(*guesses[s.tag], [row[f"c{s.tag}_{i}"] for i in range(4)])
+        _narrow(numbers, wide)
         wide = [s for s in wide if s.value is None and s.rows > exact_rows]
     narrow = [s for s in searches if s.value is None]
     if narrow:
@@ -207,7 +283,7 @@ def percentiles(
     if open_ended:
         _successors(numbers, open_ended)
     rows = [
-        (s.column, s.share, s.value + (s.weight * (s.following - s.value) if s.weight else 0.0))
+        (columns[s.no], s.share, s.value + (s.weight * (s.following - s.value) if s.weight else 0.0))
         for s in searches
     ]
     return df.sparkSession.createDataFrame(rows, "column string, share double, value double")
