@@ -68,10 +68,13 @@ def align_calendar(df: DataFrame, line: Timeline = DAILY) -> DataFrame:
     Steps without a row get nulls. ``line.order`` must already stand on whole steps. Each series is
     first unrolled into buckets and these, once spread over the cluster, into steps.
     """
-    kind = dict(df.dtypes)[line.order]
-    seconds = 86_400 // STEPS_PER_DAY[line.grain]
-    every = f"interval {seconds} seconds" if line.grain != "day" else "interval 1 day"
-    stride = f"interval {seconds * line.width} seconds" if line.grain != "day" else f"interval {line.width} days"
+    minutes = 1440 // STEPS_PER_DAY[line.grain]
+    every = "interval 1 day" if line.grain == "day" else f"interval {minutes} minutes"
+    stride = (
+        f"interval {line.width} days"
+        if line.grain == "day"
+        else f"interval {minutes * line.width} minutes"
+    )
     spans = df.groupBy(*line.by).agg(F.min(line.order).alias("_a"), F.max(line.order).alias("_z"))
     starts = spans.select(
         *line.by, "_z", F.explode(F.expr(f"sequence(_a, _z, {stride})")).alias("_start")
@@ -80,6 +83,6 @@ def align_calendar(df: DataFrame, line: Timeline = DAILY) -> DataFrame:
         *line.by,
         F.explode(
             F.expr(f"sequence(_start, least(_z, _start + {stride} - {every}), {every})")
-        ).cast(kind).alias(line.order),
+        ).alias(line.order),
     )
     return steps.join(df, [*line.by, line.order], "left").select(*df.columns)

@@ -142,7 +142,7 @@ def cv_trials(fitted: CrossValidatorModel, train: DataFrame, metric: str = "rmse
     """``(trial, params, avg_metric, std_metric, chosen)`` of a cross-validation."""
     best = better(metric)(fitted.avgMetrics)
     rows = [
-        (i, named(params), float(mean), float(std), mean == best)
+        (i, named(params), float(mean), float(std), bool(mean == best))
         for i, (params, mean, std) in enumerate(
             zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics, fitted.stdMetrics)
         )
