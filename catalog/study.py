@@ -21,7 +21,7 @@ from tsreg.functions import columns
 from tsreg.functions.columns import feature_columns, label_and_features
 from tsreg.operators import clean, ordering, profile, relations, timeline
 from tsreg.sources.bars import read_bars, write_bars_csv
-from tsreg.sources.stage import fresh_path
+from tsreg.sources.stage import fresh_path, stage
 
 NUMBERS = [
     "l_quantity",
@@ -203,7 +203,8 @@ SELECT symbol, ts, last_value(value IGNORE NULLS) OVER (PARTITION BY symbol ORDE
          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value, n_events FROM aligned"""
 )
 def forward_fill(spark, sf_dir):
-    return timeline.forward_fill(clean.align_calendar(hourly(spark, sf_dir), HOURLY), ["value"], HOURLY)
+    aligned = stage(clean.align_calendar(hourly(spark, sf_dir), HOURLY), "aligned")
+    return timeline.forward_fill(aligned, ["value"], HOURLY)
 
 
 @query(

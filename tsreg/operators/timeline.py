@@ -47,15 +47,22 @@ class Timeline:
     def bucketed(self, df: DataFrame) -> DataFrame:
         """``df`` with its bucket number; a null key fails the job instead of losing the row.
 
-        The carried tables are joined from the left for that: an inner join would let the optimizer
-        filter null keys out before this check sees them.
+        The check also tells the optimizer that the series columns hold no nulls. Without it, the
+        join with the carried table would add null filters to one of two otherwise equal shuffles,
+        and Spark could not run them once for both.
         """
-        missing = F.lit(False)
-        for name in (*self.by, self.order):
-            missing = missing | F.col(name).isNull()
-        bucket = F.floor(self.step() / self.width)
         message = F.lit(f"null in key column {(*self.by, self.order)}")
-        return df.withColumn("_bucket", F.when(missing, F.raise_error(message)).otherwise(bucket))
+
+        def checked(value: Column, instead: Column) -> Column:
+            return F.coalesce(F.when(value.isNull(), F.raise_error(message)).otherwise(value), instead)
+
+        series = {
+            name: checked(F.col(name), F.lit("" if kind == "string" else 0).cast(kind))
+            for name, kind in df.select(*self.by).dtypes
+            if kind in ("string", "int", "bigint", "smallint")
+        }
+        bucket = F.floor(self.step() / self.width)
+        return df.withColumns({**series, "_bucket": checked(bucket, F.lit(0).cast("bigint"))})
 
     @property
     def cell(self) -> tuple[str, ...]:
