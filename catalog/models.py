@@ -143,7 +143,7 @@ def cv_avg_metrics(spark, sf_dir):
     train, _ = _parts(spark, sf_dir)
     model = tune.linear()
     grid = tune.param_maps(model, {"regParam": [0.01, 1.0], "elasticNetParam": [0.0, 1.0]})
-    return tune.cv_trials(tune.cross_validate(train, model, grid, folds=3), train)
+    return tune.mean_metrics(tune.cross_validate(train, model, grid, folds=3))
 
 
 @query(

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from helpers import DAY0
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from tsreg.functions import features, metrics
@@ -119,14 +120,21 @@ def test_best_of_a_grid_by_direction(parts):
     assert rows[1, "train", "rmse"] == pytest.approx(want)
 
 
-def test_cross_validation_repeats_under_other_partitioning(parts):
+def test_cross_validation_equals_spark_on_the_same_folds(parts):
     model = tune.tree(maxDepth=2)
     grid = tune.param_maps(model, {"maxDepth": [1, 3]})
     a = tune.cross_validate(parts[0], model, grid, folds=3)
     b = tune.cross_validate(parts[0].repartition(5), model, grid, folds=3)
-    assert a.avgMetrics == pytest.approx(b.avgMetrics)
-    trials = tune.cv_trials(a, parts[0]).collect()
-    assert [r["trial"] for r in trials if r["chosen"]] == [a.avgMetrics.index(min(a.avgMetrics))]
+    rows = tune.mean_metrics(a).orderBy("trial").collect()
+    again = tune.mean_metrics(b).orderBy("trial").collect()
+    folded = ordering.fold_column(parts[0], ["date", "symbol"], 3)
+    want = CrossValidator(
+        estimator=model, estimatorParamMaps=grid, evaluator=tune.evaluator(), numFolds=3, foldCol="fold"
+    ).fit(folded)
+    for found in (rows, again):
+        assert [r["avg_metric"] for r in found] == pytest.approx(want.avgMetrics)
+        assert [r["chosen"] for r in found] == [m == min(want.avgMetrics) for m in want.avgMetrics]
+    assert a.model.getMaxDepth() == want.bestModel.getMaxDepth() == int(a.params["maxDepth"])
 
 
 def test_rolling_origin_never_trains_on_later_days(parts, monkeypatch):

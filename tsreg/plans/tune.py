@@ -10,8 +10,7 @@ from typing import NamedTuple
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsreg.functions.features import build_pipeline, check_vocabulary
@@ -115,6 +114,36 @@ def grid_search(
     return Tried(models[best], named(grid[best]), trials)
 
 
+def _validated(
+    table: DataFrame,
+    splits: Sequence[tuple[int, Column, Column]],
+    estimator: Estimator,
+    grid: Sequence[dict],
+    metric: str,
+    label: str,
+) -> Tried:
+    """Fit every combination on each ``(fold, train filter, validation filter)``, several at a time,
+    and refit the one with the best mean on the whole table."""
+
+    def run(job: tuple[int, tuple[int, Column, Column]]) -> tuple:
+        trial, (fold, seen, held) = job
+        model = estimator.fit(table.filter(seen), grid[trial])
+        found = measures(model.transform(table.filter(held)), label)
+        return trial, named(grid[trial]), fold, found[metric]
+
+    jobs = [(trial, split) for trial in range(len(grid)) for split in splits]
+    with ThreadPool(min(PARALLELISM, len(jobs))) as pool:
+        rows = pool.map(run, jobs, chunksize=1)
+    means = {
+        trial: sum(r[3] for r in rows if r[0] == trial) / len(splits) for trial in range(len(grid))
+    }
+    best = better(metric)(sorted(means), key=means.__getitem__)
+    trials = table.sparkSession.createDataFrame(
+        rows, "trial int, params map<string,string>, fold int, metric double"
+    )
+    return Tried(estimator.fit(table, grid[best]), named(grid[best]), trials)
+
+
 def cross_validate(
     train: DataFrame,
     estimator: Estimator,
@@ -124,33 +153,31 @@ def cross_validate(
     label: str = "label",
     keys: Sequence[str] = TIME_ORDER,
     seed: int = SEED,
-) -> CrossValidatorModel:
-    """k-fold choice with folds drawn from the hash of the key: repeatable under any partitioning."""
-    folded = stage(fold_column(train, keys, folds, seed), "cv-train")
-    return CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=list(grid),
-        evaluator=evaluator(metric, label),
-        numFolds=folds,
-        foldCol="fold",
-        seed=seed,
-        parallelism=PARALLELISM,
-    ).fit(folded)
-
-
-def cv_trials(fitted: CrossValidatorModel, train: DataFrame, metric: str = "rmse") -> DataFrame:
-    """``(trial, params, avg_metric, std_metric, chosen)`` of a cross-validation."""
-    best = better(metric)(fitted.avgMetrics)
-    rows = [
-        (i, named(params), float(mean), float(std), bool(mean == best))
-        for i, (params, mean, std) in enumerate(
-            zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics, fitted.stdMetrics)
-        )
-    ]
-    return train.sparkSession.createDataFrame(
-        rows,
-        "trial int, params map<string,string>, avg_metric double, std_metric double, chosen boolean",
+) -> Tried:
+    """k-fold choice with folds drawn from the hash of the key: repeatable under any partitioning.
+
+    Gives what ``CrossValidator`` gives on the same fold column, whose check of that column is a
+    Python function called on every row of every fold; here folds are plain filters.
+    """
+    if folds < 2:
+        raise ValueError("cross-validation needs 2 or more folds")
+    table = stage(fold_column(train, keys, folds, seed), "cv-train")
+    in_fold = F.col("fold")
+    splits = [(i, in_fold != i, in_fold == i) for i in range(folds)]
+    return _validated(table, splits, estimator, grid, metric, label)
+
+
+def mean_metrics(tried: Tried, metric: str = "rmse") -> DataFrame:
+    """``(trial, params, avg_metric, std_metric, chosen)``: folds of each combination together."""
+    summed = tried.trials.groupBy("trial").agg(
+        F.first("params").alias("params"),
+        F.avg("metric").alias("avg_metric"),
+        F.stddev_samp("metric").alias("std_metric"),
     )
+    rank = F.col("avg_metric").desc() if better(metric) is max else F.col("avg_metric").asc()
+    # one row per combination: the window holds the grid, not the data
+    place = F.row_number().over(Window.orderBy(rank, "trial"))
+    return summed.withColumn("chosen", place == 1)
 
 
 def rolling_origin(
@@ -162,30 +189,14 @@ def rolling_origin(
     label: str = "label",
 ) -> Tried:
     """Time-ordered validation: fold i trains on all days up to its cut and scores the block after
-    it, so no model sees rows later than those it is judged on. The best mean wins and is refitted."""
+    it, so no model sees rows later than those it is judged on."""
     table = stage(train, "origin-train")
-    cuts = sorted(rolling_origin_folds(table, folds).collect(), key=lambda r: r["fold"])
-
-    def run(job: tuple[int, dict, object]) -> tuple:
-        trial, params, cut = job
-        past = table.filter(F.col("date") <= F.lit(cut["train_end"]))
-        block = table.filter(
-            (F.col("date") > F.lit(cut["train_end"])) & (F.col("date") <= F.lit(cut["valid_end"]))
-        )
-        found = measures(estimator.fit(past, params).transform(block), label)
-        return trial, named(params), int(cut["fold"]), found[metric]
-
-    jobs = [(i, params, cut) for i, params in enumerate(grid) for cut in cuts]
-    with ThreadPool(PARALLELISM) as pool:
-        rows = pool.map(run, jobs, chunksize=1)
-    means = {
-        i: sum(r[3] for r in rows if r[0] == i) / len(cuts) for i in range(len(grid))
-    }
-    best = better(metric)(sorted(means), key=means.__getitem__)
-    trials = train.sparkSession.createDataFrame(
-        rows, "trial int, params map<string,string>, fold int, metric double"
-    )
-    return Tried(estimator.fit(table, grid[best]), named(grid[best]), trials)
+    day = F.col("date")
+    splits = [
+        (int(c["fold"]), day <= c["train_end"], (day > c["train_end"]) & (day <= c["valid_end"]))
+        for c in rolling_origin_folds(table, folds).orderBy("fold").collect()
+    ]
+    return _validated(table, splits, estimator, grid, metric, label)
 
 
 class Trained(NamedTuple):
@@ -219,9 +230,9 @@ def train_and_evaluate(
         train, pipeline, param_maps(pipeline.getStages()[-1], grid), folds, metric, target, keys, seed
     )
     rows = [
-        (split, m, value)
-        for split, part in (("train", train), ("test", test))
-        for m, value in measures(fitted.bestModel.transform(part), target).items()
+        (name, m, value)
+        for name, part in (("train", train), ("test", test))
+        for m, value in measures(fitted.model.transform(part), target).items()
     ]
     metrics = df.sparkSession.createDataFrame(rows, "split string, metric string, value double")
-    return Trained(fitted.bestModel, metrics)
+    return Trained(fitted.model, metrics)
