@@ -148,12 +148,15 @@ def _by_range(searches: Sequence[_Search]) -> list[tuple[tuple, list[_Search]]]:
 
 def _ranged(numbers: DataFrame, ranges: Sequence[tuple], payload) -> DataFrame:
     """One row ``(at, …payload)`` per row and range that holds its value."""
-    entries = []
+    entries, anywhere = [], F.lit(False)
     for at, (no, low, high) in enumerate(ranges):
         value = F.col(numbers.columns[no])
-        entry = F.struct(F.lit(at).alias("at"), payload(at, value))
-        entries.append(F.when(_inside(value, low, high), entry))
-    return numbers.select(F.inline(F.array_compact(F.array(*entries))))
+        inside = _inside(value, low, high)
+        entries.append(F.when(inside, F.struct(F.lit(at).alias("at"), payload(at, value))))
+        anywhere = anywhere | inside
+    # late ranges are narrow: most rows leave before they are unrolled
+    rows = numbers.filter(anywhere).select(F.inline(F.array(*entries)))
+    return rows.filter(F.col("at").isNotNull())
 
 
 def _piece(value: Column, points: Sequence[float]) -> Column:
