@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.network_sql import network_sql
 from catalog.tables import BARS, RANKED, bar_table, query, table
 from tsreg.functions.features import build_pipeline
 from tsreg.functions.network import Sizes
 from tsreg.operators.ordering import chrono_split
 from tsreg.plans import sequence, serve, tune
-from tsreg.sources.stage import fresh_path
+from tsreg.sources.stage import fresh_path, stage
 
 # Small layers and few steps: the full ones take minutes, and check nothing more.
 SMALL = Sizes(hidden=(8, 6, 4), dense=4)
@@ -225,12 +226,68 @@ def backtest_metrics_by_symbol_horizon(spark, sf_dir):
     return found.filter(F.col("metric").isin("rmse", "mae")).withColumn("value", F.round("value", 2))
 
 
-@query()
+@query(
+    f"""WITH {BARS}, {RANKED},
+moved AS (SELECT symbol, date, rn, total, close, lag(open) OVER (PARTITION BY symbol ORDER BY date) AS x
+          FROM ranked),
+rows AS (SELECT *, row_number() OVER (ORDER BY rn) AS no, count(*) OVER () AS n FROM moved WHERE x IS NOT NULL),
+fit AS (SELECT regr_slope(close, x) AS b, regr_intercept(close, x) AS a FROM rows WHERE no <= n * 80 // 100)
+SELECT symbol, date, close AS label, round(a + b * x, 4) AS prediction FROM rows, fit
+WHERE no > n * 80 // 100"""
+)
+def lead_day_forecast(spark, sf_dir):
+    """Tomorrow's close from today's open."""
+    rows = stage(serve.with_lead(bar_table(spark, sf_dir), 1, ["open"]), "lead")
+    train, test = chrono_split(rows)
+    model = tune.linear().fit(serve.labelled(train, ["open"]))
+    return _plain(model.transform(serve.labelled(test, ["open"])))
+
+
+TINY, STEPS = Sizes(hidden=(2, 2, 2), dense=2), 3
+SCALED = f"""{BARS}, {RANKED},
+edge AS (SELECT min(close) AS lo, max(close) AS hi FROM ranked WHERE rn <= total * 80 // 100),
+scaled AS (SELECT symbol, date, close, lo, hi, rn > total * 80 // 100 AS held_out,
+                  (close - lo) / (hi - lo) AS v FROM ranked, edge),
+steps AS (SELECT * FROM (
+  SELECT *, {', '.join(f'lag(v, {STEPS - t}) OVER w AS x{t}' for t in range(STEPS))}
+  FROM scaled WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE x0 IS NOT NULL)"""
+NETWORK = f"{SCALED}, {network_sql(TINY, TINY.initial(), STEPS, 'steps')}"
+
+
+@query(
+    f"""WITH {NETWORK}
+SELECT symbol, date, close AS label, round(network_output * (hi - lo) + lo, 4) AS prediction, held_out
+FROM network"""
+)
 def seq_score(spark, sf_dir):
+    """Saved and loaded weights over every window, in double precision for the comparison."""
+    prepared = sequence.prepare(bar_table(spark, sf_dir), STEPS)
+    path = fresh_path(spark, "weights")
+    sequence.save_weights(sequence.Weights(TINY, TINY.initial()), spark, path)
+    weights = serve.load_model("sequence", path)
+    found = sequence.predictions(prepared.samples, prepared.scaler, weights, "float64")
+    return found.withColumns({c: F.round(c, 4) for c in ("label", "prediction")})
+
+
+@query(
+    f"""WITH {NETWORK}
+SELECT 1 AS epoch, round(avg((network_output - v) ** 2) FILTER (WHERE NOT held_out), 9) AS train_loss,
+       round(avg((network_output - v) ** 2) FILTER (WHERE held_out), 9) AS valid_loss FROM network"""
+)
+def seq_first_loss(spark, sf_dir):
+    """One full-batch epoch: its losses are those of the start weights."""
+    prepared = sequence.prepare(bar_table(spark, sf_dir), STEPS)
+    losses = sequence.fit(prepared.samples, TINY, epochs=1).losses
+    return losses.withColumns({c: F.round(c, 9) for c in ("train_loss", "valid_loss")})
+
+
+@query()
+def seq_score_full_layers(spark, sf_dir):
     """Network with the full layer sizes over every window of the bars."""
     prepared = sequence.prepare(bar_table(spark, sf_dir), 5)
     sizes = Sizes()
-    return sequence.predictions(prepared, sequence.Weights(sizes, sizes.initial()))
+    weights = sequence.Weights(sizes, sizes.initial())
+    return sequence.predictions(prepared.samples, prepared.scaler, weights)
 
 
 @query()
@@ -239,6 +296,16 @@ def seq_train_loss(spark, sf_dir):
     return sequence.fit(prepared.samples, SMALL, epochs=3, rate=0.01).losses
 
 
+@query()
+def seq_backtest(spark, sf_dir):
+    """Train briefly, then the measures of the first 30 test days of each series."""
+    rows = bar_table(spark, sf_dir)
+    prepared = sequence.prepare(rows, 5)
+    weights = sequence.fit(prepared.samples, SMALL, epochs=2, rate=0.01).weights
+    test = chrono_split(rows).test
+    return serve.backtest_sequence(test, prepared.scaler, weights, 5, 30).metrics
+
+
 def flagship(spark, sf_dir):
     """Bars, split by time, linear fit, back-test of the first 30 test days."""
     return backtest_predictions(spark, sf_dir)

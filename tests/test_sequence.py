@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -6,7 +7,9 @@ from helpers import DAY0
 from pyspark.sql import functions as F
 
 from tsreg.functions.network import Sizes, loss_and_gradient
+from tsreg.operators import ordering
 from tsreg.plans import sequence as sq
+from tsreg.plans import serve
 from tsreg.sources.stage import fresh_path
 
 SIZES = Sizes(hidden=(6, 5, 4), dense=4)
@@ -63,8 +66,35 @@ def test_weights_round_trip_and_predictions(spark, prepared, waves):
     sq.save_weights(weights, spark, path)
     back = sq.load_weights(spark, path)
     assert back.sizes == SIZES and np.array_equal(back.flat, weights.flat)
-    a = sq.predictions(prepared, weights).orderBy("symbol", "date").collect()
-    b = sq.predictions(prepared, back).orderBy("symbol", "date").collect()
+    a = sq.predictions(prepared.samples, prepared.scaler, weights).orderBy("symbol", "date").collect()
+    b = sq.predictions(prepared.samples, prepared.scaler, back).orderBy("symbol", "date").collect()
     assert a == b
     closes = {(r["symbol"], r["date"]): r["close"] for r in waves.collect()}
     assert all(r["label"] == pytest.approx(closes[r["symbol"], r["date"]]) for r in a)
+
+
+def test_restarted_windows_leave_out_the_first_test_days(waves, prepared):
+    again = sq.prepare(waves, 6, restart=True).samples
+    assert again.filter("NOT held_out").count() == prepared.samples.filter("NOT held_out").count()
+    assert again.filter("held_out").count() == prepared.samples.filter("held_out").count() - 12
+
+
+def test_backtest_is_dated_by_the_predicted_day(waves, prepared):
+    test = ordering.chrono_split(waves).test
+    found = serve.backtest_sequence(test, prepared.scaler, sq.Weights(SIZES, SIZES.initial(9)), 6, 7)
+    rows = found.predictions.collect()
+    closes = {(r["symbol"], r["date"]): r["close"] for r in test.collect()}
+    first = min(d for _, d in closes)
+    assert len(rows) == 14 and min(r["date"] for r in rows) >= first + dt.timedelta(days=6)
+    assert all(r["label"] == pytest.approx(closes[r["symbol"], r["date"]]) for r in rows)
+    assert {r["metric"] for r in found.metrics.collect()} == {"mse", "rmse", "mae", "r2", "mape"}
+
+
+def test_lead_days(waves):
+    bars = waves.withColumn("open", F.col("close") + 1)
+    ahead = {(r["symbol"], r["date"]): r for r in serve.with_lead(bars, 2, ["open"]).collect()}
+    own = {(r["symbol"], r["date"]): r for r in bars.collect()}
+    assert len(ahead) == len(own) - 4 and serve.with_lead(bars, 0) is bars
+    for (name, day), row in ahead.items():
+        assert row["open"] == own[name, day - dt.timedelta(days=2)]["open"]
+        assert row["close"] == own[name, day]["close"]

@@ -73,21 +73,24 @@ def load_weights(spark: SparkSession, path: str) -> Weights:
     return Weights(sizes, flat)
 
 
-def _matrix(x: pd.Series, dtype: type = np.float64) -> np.ndarray:
+def _matrix(x: pd.Series, dtype: np.dtype | type = np.float64) -> np.ndarray:
     """Arrays of one Arrow batch as (rows, steps, 1)."""
     return np.stack(x.to_numpy()).astype(dtype)[:, :, None]
 
 
-def score(samples: DataFrame, weights: Weights, output: str = "prediction") -> DataFrame:
-    """``samples`` with the network's value for each sequence ``x``, computed in single precision."""
-    shared = samples.sparkSession.sparkContext.broadcast(weights.flat.astype(np.float32))
+def score(
+    samples: DataFrame, weights: Weights, output: str = "prediction", precision: str = "float32"
+) -> DataFrame:
+    """``samples`` with the network's value for each sequence ``x``."""
+    dtype = np.dtype(precision)
+    shared = samples.sparkSession.sparkContext.broadcast(weights.flat.astype(dtype))
     sizes = weights.sizes
 
     @F.pandas_udf("double")
     def forward(x: pd.Series) -> pd.Series:
         if x.empty:
             return pd.Series([], dtype="float64")
-        return pd.Series(network.predict(sizes, shared.value, _matrix(x, np.float32)).astype("float64"))
+        return pd.Series(network.predict(sizes, shared.value, _matrix(x, dtype)).astype("float64"))
 
     return samples.withColumn(output, forward("x"))
 
@@ -198,10 +201,12 @@ def prepare(
     numerator: int = 80,
     denominator: int = 100,
     line: Timeline = DAILY,
+    restart: bool = False,
 ) -> Prepared:
     """Cut by time, scale by the bounds of the train part, build windows over the whole series.
 
     Windows of the first test days reach back into the train part, so no day goes without a sample.
+    With ``restart`` they start anew in the test part, whose first ``length`` days then have none.
     """
     order = (line.order, *line.by)
     cut = time_cut(bars, numerator, denominator, order)
@@ -209,14 +214,34 @@ def prepare(
         raise ValueError("too few rows to train on")
     scaler = fit_scaler(bars.filter(up_to(order, cut)), [value], "minmax")
     scaled = scaled_columns(scaler, bars.select(*line.by, line.order, value), ["scaled_value"])
-    samples = sequence_samples(scaled, "scaled_value", length, line)
+    if restart:
+        parts = (scaled.filter(up_to(order, cut)), scaled.filter(after(order, cut)))
+        train, test = (sequence_samples(p, "scaled_value", length, line) for p in parts)
+        samples = train.unionAll(test)
+    else:
+        samples = sequence_samples(scaled, "scaled_value", length, line)
     return Prepared(samples.withColumn("held_out", after(order, cut)), scaler)
 
 
-def predictions(prepared: Prepared, weights: Weights) -> DataFrame:
-    """``(symbol, date, label, prediction, held_out)`` in original units, dated by the target day."""
-    scored = score(prepared.samples, weights, "scaled_prediction")
-    priced = inverse_scaled(prepared.scaler, scored, "scaled_prediction", "prediction")
-    return inverse_scaled(prepared.scaler, priced, "y", "label").select(
-        "symbol", "date", "label", "prediction", "held_out"
-    )
+def serving_samples(
+    bars: DataFrame,
+    scaler: PipelineModel,
+    length: int,
+    n: int,
+    value: str = "close",
+    line: Timeline = DAILY,
+) -> DataFrame:
+    """The first ``n`` samples of each series of a table to serve, scaled by a fitted scaler."""
+    scaled = scaled_columns(scaler, bars.select(*line.by, line.order, value), ["scaled_value"])
+    return sequence_samples(scaled, "scaled_value", length, line, cap=n)
+
+
+def predictions(
+    samples: DataFrame, scaler: PipelineModel, weights: Weights, precision: str = "float32"
+) -> DataFrame:
+    """``symbol, date, label, prediction`` (and ``held_out``, if the samples have it) in original
+    units, dated by the target day."""
+    scored = score(samples, weights, "scaled_prediction", precision)
+    priced = inverse_scaled(scaler, scored, "scaled_prediction", "prediction")
+    kept = ["symbol", "date", "label", "prediction", *({"held_out"} & set(samples.columns))]
+    return inverse_scaled(scaler, priced, "y", "label").select(*kept)

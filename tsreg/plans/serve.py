@@ -7,19 +7,23 @@ from typing import NamedTuple
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.regression import DecisionTreeRegressionModel, LinearRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tsreg.functions.columns import feature_columns
 from tsreg.functions.features import assembler
 from tsreg.functions.metrics import metric_rows, regression_metrics
 from tsreg.operators.ordering import horizon, horizon_series
+from tsreg.operators.timeline import DAILY, Timeline, add_lags
+from tsreg.plans import sequence
 
 BAR_FEATURES = ("open", "high", "low", "volume")
 HORIZONS = {"7 days": 7, "14 days": 14, "30 days": 30}
-LOADERS: dict[str, Callable[[str], Model]] = {
+LOADERS: dict[str, Callable[[str], Model | sequence.Weights]] = {
     "linear": LinearRegressionModel.load,
     "tree": DecisionTreeRegressionModel.load,
     "pipeline": PipelineModel.load,
+    "sequence": lambda path: sequence.load_weights(SparkSession.active(), path),
 }
 
 
@@ -27,7 +31,7 @@ def save_model(model: Model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def load_model(name: str, path: str) -> Model:
+def load_model(name: str, path: str) -> Model | sequence.Weights:
     """Model of a registered kind; a fitted scaler comes back as a stage of its pipeline."""
     if name not in LOADERS:
         raise ValueError(f"unknown model {name!r}: use one of {sorted(LOADERS)}")
@@ -56,6 +60,22 @@ def labelled(bars: DataFrame, columns: Sequence[str] | None = None, label: str =
     )
 
 
+def with_lead(
+    bars: DataFrame, days: int, columns: Sequence[str] = BAR_FEATURES, line: Timeline = DAILY
+) -> DataFrame:
+    """Bars whose feature columns stem from ``days`` rows earlier, for a forecast of the label.
+
+    With 0 the features are those of the label's own day: a fit that explains, but predicts nothing.
+    Rows without such history are left out.
+    """
+    if days == 0:
+        return bars
+    lagged = add_lags(bars, columns, [days], line)
+    names = {c: f"{c}_lag_{days}" for c in columns}
+    known = lagged.na.drop(subset=list(names.values()))
+    return known.withColumns({c: F.col(n) for c, n in names.items()}).select(*bars.columns)
+
+
 def horizon_features(
     bars: DataFrame, n: int, columns: Sequence[str] = BAR_FEATURES, per_series: bool = False
 ) -> DataFrame:
@@ -78,8 +98,25 @@ def backtest(
     name: str = "model",
 ) -> Backtest:
     """Predictions for the first ``n`` bars with their actual values, and the measures of them."""
-    scored = model.transform(horizon_features(bars, n, columns, per_series))
-    predictions = scored.select("symbol", "date", "label", "prediction").selectExpr(
-        "*", f"'{name}' AS model"
-    )
+    return _judged(model.transform(horizon_features(bars, n, columns, per_series)), name)
+
+
+def backtest_sequence(
+    bars: DataFrame,
+    scaler: PipelineModel,
+    weights: sequence.Weights,
+    length: int,
+    n: int,
+    name: str = "sequence",
+) -> Backtest:
+    """:func:`backtest` of the sequence network: the first ``n`` days of each series that have
+    ``length`` days before them in ``bars``."""
+    if n < 1:
+        raise ValueError("the horizon must be 1 or more")
+    samples = sequence.serving_samples(bars, scaler, length, n)
+    return _judged(sequence.predictions(samples, scaler, weights), name)
+
+
+def _judged(scored: DataFrame, name: str) -> Backtest:
+    predictions = scored.select("symbol", "date", "label", "prediction", F.lit(name).alias("model"))
     return Backtest(predictions, metric_rows(regression_metrics(predictions, by=["model"]), ["model"]))
