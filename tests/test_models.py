@@ -93,6 +93,8 @@ def test_index_and_one_hot_with_ties_and_unseen(spark):
     df = spark.createDataFrame([("a",), ("b",), ("x",), ("new",)], "c string")
     index = {r["c"]: r["i"] for r in features.string_index(train, df, "c", "i").collect()}
     assert index == {"x": 0.0, "a": 1.0, "b": 2.0, "new": 3.0}
+    joined = {r["c"]: r["i"] for r in features.string_index(train, df, "c", "i", most=1).collect()}
+    assert joined == index
     slots = {r["c"]: r["s"] for r in features.one_hot(train, df, "c", "s").collect()}
     assert slots["a"] == [0.0, 1.0, 0.0] and slots["new"] == [0.0, 0.0, 0.0]
     with pytest.raises(ValueError, match="categories"):

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsreg.functions.columns import minmax_inverse
+from tsreg.operators.ordering import global_rank
+from tsreg.sources.stage import stage
 
 # categories per column up to which index and encoder (which live on the driver) are used
 MAX_CATEGORIES = 100_000
@@ -107,13 +109,30 @@ def inverse_scaled(model: PipelineModel, df: DataFrame, column: str, output: str
     return df.withColumn(output, minmax_inverse(column, low, high, fitted.getMin(), fitted.getMax()))
 
 
-def string_index(train: DataFrame, df: DataFrame, column: str, output: str) -> DataFrame:
-    """Categories numbered by falling frequency in ``train``, ties by name; unseen ones come last."""
-    check_vocabulary(train, [column])
-    model = StringIndexer(
-        inputCol=column, outputCol=output, handleInvalid="keep", stringOrderType="frequencyDesc"
-    ).fit(train)
-    return model.transform(df)
+def string_index(
+    train: DataFrame, df: DataFrame, column: str, output: str, most: int = MAX_CATEGORIES
+) -> DataFrame:
+    """Categories numbered by falling frequency in ``train``, ties by name; unseen ones and nulls
+    come last. Up to ``most`` categories Spark's in-memory index serves; more are ranked and joined.
+    """
+    if train.agg(F.approx_count_distinct(column)).first()[0] <= most:
+        model = StringIndexer(
+            inputCol=column, outputCol=output, handleInvalid="keep", stringOrderType="frequencyDesc"
+        ).fit(train)
+        return model.transform(df)
+    levels = stage(
+        train.filter(F.col(column).isNotNull())
+        .groupBy(F.col(column).alias("_level"))
+        .agg((-F.count("*")).alias("_rarity")),
+        "levels",
+    )
+    ranked = global_rank(levels, ("_rarity", "_level"), "_rank", cell=F.col("_rarity"))
+    unseen = F.lit(levels.count())
+    return (
+        df.join(ranked.drop("_rarity"), F.col(column) == F.col("_level"), "left")
+        .withColumn(output, F.coalesce(F.col("_rank") - 1, unseen).cast("double"))
+        .drop("_level", "_rank")
+    )
 
 
 def one_hot(train: DataFrame, df: DataFrame, column: str, output: str) -> DataFrame:

@@ -58,12 +58,12 @@ def _split_keys(rows: DataFrame, order: Sequence[str], n: int, max_cell: int) ->
     return [keys[p] for p in places if p < len(keys)]
 
 
-def _day_sizes(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def _day_sizes(df: DataFrame, order: Sequence[str], cell: Column | None = None) -> DataFrame:
     """Rows per calendar day of the first order column: never longer than the calendar."""
     missing = F.col(order[0]).isNull()
     for name in order[1:]:
         missing = missing | F.col(name).isNull()
-    return df.groupBy(F.to_date(order[0]).alias("_day")).agg(
+    return df.groupBy((F.to_date(order[0]) if cell is None else cell).alias("_day")).agg(
         F.count("*").alias("_n"), F.count_if(missing).alias("_nulls")
     )
 
@@ -78,16 +78,19 @@ def global_rank(
     order: Sequence[str] = TIME_ORDER,
     name: str = "rank",
     max_cell: int = MAX_CELL,
+    cell: Column | None = None,
 ) -> DataFrame:
     """Exact position of each row in ascending ``order`` over the whole table, from 1.
 
     ``order`` starts with a date or time column. Rows are counted per day, the days are summed up in
     a table no longer than the calendar, and rows are numbered inside their day. Days with more
     than ``max_cell`` rows are cut further along the whole order. Finding them runs one job over the
-    day counts.
+    day counts. For another first column, ``cell`` gives a value that never falls along the order
+    and takes few values, in place of the day.
     """
     order = list(order)
-    days = _day_sizes(df, order)
+    day = F.to_date(order[0]) if cell is None else cell
+    days = _day_sizes(df, order, cell)
     is_hot = F.col("_n") > max_cell
     found = days.agg(
         F.sum(F.when(is_hot, F.col("_n"))).alias("_hot"), F.sum("_nulls").alias("_nulls")
@@ -96,10 +99,10 @@ def global_rank(
     piece = F.lit(0)
     if found["_hot"]:
         hot_days = days.filter(is_hot).select("_day")
-        rows = df.join(hot_days, F.to_date(order[0]) == F.col("_day"), "left_semi")
+        rows = df.join(hot_days, day == F.col("_day"), "left_semi")
         splits = _split_keys(rows, order, found["_hot"], max_cell)
         piece = _piece(order, [key_literals(df, order, key) for key in splits])
-    placed = df.withColumn("_day", F.to_date(order[0])).withColumn("_piece", piece)
+    placed = df.withColumn("_day", day).withColumn("_piece", piece)
     earlier = Window.orderBy("_day", "_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_day", "_piece")

@@ -133,17 +133,11 @@ def _carried_tails(df: DataFrame, line: Timeline, columns: Sequence[str], depth:
         _placed(df.select(*line.by, line.order, *columns), line)
         .filter(F.col("_pos") > F.col("_n") - depth)
         .groupBy(*line.cell)
-        .agg(
-            F.max("_n").alias("_n"),
-            F.sort_array(F.collect_list(entry)).getField("_entry").alias("_tail"),
-        )
+        .agg(F.sort_array(F.collect_list(entry)).getField("_entry").alias("_tail"))
     )
     nearest = line.over_buckets().rowsBetween(-depth, -1)
     return tails.select(
-        *line.cell,
-        F.coalesce(F.sum("_n").over(line.earlier_buckets()), F.lit(0)).alias("_offset"),
-        F.lead("_bucket").over(line.over_buckets()).isNull().alias("_last_bucket"),
-        _last(F.flatten(F.collect_list("_tail").over(nearest)), depth).alias("_carry"),
+        *line.cell, _last(F.flatten(F.collect_list("_tail").over(nearest)), depth).alias("_carry")
     )
 
 
@@ -159,7 +153,7 @@ def add_lags(
         for column in columns
         for k in wanted
     }
-    carried = _carried_tails(df, line, columns, wanted[-1]).drop("_offset", "_last_bucket")
+    carried = _carried_tails(df, line, columns, wanted[-1])
     joined = (
         line.bucketed(df)
         .withColumn("_pos", F.row_number().over(line.inside()))
@@ -225,26 +219,42 @@ def sequence_samples(
         raise ValueError("length must be 1 or more")
     if cap is not None and cap < 1:
         raise ValueError("cap must be 1 or more")
-    narrow = df.select(*line.by, line.order, value)
-    before = line.inside().rowsBetween(-length, -1)
-    # structs keep null values in place, which collect_list alone would leave out
-    near = F.collect_list(F.struct(value)).over(before).getField(value)
-    samples = (
-        _placed(narrow, line)
-        .withColumn("_near", near)
-        .join(_carried_tails(narrow, line, [value], length), list(line.cell), "left")
-        .withColumn("i", F.coalesce("_offset", F.lit(0)) + F.col("_pos") - length)
-        .filter(F.col("i") >= 1)
+    # A bucket becomes one array of at most ``width`` values, and a sample a slice of it: cheaper
+    # than a moving window, which builds each sample anew.
+    entry = F.struct(F.col(line.order).alias("at"), F.col(value).alias("v"))
+    buckets = (
+        line.bucketed(df.select(*line.by, line.order, value))
+        .groupBy(*line.cell)
+        .agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+    )
+    nearest = line.over_buckets().rowsBetween(-length, -1)
+    carried = buckets.select(
+        *line.cell,
+        F.size("_rows").alias("_n"),
+        _last(F.col("_rows").getField("v"), length).alias("_tail"),
+    ).select(
+        *line.cell,
+        F.coalesce(F.sum("_n").over(line.earlier_buckets()), F.lit(0)).alias("_offset"),
+        F.lead("_bucket").over(line.over_buckets()).isNull().alias("_last_bucket"),
+        _last(F.flatten(F.collect_list("_tail").over(nearest)), length).alias("_carry"),
+    )
+    held = F.size("_values") - F.size("_rows")
+    rows = (
+        buckets.join(carried, list(line.cell), "left")
+        .withColumn("_values", F.concat("_carry", F.col("_rows").getField("v")))
+        .withColumns({"_held": held, "_n": F.size("_rows")})
+        .select("*", F.posexplode("_rows").alias("_pos", "_row"))
+    )
+    samples = rows.filter(F.col("_held") + F.col("_pos") >= length).select(
+        *line.by,
+        F.col("_row.at").alias(line.order),
+        (F.col("_offset") + F.col("_pos") + 1 - length).alias("i"),
+        F.slice("_values", F.col("_held") + F.col("_pos") - length + 1, F.lit(length)).alias("x"),
+        F.col("_row.v").alias("y"),
+        (F.col("_last_bucket") & (F.col("_pos") == F.col("_n") - 1)).alias("_end"),
     )
     if drop_last:
-        samples = samples.filter(~(F.col("_last_bucket") & (F.col("_pos") == F.col("_n"))))
+        samples = samples.filter(~F.col("_end"))
     if cap is not None:
         samples = samples.filter(F.col("i") <= cap)
-    joined = _last(F.concat(F.col("_carry").getField(value), "_near"), length)
-    return samples.select(
-        *line.by,
-        line.order,
-        "i",
-        F.when(F.size("_near") == length, F.col("_near")).otherwise(joined).alias("x"),
-        F.col(value).alias("y"),
-    )
+    return samples.drop("_end")
