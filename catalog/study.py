@@ -227,7 +227,7 @@ def global_rank(spark, sf_dir):
 SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn FROM bars"""
 )
 def series_rank(spark, sf_dir):
-    return ordering.series_rank(supplier_bars(spark, sf_dir).select("symbol", "date", "close"))
+    return timeline.series_rank(supplier_bars(spark, sf_dir).select("symbol", "date", "close"))
 
 
 @query(

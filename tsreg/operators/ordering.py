@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tsreg.functions.columns import after, before, key_literals, on_key, up_to
-from tsreg.operators.timeline import DAILY, Timeline, bucket_sizes, series_rank
+from tsreg.operators.timeline import DAILY, Timeline, bucket_sizes
 
 TIME_ORDER = ("date", "symbol")
 MAX_CELL = 1_000_000
@@ -318,6 +318,5 @@ __all__ = [
     "horizon_series",
     "rolling_origin_folds",
     "series_cuts",
-    "series_rank",
     "time_cut",
 ]

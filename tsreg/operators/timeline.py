@@ -84,14 +84,12 @@ DAILY = Timeline()
 
 
 def bucket_sizes(df: DataFrame, line: Timeline) -> DataFrame:
-    """One row per (series, bucket): ``_n`` rows, ``_offset`` rows in earlier buckets, and whether
-    it is the last bucket of its series."""
+    """One row per (series, bucket): ``_n`` rows in it, ``_offset`` rows in earlier ones."""
     sizes = line.bucketed(df).groupBy(*line.cell).agg(F.count("*").alias("_n"))
     return sizes.select(
         *line.cell,
         "_n",
         F.coalesce(F.sum("_n").over(line.earlier_buckets()), F.lit(0)).alias("_offset"),
-        F.lead("_bucket").over(line.over_buckets()).isNull().alias("_last_bucket"),
     )
 
 
