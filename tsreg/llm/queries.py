@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tsreg.llm import exact_dedup, simhash
+from pyspark.sql import functions as F
+
+from tsreg.llm import exact_dedup, packing, secrets, simhash, tokens, url_filter
 from tsreg.llm.common import table
 
 QUERIES = {}
@@ -19,11 +21,39 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op4_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
+
+
+@query()
+def op5_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_token_counts(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_secrets(spark, sf_dir):
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"),
+        secrets.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query(
     """
 WITH rows_ AS (
