@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsreg.llm import exact_dedup, packing, secrets, simhash, tokens, url_filter
+from tsreg.llm import exact_dedup, packing, quality, secrets, simhash, tokens, url_filter
 from tsreg.llm.common import table
 
 QUERIES = {}
@@ -21,6 +21,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op3_quality(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op4_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
