@@ -1,25 +1,52 @@
-"""Corpus pipeline: documents in, packed sequences out; each stage is written as Parquet and reread."""
+"""Corpus pipeline: documents in, packed sequences out.
+
+Each stage gets what its predecessor kept, as a table written as Parquet and read again. All but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsreg.llm import exact_dedup, simhash
+from tsreg.llm import decontaminate, exact_dedup, packing, quality, simhash
 from tsreg.llm.common import table
 from tsreg.sources.stage import stage
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from the labelled ones among ``docs``."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: that with the largest id."""
     return exact_dedup.drop_exact(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: that with the smallest id."""
     return simhash.drop_near(docs)
 
 
-STAGES = [("exact_dedup", without_copies), ("simhash_dedup", without_near_copies)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of the benchmark."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 4096 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", good_quality),
+    ("exact_dedup", without_copies),
+    ("simhash_near_dedup", without_near_copies),
+    ("benchmark_decontamination", without_benchmark),
+    ("packing", packed),
+]
 
-# quality, packing and alignment are not SQL
+# trained trees, alignment and packing are not SQL; tests hold each stage against brute force
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsreg.llm import exact_dedup, packing, quality, secrets, simhash, tokens, url_filter
+from tsreg.llm import decontaminate, exact_dedup, packing, quality, secrets, simhash, tokens, url_filter
 from tsreg.llm.common import table
 
 QUERIES = {}
@@ -21,6 +21,12 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op2_decontaminate(spark, sf_dir):
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_key")
+
+
 @query()
 def op3_quality(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
