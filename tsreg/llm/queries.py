@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsreg.llm import decontaminate, exact_dedup, packing, quality, secrets, simhash, tokens, url_filter
+from tsreg.llm import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    packing,
+    pseudonyms,
+    quality,
+    secrets,
+    simhash,
+    tokens,
+    url_filter,
+)
 from tsreg.llm.common import table
 
 QUERIES = {}
@@ -21,6 +32,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_html_text(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op2_decontaminate(spark, sf_dir):
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -42,6 +58,11 @@ def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_pseudonyms(spark, sf_dir):
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
