@@ -23,10 +23,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsreg.llm.common import keep_rows, lowered, map_arrow
+from tsreg.llm.common import keep_rows, lowered, map_arrow, texts_of
 from tsreg.llm.components import components
 from tsreg.sources.stage import stage
 
@@ -66,17 +66,23 @@ def fingerprint(text: bytes, width: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and fingerprint (its 64 bits as bigint) of every row, null text as empty."""
+    """``doc_id``, ``text_key`` (XXH64 of the text) and fingerprint (64 bits as bigint) of every row.
+
+    Null text counts as empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts_of(batch.column(1))], np.uint64)
             prints = np.array([fingerprint(t) for t in lowered(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fingerprint"]
+                [batch.column(0), pa.array(keys.view(np.int64)), pa.array(prints.view(np.int64))],
+                names=["doc_id", "text_key", "fingerprint"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, fingerprint bigint")
+    schema = f"doc_id {kind}, text_key bigint, fingerprint bigint"
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def bit_planes(prints: np.ndarray) -> np.ndarray:
@@ -304,45 +310,55 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
     return map_arrow(cells, run, "u bigint, v bigint")
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row of ``docs``.
-
-    Fingerprints within ``radius`` bits are linked; ``component_id`` is the smallest ``doc_id`` that
-    links reach, the row's own included. Null and empty texts have fingerprint zero and are linked
-    like any other; null ids are left out of the minimum, and a component without ids has a null.
-    Repeated rows are returned as often as they come. An empty table gives an empty result.
-    """
+def classified(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """Rows of :func:`fingerprints` with ``label`` (the component's smallest fingerprint) and ``component_id``."""
     found = stage(fingerprints(docs), "simhash")
     distinct = stage(
         found.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "simhash-distinct"
     )
     linked = components(links(distinct.select("fingerprint"), radius, chunk))
     members = distinct.join(
-        linked.select(F.col("node").alias("fingerprint"), "component"), "fingerprint"
+        linked.select(F.col("node").alias("fingerprint"), F.col("component").alias("label")), "fingerprint"
     )
-    smallest = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    moved = members.join(smallest, "component").select("fingerprint", "component_id")
-    classes = distinct.join(moved.withColumn("_linked", F.lit(True)), "fingerprint", "left").select(
+    smallest = members.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    moved = members.join(smallest, "label").select("fingerprint", "label", "component_id")
+    classes = distinct.join(moved, "fingerprint", "left").select(
         "fingerprint",
-        F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"),
+        F.coalesce("label", "fingerprint").alias("label"),
+        F.when(F.col("label").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    return found.join(classes, "fingerprint").select(
+    return found.join(classes, "fingerprint")
+
+
+def near_groups(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row of ``docs``.
+
+    Fingerprints within ``radius`` bits are linked; ``component_id`` is the smallest ``doc_id`` that
+    links reach, the row's own included. Null and empty texts have fingerprint zero and are linked
+    like any other; null ids are left out of the minimum, and a component without ids has a null.
+    Repeated rows are returned as often as they come. An empty table gives an empty result.
+    """
+    return classified(docs, radius, chunk).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def drop_near(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def drop_near(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id, all columns as they are.
 
-    A component without ids keeps one row. Rows that repeat the smallest id in a component count as
-    ties, and one of them stays.
+    If a component has several texts under that id, one of them stays, and so does one of rows that
+    repeat both; a component without ids keeps one row.
     """
-    groups = near_groups(docs, radius)
-    keep = (
-        groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("doc_id").alias("_keep_id"))
-        .agg(F.count("*").alias("_n"))
+    rows = classified(docs, radius, chunk).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    counted = rows.groupBy("label", F.col("doc_id").alias("_keep_id"), F.col("text_key").alias("_keep_key")).agg(
+        F.count("*").alias("_n")
     )
+    first = F.row_number().over(Window.partitionBy("label").orderBy("_keep_key"))
+    keep = counted.withColumn("_place", first).filter("_place = 1").select("_keep_id", "_keep_key", "_n")
     keep = stage(keep, "simhash-keep")
-    marked = docs.withColumn("_keep_id", F.col("doc_id"))
-    return keep_rows(marked, keep, ["_keep_id"]).select(*docs.columns)
+    marked = docs.select(
+        "*",
+        F.col("doc_id").alias("_keep_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_keep_key"),
+    )
+    return keep_rows(marked, keep, ["_keep_id", "_keep_key"]).select(*docs.columns)
