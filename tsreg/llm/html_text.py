@@ -70,7 +70,10 @@ class Node:
 
 
 def _attributes(text: str, at: int) -> tuple[dict[str, str], int]:
-    """Attributes from ``at`` on, and the place after the tag's end."""
+    """Attributes from ``at`` on, and the place after the tag's end.
+
+    A quoted value that is never closed doesn't swallow the page: its tag ends at the next ``>``.
+    """
     found: dict[str, str] = {}
     while True:
         match = ATTRIBUTE.match(text, at)
