@@ -89,13 +89,32 @@ def test_horizon(bars, n):
         assert got[name] == rows[:n]
 
 
-def test_long_horizon_per_series_without_group_limit(bars, monkeypatch):
-    monkeypatch.setattr(od, "GROUP_LIMIT", 0)
+def test_long_horizon_per_series(bars):
     got = by_series(od.horizon_series(bars, 40, Timeline(width=9)).collect())
     for name, rows in by_series(bars.collect()).items():
         assert got[name] == rows[:40]
 
 
+@pytest.mark.parametrize("days", [600, 1])
+def test_no_cell_holds_a_crowded_day(spark, days):
+    rows = spark.range(240_000).select(
+        F.date_add(F.lit(dt.date(2020, 1, 1)), (F.col("id") % days).cast("int")).alias("date"),
+        F.concat(F.lit("s"), F.col("id")).alias("symbol"),
+    )
+    cells = od.ranked_cells(rows, ["date", "symbol"], max_cell=4000)
+    assert cells.groupBy("_cell").count().agg(F.max("count")).first()[0] <= 8000
+    ranked = od.global_rank(rows, max_cell=4000)
+    found = ranked.agg(F.min("rank"), F.max("rank"), F.countDistinct("rank")).first()
+    assert tuple(found) == (1, 240_000, 240_000)
+
+
+@pytest.mark.parametrize("n", [1, 30, 2000])
+def test_horizon_per_series_refuses_null_keys(bars, n):
+    holed = bars.withColumn("date", F.when(F.dayofmonth("date") > 3, F.col("date")))
+    with pytest.raises(Exception, match="null in key column"):
+        od.horizon_series(holed, n).collect()
+
+
 def test_horizon_below_one(bars):
     for call in (od.horizon, od.horizon_series):
         with pytest.raises(ValueError):

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from tsreg.functions.columns import after, before, key_literals, on_key, up_to
 from tsreg.operators.timeline import DAILY, Timeline, bucket_sizes
+from tsreg.sources.stage import stage
 
 TIME_ORDER = ("date", "symbol")
 MAX_CELL = 1_000_000
-MAX_PIECES = 256
-# above this n Spark no longer cuts row_number() <= n down before the shuffle
-GROUP_LIMIT = 1_000
+# pieces into which one round of the search for a cut divides the rows that are left
+FAN_OUT = 256
 
 
 class Split(NamedTuple):
@@ -44,28 +44,30 @@ def _piece(order: Sequence[str], splits: Sequence[Sequence[Column]]) -> Column:
     return branch(0, len(splits))
 
 
-def _split_keys(rows: DataFrame, order: Sequence[str], n: int, max_cell: int) -> list[tuple]:
-    """Keys that cut ``n`` rows into pieces of about half of ``max_cell`` rows.
+def _split_keys(rows: DataFrame, order: Sequence[str], n: int, max_cell: int, seed: int) -> list[tuple]:
+    """Keys that cut ``n`` rows into pieces of about half of ``max_cell`` rows, ``FAN_OUT`` at most.
 
     They come from a sample of at most a few thousand keys. Only the balance of the pieces depends
-    on it: ranks and cuts count all rows.
+    on it: a cut counts all rows, and another round divides a piece that is still too large.
     """
-    pieces = min(MAX_PIECES, 2 * -(-n // max_cell))
+    pieces = min(FAN_OUT, 2 * -(-n // max_cell))
     fraction = min(1.0, 32 * pieces / n)
-    sample = rows.select(*order).sample(fraction=fraction, seed=7).collect()
+    sample = rows.select(*order).sample(fraction=fraction, seed=seed).collect()
     keys = sorted({tuple(row) for row in sample})
     places = sorted({len(keys) * i // pieces for i in range(1, pieces)})
     return [keys[p] for p in places if p < len(keys)]
 
 
-def _day_sizes(df: DataFrame, order: Sequence[str], cell: Column | None = None) -> DataFrame:
-    """Rows per calendar day of the first order column: never longer than the calendar."""
+def _missing(order: Sequence[str]) -> Column:
     missing = F.col(order[0]).isNull()
     for name in order[1:]:
         missing = missing | F.col(name).isNull()
-    return df.groupBy((F.to_date(order[0]) if cell is None else cell).alias("_day")).agg(
-        F.count("*").alias("_n"), F.count_if(missing).alias("_nulls")
-    )
+    return F.count_if(missing).alias("_nulls")
+
+
+def _day_sizes(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows per calendar day of the first order column: never longer than the calendar."""
+    return df.groupBy(F.to_date(order[0]).alias("_day")).agg(F.count("*").alias("_n"), _missing(order))
 
 
 def _refuse_nulls(order: Sequence[str], found: Row | None) -> None:
@@ -73,55 +75,51 @@ def _refuse_nulls(order: Sequence[str], found: Row | None) -> None:
         raise ValueError(f"{found['_nulls']} rows have a null in the order columns {list(order)}")
 
 
+def ranked_cells(df: DataFrame, order: Sequence[str], max_cell: int = MAX_CELL) -> DataFrame:
+    """``df`` in sorted range partitions, written once, with ``_cell`` and ``_pos`` (from 0) in it.
+
+    There are twice as many partitions as ``max_cell`` asks for on average, since their bounds come
+    from a sample. Only rows that share one whole key can't be parted.
+    """
+    found = df.agg(F.count("*").alias("_n"), _missing(order)).first()
+    _refuse_nulls(order, found)
+    cells = max(1, -(-2 * found["_n"] // max_cell))
+    # the row's number in its partition, below the partition's number
+    place = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(cells, *order).sortWithinPartitions(*order).withColumn("_place", place)
+    return stage(ranged, "ranked").select(
+        *df.columns,
+        F.shiftright("_place", 33).alias("_cell"),
+        F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos"),
+    )
+
+
 def global_rank(
-    df: DataFrame,
-    order: Sequence[str] = TIME_ORDER,
-    name: str = "rank",
-    max_cell: int = MAX_CELL,
-    cell: Column | None = None,
+    df: DataFrame, order: Sequence[str] = TIME_ORDER, name: str = "rank", max_cell: int = MAX_CELL
 ) -> DataFrame:
     """Exact position of each row in ascending ``order`` over the whole table, from 1.
 
-    ``order`` starts with a date or time column. Rows are counted per day, the days are summed up in
-    a table no longer than the calendar, and rows are numbered inside their day. Days with more
-    than ``max_cell`` rows are cut further along the whole order. Finding them runs one job over the
-    day counts. For another first column, ``cell`` gives a value that never falls along the order
-    and takes few values, in place of the day.
+    Rows are sorted in range partitions of about ``max_cell`` / 2 rows, whatever the order columns and
+    however many days are crowded: one shuffle. The sizes of the partitions, summed up in a table of
+    one row per partition, give the offsets.
     """
-    order = list(order)
-    day = F.to_date(order[0]) if cell is None else cell
-    days = _day_sizes(df, order, cell)
-    is_hot = F.col("_n") > max_cell
-    found = days.agg(
-        F.sum(F.when(is_hot, F.col("_n"))).alias("_hot"), F.sum("_nulls").alias("_nulls")
-    ).first()
-    _refuse_nulls(order, found)
-    piece = F.lit(0)
-    if found["_hot"]:
-        hot_days = days.filter(is_hot).select("_day")
-        rows = df.join(hot_days, day == F.col("_day"), "left_semi")
-        splits = _split_keys(rows, order, found["_hot"], max_cell)
-        piece = _piece(order, [key_literals(df, order, key) for key in splits])
-    placed = df.withColumn("_day", day).withColumn("_piece", piece)
-    earlier = Window.orderBy("_day", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    cells = ranked_cells(df, list(order), max_cell)
+    earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("_day", "_piece")
+        cells.groupBy("_cell")
         .agg(F.count("*").alias("_n"))
-        .select("_day", "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy("_day", "_piece").orderBy(*order)
-    return (
-        placed.withColumn("_pos", F.row_number().over(inside))
-        .join(offsets, ["_day", "_piece"])
-        .withColumn(name, (F.col("_offset") + F.col("_pos")).cast("bigint"))
-        .drop("_day", "_piece", "_pos", "_offset")
+        .select("_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     )
+    rank = (F.col("_offset") + F.col("_pos") + 1).cast("bigint")
+    return cells.join(offsets, "_cell").withColumn(name, rank).drop("_cell", "_pos", "_offset")
 
 
 def _kth_key(rows: DataFrame, order: Sequence[str], k: int, n: int, max_cell: int) -> tuple:
     """Key of the k-th of ``n`` rows: counts pieces until few rows are left, then takes one row."""
+    seed = 0
     while n > max_cell:
-        splits = _split_keys(rows, order, n, max_cell)
+        seed += 1  # another sample if one came out empty
+        splits = _split_keys(rows, order, n, max_cell, seed)
         if not splits:
             continue
         pieces = _piece(order, [key_literals(rows, order, key) for key in splits])
@@ -138,29 +136,22 @@ def _kth_key(rows: DataFrame, order: Sequence[str], k: int, n: int, max_cell: in
     return tuple(rows.select(*order).orderBy(*order).offset(k - 1).limit(1).first())
 
 
-def time_cut(
-    df: DataFrame,
-    numerator: int = 80,
-    denominator: int = 100,
-    order: Sequence[str] = TIME_ORDER,
-    max_cell: int = MAX_CELL,
-) -> list[Column] | None:
-    """Key of the last of the first floor(n · numerator / denominator) rows, None if there is none.
+def _cut_at(df: DataFrame, order: Sequence[str], wanted: str, max_cell: int) -> list[Column] | None:
+    """Key of row number ``wanted`` (an expression over ``_total`` rows) in ``order``.
 
-    Two small jobs: counts per day, then the one day in which the cut falls.
+    None if there is no such row. Two small jobs: counts per day, then the one day it falls on.
     """
-    order = list(order)
     upto = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # integer arithmetic: 0.8 * n in doubles can fall one short
     found = (
         _day_sizes(df, order)
         .select(
             "_day",
             "_n",
             F.sum("_n").over(upto).alias("_upto"),
-            F.expr(f"sum(_n) OVER () * {int(numerator)} div {int(denominator)}").alias("_k"),
+            F.expr("sum(_n) OVER ()").alias("_total"),
             F.expr("sum(_nulls) OVER ()").alias("_nulls"),
         )
+        .withColumn("_k", F.expr(wanted))
         .filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
         .first()
     )
@@ -172,6 +163,18 @@ def time_cut(
     return key_literals(df, order, _kth_key(rows, order, k, found["_n"], max_cell))
 
 
+def time_cut(
+    df: DataFrame,
+    numerator: int = 80,
+    denominator: int = 100,
+    order: Sequence[str] = TIME_ORDER,
+    max_cell: int = MAX_CELL,
+) -> list[Column] | None:
+    """Key of the last of the first floor(n · numerator / denominator) rows, None if there is none."""
+    # integer arithmetic: 0.8 * n in doubles can fall one short
+    return _cut_at(df, list(order), f"_total * {int(numerator)} div {int(denominator)}", max_cell)
+
+
 def chrono_split(
     df: DataFrame,
     numerator: int = 80,
@@ -230,20 +233,25 @@ def chrono_split_series(
     )
 
 
-def horizon(df: DataFrame, n: int, order: Sequence[str] = TIME_ORDER) -> DataFrame:
-    """The first ``n`` rows by time of the whole table (top-k: each task keeps n rows at most)."""
+def horizon(
+    df: DataFrame, n: int, order: Sequence[str] = TIME_ORDER, max_cell: int = MAX_CELL
+) -> DataFrame:
+    """The first ``n`` rows by time of the whole table, and any that tie with the last on all of
+    ``order``.
+
+    A filter against the key of row n, so that no task gathers them however large ``n`` is.
+    """
     if n < 1:
         raise ValueError("the horizon must be 1 or more")
-    return df.orderBy(*order).limit(n)
+    order = list(order)
+    cut = _cut_at(df, order, f"least(_total, {int(n)})", max_cell)
+    return df if cut is None else df.filter(up_to(order, cut))
 
 
 def horizon_series(df: DataFrame, n: int, line: Timeline = DAILY) -> DataFrame:
-    """The first ``n`` rows by time of each series."""
+    """The first ``n`` rows by time of each series; a null key fails the job, as in all of ``timeline``."""
     if n < 1:
         raise ValueError("the horizon must be 1 or more")
-    if n <= GROUP_LIMIT:
-        position = F.row_number().over(Window.partitionBy(*line.by).orderBy(line.order))
-        return df.withColumn("_pos", position).filter(F.col("_pos") <= n).drop("_pos")
     cuts = series_cuts(df, F.lit(n), line)
     return (
         df.join(cuts, list(line.by))
@@ -253,8 +261,14 @@ def horizon_series(df: DataFrame, n: int, line: Timeline = DAILY) -> DataFrame:
 
 
 def hash_bucket(keys: Sequence[str], seed: int, buckets: int) -> Column:
-    """Bucket 0 … buckets-1 from a hash of the key: the same under any partitioning."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(buckets)).cast("int")
+    """Bucket 0 … buckets-1 from the MD5 of the key's text: the same under any partitioning.
+
+    The first eight hex digits of ``md5("key|key|…|seed")``, which any SQL engine can state; a null
+    part of the key is left out of the text.
+    """
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.pmod(number, F.lit(buckets)).cast("int")
 
 
 def hash_split(
@@ -278,6 +292,7 @@ def rolling_origin_folds(df: DataFrame, folds: int, first: str = "date") -> Data
     """
     if folds < 1:
         raise ValueError("folds must be 1 or more")
+    _refuse_nulls([first], df.agg(_missing([first])).first())
     upto = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = (
         _day_sizes(df, [first])
@@ -316,6 +331,7 @@ __all__ = [
     "hash_split",
     "horizon",
     "horizon_series",
+    "ranked_cells",
     "rolling_origin_folds",
     "series_cuts",
     "time_cut",
