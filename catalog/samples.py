@@ -169,6 +169,19 @@ def string_index(spark, sf_dir):
     return features.string_index(train, orders, "o_orderpriority", "priority_index").drop("o_orderstatus")
 
 
+@query(
+    """WITH levels AS (
+  SELECT p_size, row_number() OVER (ORDER BY count(*) DESC, CAST(p_size AS VARCHAR)) - 1 AS no
+  FROM part WHERE p_retailprice < 1500 GROUP BY 1)
+SELECT p_partkey, p_size, coalesce(no, (SELECT count(*) FROM levels))::DOUBLE AS size_index
+FROM part LEFT JOIN levels USING (p_size)"""
+)
+def string_index_numeric(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    train = parts.filter("p_retailprice < 1500")
+    return features.string_index(train, parts, "p_size", "size_index").drop("p_retailprice")
+
+
 @query(
     f"""WITH {INDEX_SQL}
 SELECT o_orderkey, o_orderpriority, {', '.join(f'(no = {i})::INT::DOUBLE AS slot_{i}' for i in range(5))}
@@ -178,9 +191,8 @@ def one_hot(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     train = orders.filter(F.col("o_orderstatus") != "P")
     found = features.one_hot(train, orders, "o_orderpriority", "slots")
-    return found.select(
-        "o_orderkey", "o_orderpriority", *[F.col("slots")[i].alias(f"slot_{i}") for i in range(5)]
-    )
+    slots = vector_to_array("slots")
+    return found.select("o_orderkey", "o_orderpriority", *[slots[i].alias(f"slot_{i}") for i in range(5)])
 
 
 @query(f"WITH {SUPPLIER_BARS} SELECT symbol, date, close FROM bars ORDER BY date, symbol LIMIT 30")

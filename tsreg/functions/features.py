@@ -21,12 +21,12 @@ from tsreg.functions.columns import minmax_inverse
 from tsreg.operators.ordering import global_rank
 from tsreg.sources.stage import stage
 
-# categories per column up to which index and encoder (which live on the driver) are used
-MAX_CATEGORIES = 100_000
+# categories per column that a pipeline may have: its index is part of the saved model
+PIPELINE_CATEGORIES = 100_000
 
 
-def check_vocabulary(df: DataFrame, columns: Sequence[str], most: int = MAX_CATEGORIES) -> None:
-    """Refuse category columns too varied for an in-memory index, before it is collected."""
+def check_vocabulary(df: DataFrame, columns: Sequence[str], most: int = PIPELINE_CATEGORIES) -> None:
+    """Refuse category columns too varied for the in-memory index of a pipeline, before it is collected."""
     if not columns:
         return
     counted = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
@@ -109,38 +109,30 @@ def inverse_scaled(model: PipelineModel, df: DataFrame, column: str, output: str
     return df.withColumn(output, minmax_inverse(column, low, high, fitted.getMin(), fitted.getMax()))
 
 
-def string_index(
-    train: DataFrame, df: DataFrame, column: str, output: str, most: int = MAX_CATEGORIES
-) -> DataFrame:
-    """Categories numbered by falling frequency in ``train``, ties by name; unseen ones and nulls
-    come last. Up to ``most`` categories Spark's in-memory index serves; more are ranked and joined.
+def string_index(train: DataFrame, df: DataFrame, column: str, output: str) -> DataFrame:
+    """Categories numbered by falling frequency in ``train``, ties by their text; unseen ones and
+    nulls come last, all with the number of categories.
+
+    Categories are counted, ranked and joined as tables, so their number has no bound.
     """
-    if train.agg(F.approx_count_distinct(column)).first()[0] <= most:
-        model = StringIndexer(
-            inputCol=column, outputCol=output, handleInvalid="keep", stringOrderType="frequencyDesc"
-        ).fit(train)
-        return model.transform(df)
     levels = stage(
         train.filter(F.col(column).isNotNull())
         .groupBy(F.col(column).alias("_level"))
-        .agg((-F.count("*")).alias("_rarity")),
+        .agg((-F.count("*")).alias("_rarity"))
+        .withColumn("_text", F.col("_level").cast("string")),
         "levels",
     )
-    ranked = global_rank(levels, ("_rarity", "_level"), "_rank", cell=F.col("_rarity"))
+    ranked = global_rank(levels, ("_rarity", "_text"), "_rank").select("_level", "_rank")
     unseen = F.lit(levels.count())
     return (
-        df.join(ranked.drop("_rarity"), F.col(column) == F.col("_level"), "left")
+        df.join(ranked, F.col(column) == F.col("_level"), "left")
         .withColumn(output, F.coalesce(F.col("_rank") - 1, unseen).cast("double"))
         .drop("_level", "_rank")
     )
 
 
 def one_hot(train: DataFrame, df: DataFrame, column: str, output: str) -> DataFrame:
-    """One slot per category of ``train`` as an array; all zero for unseen categories."""
-    check_vocabulary(train, [column])
-    index = StringIndexer(
-        inputCol=column, outputCol="_index", handleInvalid="keep", stringOrderType="frequencyDesc"
-    )
-    encoder = OneHotEncoder(inputCol="_index", outputCol="_onehot")
-    model = Pipeline(stages=[index, encoder]).fit(train)
-    return model.transform(df).withColumn(output, vector_to_array("_onehot")).drop("_index", "_onehot")
+    """A sparse vector with one slot per category of ``train``, all zero for unseen ones and nulls."""
+    encoder = OneHotEncoder(inputCol="_index", outputCol=output, handleInvalid="keep")
+    model = encoder.fit(string_index(train, train, column, "_index").filter(F.col(column).isNotNull()))
+    return model.transform(string_index(train, df, column, "_index")).drop("_index")
