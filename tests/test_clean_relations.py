@@ -124,7 +124,7 @@ def test_joins_of_predictions(full):
 def test_value_join_and_its_compact_form(spark):
     left = spark.createDataFrame([(i, 5.0 if i < 6 else float(i)) for i in range(9)] + [(9, None)], "id int, close double")
     right = spark.createDataFrame([(5.0, 1.0), (5.0, 3.0), (7.0, 2.0), (None, 9.0)], "label double, prediction double")
-    pairs = relations.join_on_value(left, right, "close", "label")
+    pairs = left.join(right, left["close"] == right["label"])
     compact = relations.match_on_value(left, right, "close", "label", "prediction")
     assert pairs.count() == 13 and compact.count() == 7
     assert compact.agg(F.sum("n_matches")).first()[0] == pairs.count()
@@ -142,3 +142,10 @@ def test_except(spark):
 def test_series_of_every_kind_survive_the_calendar(spark):
     df = make_bars(spark, uneven_series())
     assert clean.drop_nulls(clean.align_calendar(df), ["close"]).count() == df.count()
+
+
+def test_nan_is_dropped_on_request_only(spark):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, "c"), (2.0, None)], "x double, s string")
+    assert clean.drop_nulls(df, ["x"]).count() == 3
+    assert clean.drop_nulls(df, ["x"], nan=True).count() == 2
+    assert clean.drop_nulls(df).count() == 2

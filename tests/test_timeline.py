@@ -78,3 +78,17 @@ def test_hourly_grain(spark):
     line = tl.Timeline(order="ts", grain="hour", width=10)
     got = sorted(tl.add_lags(df, ["v"], [2], line).collect(), key=lambda r: r["ts"])
     assert [r["v_lag_2"] for r in got] == [None, None] + [r["v"] for r in got[:-2]]
+
+
+@pytest.mark.parametrize("kind", ["decimal(10,2)", "date", "boolean", "tinyint", "double", "timestamp", "string", "binary"])
+def test_null_series_fail_whatever_their_type(spark, kind):
+    rows = make_bars(spark, {"1": [1, 2, 3], "2": [4, 5]})
+    key = {"date": "date'2020-01-01'", "timestamp": "timestamp'2020-01-01 00:00:00'", "boolean": "symbol = '1'"}
+    whole = rows.withColumn("k", F.expr(key.get(kind, f"cast(symbol as {kind})")))
+    line = tl.Timeline(by=("k",))
+    if kind not in ("date", "timestamp"):
+        assert tl.series_rank(whole, line).agg(F.max("rn")).first()[0] == 3
+    holed = whole.withColumn("k", F.when(F.col("symbol") == "1", F.col("k")))
+    for call in (tl.series_rank, lambda df, by: tl.sequence_samples(df, "close", 1, by)):
+        with pytest.raises(Exception, match="null in key column"):
+            call(holed, line).collect()

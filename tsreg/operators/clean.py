@@ -45,8 +45,13 @@ def dedup_keyed(df: DataFrame, keys: Sequence[str], prefer: Sequence[str]) -> Da
     return df.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*df.columns)
 
 
-def drop_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return df.na.drop(subset=list(columns) if columns else None)
+def drop_nulls(df: DataFrame, columns: Sequence[str] | None = None, nan: bool = False) -> DataFrame:
+    """Rows without a null in ``columns`` (all by default); with ``nan``, also without a NaN."""
+    for name in columns or df.columns:
+        df = df.filter(F.col(name).isNotNull())
+        if nan and df.schema[name].dataType.typeName() in ("double", "float"):
+            df = df.filter(~F.isnan(name))
+    return df
 
 
 def fill_nulls(df: DataFrame, values: Mapping[str, object]) -> DataFrame:

@@ -23,23 +23,14 @@ def prediction_join(
     return inputs.join(predicted, list(key), "inner")
 
 
-def join_on_value(left: DataFrame, right: DataFrame, left_value: str, right_value: str) -> DataFrame:
-    """Inner join on equal values of two columns, with every pair of matching rows.
-
-    A value that m left and n right rows share gives m · n rows. :func:`match_on_value` tells the
-    same without multiplying rows; use a key join where there is a key.
-    """
-    return left.join(right, left[left_value] == right[right_value], "inner")
-
-
 def match_on_value(
     left: DataFrame, right: DataFrame, left_value: str, right_value: str, measure: str
 ) -> DataFrame:
     """Left rows that have equal-valued right rows, with their number and the range of a measure.
 
     The right side is combined per value before the join, so it holds each value once and a value
-    that many rows share multiplies nothing. ``n_matches`` sums up to the rows of
-    :func:`join_on_value`. Nulls match nothing.
+    that many rows share multiplies nothing. ``n_matches`` sums up to the rows of a join of all
+    pairs. Nulls match nothing.
     """
     per_value = (
         right.filter(F.col(right_value).isNotNull())

@@ -19,10 +19,22 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STEPS_PER_DAY = {"day": 1, "hour": 24, "minute": 1440}
 
 
+def _instead(kind: T.DataType) -> Column | None:
+    """Any value of a type that is not null, None for nested types."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit("").cast(kind)
+    if isinstance(kind, T.BooleanType):
+        return F.lit(False)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01").cast(kind)
+    return F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else None
+
+
 @dataclass(frozen=True)
 class Timeline:
     """Key of a table of series: series columns, time column and its grain."""
@@ -53,13 +65,13 @@ class Timeline:
         """
         message = F.lit(f"null in key column {(*self.by, self.order)}")
 
-        def checked(value: Column, instead: Column) -> Column:
-            return F.coalesce(F.when(value.isNull(), F.raise_error(message)).otherwise(value), instead)
+        def checked(value: Column, instead: Column | None) -> Column:
+            failing = F.when(value.isNull(), F.raise_error(message)).otherwise(value)
+            return failing if instead is None else F.coalesce(failing, instead)
 
         series = {
-            name: checked(F.col(name), F.lit("" if kind == "string" else 0).cast(kind))
-            for name, kind in df.select(*self.by).dtypes
-            if kind in ("string", "int", "bigint", "smallint")
+            field.name: checked(F.col(field.name), _instead(field.dataType))
+            for field in df.select(*self.by).schema
         }
         bucket = F.floor(self.step() / self.width)
         return df.withColumns({**series, "_bucket": checked(bucket, F.lit(0).cast("bigint"))})

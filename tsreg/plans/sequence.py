@@ -1,12 +1,13 @@
 """Sequence regressor (LSTM) trained and applied by Spark jobs.
 
 Samples stay on the executors. A training step broadcasts the weights (fixed size: about 1 MB at the
-default layer sizes), every partition returns the gradient of its samples, Spark sums these in a
-fixed number of groups, and the driver adds the group sums and moves the weights.
+default layer sizes), every partition returns the gradient of its samples, Spark sums these in
+groups, and the driver adds the group sums and moves the weights.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,8 +33,11 @@ from tsreg.sources.stage import stage
 cloudpickle.register_pickle_by_value(network)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# gradients are summed in this many groups before they reach the driver
-SUM_GROUPS = 16
+
+def _sum_groups(spark: SparkSession) -> int:
+    """Groups in which gradients are summed before they reach the driver: the square root of the
+    number of partitions, so that neither a group nor the driver adds up many."""
+    return max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 @dataclass(frozen=True)
@@ -108,8 +112,9 @@ def fit(
     rate: float = 0.001,
     batches: int = 1,
     seed: int = 42,
+    line: Timeline = DAILY,
 ) -> Fitted:
-    """Gradient descent on squared error over samples ``(symbol, date, x, y, held_out)``.
+    """Gradient descent on squared error over samples ``(series, time, x, y, held_out)``.
 
     ``batches`` = 1 takes one step per epoch on all training samples. With more, each epoch deals
     all of them anew, by hash of key and epoch, into that many batches of about equal size. Loss
@@ -119,13 +124,11 @@ def fit(
     if batches < 1 or epochs < 1:
         raise ValueError("epochs and batches must be 1 or more")
     spark = samples.sparkSession
-    table = stage(
-        samples.select("symbol", "date", "x", "y", "held_out").repartition("symbol", "date"),
-        "sequence-samples",
-    ).persist()
+    keys = [*line.by, line.order]
+    table = stage(samples.select(*keys, "x", "y", "held_out").repartition(*keys), "sequence-samples")
     flat, rule, losses = sizes.initial(seed), Adam(sizes.count(), rate), []
     for epoch in range(1, epochs + 1):
-        dealt = table.withColumn("batch", hash_bucket(["symbol", "date"], seed + epoch, batches))
+        dealt = table.withColumn("batch", hash_bucket(keys, seed + epoch, batches))
         train, valid = np.zeros(2), np.zeros(2)
         for batch in range(batches):
             wanted = ~F.col("held_out") & (F.col("batch") == batch)
@@ -137,7 +140,6 @@ def fit(
             if sums[1]:
                 flat = rule.step(flat, gradient / sums[1])
         losses.append((epoch, *(float(s / n) if n else None for s, n in (train, valid))))
-    table.unpersist()
     return Fitted(
         Weights(sizes, flat),
         spark.createDataFrame(losses, "epoch int, train_loss double, valid_loss double"),
@@ -171,7 +173,7 @@ def _step(rows: DataFrame, sizes: Sizes, flat: np.ndarray) -> tuple[np.ndarray,
         partial, "gradient array<double>, sums array<double>"
     )
     groups = (
-        parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(SUM_GROUPS)).alias("part"))
+        parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(_sum_groups(rows.sparkSession))).alias("part"))
         .agg(
             Summarizer.sum(array_to_vector("gradient")).alias("gradient"),
             Summarizer.sum(array_to_vector("sums")).alias("sums"),
@@ -237,11 +239,15 @@ def serving_samples(
 
 
 def predictions(
-    samples: DataFrame, scaler: PipelineModel, weights: Weights, precision: str = "float32"
+    samples: DataFrame,
+    scaler: PipelineModel,
+    weights: Weights,
+    precision: str = "float32",
+    line: Timeline = DAILY,
 ) -> DataFrame:
-    """``symbol, date, label, prediction`` (and ``held_out``, if the samples have it) in original
+    """Key (``symbol, date``), ``label`` and ``prediction`` (and ``held_out``, if the samples have it) in original
     units, dated by the target day."""
     scored = score(samples, weights, "scaled_prediction", precision)
     priced = inverse_scaled(scaler, scored, "scaled_prediction", "prediction")
-    kept = ["symbol", "date", "label", "prediction", *({"held_out"} & set(samples.columns))]
+    kept = [*line.by, line.order, "label", "prediction", *({"held_out"} & set(samples.columns))]
     return inverse_scaled(scaler, priced, "y", "label").select(*kept)

@@ -49,14 +49,16 @@ def horizon_days(option: str, custom: int | None = None) -> int:
     return HORIZONS[option]
 
 
-def labelled(bars: DataFrame, columns: Sequence[str] | None = None, label: str = "close") -> DataFrame:
-    """``symbol, date, features (vector), label`` of a bar table."""
+def labelled(
+    bars: DataFrame, columns: Sequence[str] | None = None, label: str = "close", line: Timeline = DAILY
+) -> DataFrame:
+    """Key (``symbol, date``), ``features`` (vector) and ``label`` of a bar table."""
     picked = list(columns or feature_columns(bars))
     return (
         assembler(picked)
         .transform(bars)
         .withColumnRenamed(label, "label")
-        .select("symbol", "date", "features", "label")
+        .select(*line.by, line.order, "features", "label")
     )
 
 
@@ -66,14 +68,15 @@ def with_lead(
     """Bars whose feature columns stem from ``days`` rows earlier, for a forecast of the label.
 
     With 0 the features are those of the label's own day: a fit that explains, but predicts nothing.
-    Rows without such history are left out.
+    Rows without such history are left out, by their place in the series: a null or NaN value that
+    stands there stays, as cleaning is a step of its own.
     """
     if days == 0:
         return bars
-    lagged = add_lags(bars, columns, [days], line)
-    names = {c: f"{c}_lag_{days}" for c in columns}
-    known = lagged.na.drop(subset=list(names.values()))
-    return known.withColumns({c: F.col(n) for c, n in names.items()}).select(*bars.columns)
+    placed = bars.withColumn("_there", F.lit(True))
+    lagged = add_lags(placed, [*columns, "_there"], [days], line)
+    known = lagged.filter(F.col(f"_there_lag_{days}").isNotNull())
+    return known.withColumns({c: F.col(f"{c}_lag_{days}") for c in columns}).select(*bars.columns)
 
 
 def horizon_features(
@@ -108,15 +111,17 @@ def backtest_sequence(
     length: int,
     n: int,
     name: str = "sequence",
+    line: Timeline = DAILY,
+    value: str = "close",
 ) -> Backtest:
     """:func:`backtest` of the sequence network: the first ``n`` days of each series that have
     ``length`` days before them in ``bars``."""
     if n < 1:
         raise ValueError("the horizon must be 1 or more")
-    samples = sequence.serving_samples(bars, scaler, length, n)
-    return _judged(sequence.predictions(samples, scaler, weights), name)
+    samples = sequence.serving_samples(bars, scaler, length, n, value, line)
+    return _judged(sequence.predictions(samples, scaler, weights, line=line), name, line)
 
 
-def _judged(scored: DataFrame, name: str) -> Backtest:
-    predictions = scored.select("symbol", "date", "label", "prediction", F.lit(name).alias("model"))
+def _judged(scored: DataFrame, name: str, line: Timeline = DAILY) -> Backtest:
+    predictions = scored.select(*line.by, line.order, "label", "prediction", F.lit(name).alias("model"))
     return Backtest(predictions, metric_rows(regression_metrics(predictions, by=["model"]), ["model"]))

@@ -187,15 +187,18 @@ def rolling_origin(
     folds: int = 3,
     metric: str = "rmse",
     label: str = "label",
+    first: str = "date",
 ) -> Tried:
     """Time-ordered validation: fold i trains on all days up to its cut and scores the block after
     it, so no model sees rows later than those it is judged on."""
     table = stage(train, "origin-train")
-    day = F.col("date")
+    day = F.to_date(first)
     splits = [
         (int(c["fold"]), day <= c["train_end"], (day > c["train_end"]) & (day <= c["valid_end"]))
-        for c in rolling_origin_folds(table, folds).orderBy("fold").collect()
+        for c in rolling_origin_folds(table, folds, first).orderBy("fold").collect()
     ]
+    if len(splits) < folds:
+        raise ValueError(f"the days allow {len(splits)} of {folds} folds")
     return _validated(table, splits, estimator, grid, metric, label)
 
 
