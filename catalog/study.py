@@ -29,6 +29,9 @@ NUMBERS = [
     "l_discount",
     "l_tax",
     "l_partkey",
+    "l_orderkey",
+    "l_suppkey",
+    "l_linenumber",
 ]
 
 
@@ -51,6 +54,29 @@ def table_shape(spark, sf_dir):
     return profile.table_shape(table(spark, sf_dir, "lineitem"))
 
 
+ORDER_TYPES = {
+    "o_orderkey": "bigint",
+    "o_custkey": "bigint",
+    "o_orderstatus": "string",
+    "o_totalprice": "double",
+    "o_orderdate": "timestamp_ntz",
+    "o_orderpriority": "string",
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{kind}' AS type, count_if({c} IS NULL)::BIGINT AS n_nulls FROM orders"
+        for c, kind in ORDER_TYPES.items()
+    )
+)
+def schema_profile(spark, sf_dir):
+    """Types and null counts of a table, one row per column."""
+    orders = table(spark, sf_dir, "orders")
+    nulls = profile.null_counts(orders).unpivot([], orders.columns, "column", "n_nulls")
+    return profile.schema_table(orders).join(nulls, "column").select("column", "type", "n_nulls")
+
+
 @query(
     f"""WITH {ALIGNED_SQL}
 SELECT count_if(symbol IS NULL)::BIGINT AS symbol, count_if(ts IS NULL)::BIGINT AS ts,
@@ -299,14 +325,27 @@ def except_all(spark, sf_dir):
     )
 
 
-@query()
+def _bucket_sql(keys: list[str], seed: int, buckets: int) -> str:
+    text = " || '|' || ".join([*(f"CAST({k} AS VARCHAR)" for k in keys), f"'{seed}'"])
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % {buckets}"
+
+
+SPLIT_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query(
+    f"""SELECT {', '.join(SPLIT_KEYS)},
+CASE WHEN {_bucket_sql(SPLIT_KEYS, 42, 100)} < 80 THEN 'train' ELSE 'test' END AS part FROM lineitem"""
+)
 def hash_split(spark, sf_dir):
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    train, test = ordering.hash_split(table(spark, sf_dir, "lineitem").select(*keys), keys)
+    train, test = ordering.hash_split(table(spark, sf_dir, "lineitem").select(*SPLIT_KEYS), SPLIT_KEYS)
     return train.withColumn("part", F.lit("train")).unionAll(test.withColumn("part", F.lit("test")))
 
 
-@query()
+@query(
+    f"""WITH {SUPPLIER_BARS}
+SELECT symbol, date, close, CAST({_bucket_sql(["symbol", "date"], 42, 5)} AS INT) AS fold FROM bars"""
+)
 def fold_assignment(spark, sf_dir):
     rows = bars(spark, sf_dir, "l_suppkey").select("symbol", "date", "close")
     return ordering.fold_column(rows, ["symbol", "date"], 5)

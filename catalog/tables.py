@@ -34,9 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sequence_number() -> Column:
-    """Order of the trades of a day in one bigint: order key, then price in cents (below 2^24)."""
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    return F.col("l_orderkey") * F.lit(1 << 24) + cents
+    """Order of the trades of a day in one number: order key, then price in cents (below 2^24).
+
+    A decimal, as order keys of large tables go beyond 2^39.
+    """
+    cents = F.round(F.col("l_extendedprice") * 100).cast("decimal(18,0)")
+    return F.col("l_orderkey").cast("decimal(20,0)") * F.lit(1 << 24).cast("decimal(9,0)") + cents
 
 
 def bars(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:

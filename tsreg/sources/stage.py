@@ -9,6 +9,7 @@ lineage of whatever is built on it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,8 @@ def work_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         configured = context.getConf().get("spark.checkpoint.dir", None)
         if configured is None:
-            if not context.master.startswith("local"):
+            # one process: nothing else has to reach the folder
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
             configured = tempfile.mkdtemp(prefix="tsreg-")
         context.setCheckpointDir(configured)
