@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tsreg.functions.network import Sizes, loss_and_gradient
 from tsreg.operators import ordering
+from tsreg.operators.timeline import Timeline
 from tsreg.plans import sequence as sq
 from tsreg.plans import serve
 from tsreg.sources.stage import fresh_path
@@ -42,12 +43,37 @@ def test_prepare(prepared, waves):
 
 
 def test_one_step_equals_the_single_task_gradient(prepared):
-    pdf = prepared.samples.filter("NOT held_out").toPandas()
+    seen = prepared.samples.filter("NOT held_out")
+    pdf = seen.filter("NOT valid").toPandas()
     x = np.stack(pdf["x"].to_numpy())[:, :, None]
     loss, gradient = loss_and_gradient(SIZES, SIZES.initial(1), x, pdf["y"].to_numpy())
-    got, sums = sq._step(prepared.samples.repartition(5), SIZES, SIZES.initial(1))
+    got, sums = sq._step(seen.repartition(5), SIZES, SIZES.initial(1))
     assert np.allclose(got, gradient) and sums[0] == pytest.approx(loss) and sums[1] == len(pdf)
-    assert sums[3] == prepared.samples.filter("held_out").count()
+    assert sums[3] == prepared.samples.filter("valid").count() > 0
+
+
+def test_the_test_part_is_not_seen_while_fitting(prepared):
+    changed = prepared.samples.withColumn("y", F.when(F.col("held_out"), 1e6).otherwise(F.col("y")))
+    a, b = (sq.fit(s, SIZES, epochs=1) for s in (prepared.samples, changed))
+    assert np.array_equal(a.weights.flat, b.weights.flat) and a.losses.collect() == b.losses.collect()
+    assert not prepared.samples.filter("held_out AND valid").count()
+    last = prepared.samples.filter("NOT valid AND NOT held_out").agg(F.max("date")).first()[0]
+    assert prepared.samples.filter("valid").agg(F.min("date")).first()[0] >= last
+
+
+def test_hourly_series_of_another_key(spark):
+    line = Timeline(by=("kind",), order="ts", grain="hour")
+    rows = spark.range(200).select(
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("kind"),
+        (F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("id") / 2).cast("int"))).alias("ts"),
+        F.sin(F.col("id") / 9).alias("value"),
+    )
+    prepared = sq.prepare(rows, 4, "value", line=line)
+    fitted = sq.fit(prepared.samples, SIZES, epochs=1, line=line)
+    found = sq.predictions(prepared.samples, prepared.scaler, fitted.weights, line=line)
+    assert found.columns == ["kind", "ts", "label", "prediction", "held_out"] and found.count() == 192
+    tested = serve.backtest_sequence(rows, prepared.scaler, fitted.weights, 4, 3, line=line, value="value")
+    assert tested.predictions.count() == 6
 
 
 def test_training_lowers_the_loss(prepared):

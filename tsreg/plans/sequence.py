@@ -114,26 +114,28 @@ def fit(
     seed: int = 42,
     line: Timeline = DAILY,
 ) -> Fitted:
-    """Gradient descent on squared error over samples ``(series, time, x, y, held_out)``.
+    """Gradient descent on squared error over samples ``(series, time, x, y, held_out, valid)``.
 
     ``batches`` = 1 takes one step per epoch on all training samples. With more, each epoch deals
     all of them anew, by hash of key and epoch, into that many batches of about equal size. Loss
     rows ``(epoch, train_loss, valid_loss)`` are means under the weights each step started from;
-    held-out samples are scored in the first step of an epoch and never trained on.
+    samples marked ``valid`` are scored in the first step of an epoch and never trained on.
+    ``held_out`` ones, the test part, take no part at all.
     """
     if batches < 1 or epochs < 1:
         raise ValueError("epochs and batches must be 1 or more")
     spark = samples.sparkSession
     keys = [*line.by, line.order]
-    table = stage(samples.select(*keys, "x", "y", "held_out").repartition(*keys), "sequence-samples")
+    seen = samples.filter(~F.col("held_out")).select(*keys, "x", "y", "valid")
+    table = stage(seen.repartition(*keys), "sequence-samples")
     flat, rule, losses = sizes.initial(seed), Adam(sizes.count(), rate), []
     for epoch in range(1, epochs + 1):
         dealt = table.withColumn("batch", hash_bucket(keys, seed + epoch, batches))
         train, valid = np.zeros(2), np.zeros(2)
         for batch in range(batches):
-            wanted = ~F.col("held_out") & (F.col("batch") == batch)
+            wanted = ~F.col("valid") & (F.col("batch") == batch)
             if batch == 0:
-                wanted = wanted | F.col("held_out")
+                wanted = wanted | F.col("valid")
             gradient, sums = _step(dealt.filter(wanted), sizes, flat)
             train += sums[:2]
             valid += sums[2:]
@@ -147,14 +149,14 @@ def fit(
 
 
 def _step(rows: DataFrame, sizes: Sizes, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient sum of the training rows, and (loss, rows) sums of training and held-out rows."""
+    """Gradient sum of the training rows, and (loss, rows) sums of training and validation rows."""
     shared = rows.sparkSession.sparkContext.broadcast(flat)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = shared.value
         gradient, sums = np.zeros_like(weights), np.zeros(4)
         for batch in batches:
-            held = batch["held_out"].to_numpy(dtype=bool)
+            held = batch["valid"].to_numpy(dtype=bool)
             for part, at in ((batch[~held], 0), (batch[held], 2)):
                 if part.empty:
                     continue
@@ -169,7 +171,7 @@ def _step(rows: DataFrame, sizes: Sizes, flat: np.ndarray) -> tuple[np.ndarray,
         if sums.any():
             yield pd.DataFrame({"gradient": [gradient], "sums": [sums]})
 
-    parts = rows.select("x", "y", "held_out").mapInPandas(
+    parts = rows.select("x", "y", "valid").mapInPandas(
         partial, "gradient array<double>, sums array<double>"
     )
     groups = (
@@ -190,7 +192,8 @@ def _step(rows: DataFrame, sizes: Sizes, flat: np.ndarray) -> tuple[np.ndarray,
 
 @dataclass(frozen=True)
 class Prepared:
-    """Scaled samples with ``held_out`` set for targets behind the cut, and the fitted scaler."""
+    """Scaled samples with ``held_out`` set for targets behind the cut, ``valid`` for those of the last
+    part of the time before it, and the fitted scaler."""
 
     samples: DataFrame
     scaler: PipelineModel
@@ -207,6 +210,8 @@ def prepare(
 ) -> Prepared:
     """Cut by time, scale by the bounds of the train part, build windows over the whole series.
 
+    What lies before the cut is cut once more by the same share: its tail is for validation.
+
     Windows of the first test days reach back into the train part, so no day goes without a sample.
     With ``restart`` they start anew in the test part, whose first ``length`` days then have none.
     """
@@ -222,7 +227,10 @@ def prepare(
         samples = train.unionAll(test)
     else:
         samples = sequence_samples(scaled, "scaled_value", length, line)
-    return Prepared(samples.withColumn("held_out", after(order, cut)), scaler)
+    inner = time_cut(bars.filter(up_to(order, cut)), numerator, denominator, order)
+    tail = F.lit(False) if inner is None else after(order, inner)
+    marks = {"held_out": after(order, cut), "valid": tail & ~after(order, cut)}
+    return Prepared(samples.withColumns(marks), scaler)
 
 
 def serving_samples(

@@ -153,15 +153,18 @@ def cross_validate(
     label: str = "label",
     keys: Sequence[str] = TIME_ORDER,
     seed: int = SEED,
+    staged: bool = False,
 ) -> Tried:
     """k-fold choice with folds drawn from the hash of the key: repeatable under any partitioning.
 
     Gives what ``CrossValidator`` gives on the same fold column, whose check of that column is a
-    Python function called on every row of every fold; here folds are plain filters.
+    Python function called on every row of every fold; here folds are plain filters. ``staged``:
+    ``train`` reads a table that is written already.
     """
     if folds < 2:
         raise ValueError("cross-validation needs 2 or more folds")
-    table = stage(fold_column(train, keys, folds, seed), "cv-train")
+    folded = fold_column(train, keys, folds, seed)
+    table = folded if staged else stage(folded, "cv-train")
     in_fold = F.col("fold")
     splits = [(i, in_fold != i, in_fold == i) for i in range(folds)]
     return _validated(table, splits, estimator, grid, metric, label)
@@ -188,10 +191,12 @@ def rolling_origin(
     metric: str = "rmse",
     label: str = "label",
     first: str = "date",
+    staged: bool = False,
 ) -> Tried:
     """Time-ordered validation: fold i trains on all days up to its cut and scores the block after
-    it, so no model sees rows later than those it is judged on."""
-    table = stage(train, "origin-train")
+    it, so no model sees rows later than those it is judged on. ``staged``: ``train`` reads a table
+    that is written already."""
+    table = train if staged else stage(train, "origin-train")
     day = F.to_date(first)
     splits = [
         (int(c["fold"]), day <= c["train_end"], (day > c["train_end"]) & (day <= c["valid_end"]))
@@ -219,19 +224,23 @@ def train_and_evaluate(
     keys: Sequence[str] = TIME_ORDER,
     seed: int = SEED,
     split: Callable[[DataFrame], Split] = chrono_split,
+    time: str | None = "date",
 ) -> Trained:
-    """Duplicates out, split by time, pipeline, k-fold choice, and the measures of the chosen
+    """Duplicates out, split by time, pipeline, choice of parameters, and the measures of the chosen
     pipeline on both parts as rows ``(split, metric, value)``. ``metric`` steers the choice only.
 
-    Pass another ``split`` (such as a hash split by key) for tables without a time column.
+    The choice is by rolling origin along the column ``time``; with None it is by random folds of
+    ``keys``. Pass another ``split`` too (such as a hash split by key) for tables without time.
     """
     check_vocabulary(df, cat)
     table = stage(dedup_rows(df), "evaluate")
     train, test = split(table)
     pipeline = build_pipeline(estimator, target, num, cat)
-    fitted = cross_validate(
-        train, pipeline, param_maps(pipeline.getStages()[-1], grid), folds, metric, target, keys, seed
-    )
+    maps = param_maps(pipeline.getStages()[-1], grid)
+    if time is None:
+        fitted = cross_validate(train, pipeline, maps, folds, metric, target, keys, seed, staged=True)
+    else:
+        fitted = rolling_origin(train, pipeline, maps, folds, metric, target, time, staged=True)
     rows = [
         (name, m, value)
         for name, part in (("train", train), ("test", test))
