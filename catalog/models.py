@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.network_sql import network_sql
-from catalog.tables import BARS, RANKED, bar_table, query, table
+from catalog.tables import BARS, HOURLY, RANKED, bar_table, hourly, query, table
 from tsreg.functions.features import build_pipeline
 from tsreg.functions.network import Sizes
 from tsreg.operators.ordering import chrono_split
@@ -135,15 +135,14 @@ def tree_grid_search(spark, sf_dir):
     train = chrono_split(bar_table(spark, sf_dir)).train
     head, tail = (serve.labelled(p, serve.BAR_FEATURES) for p in chrono_split(train))
     model = tune.tree()
-    grid = tune.param_maps(model, {"maxDepth": [3, 5], "minInstancesPerNode": [1, 3]})
-    return tune.grid_search(head, tail, model, grid).trials
+    return tune.grid_search(head, tail, model, tune.param_maps(model, tune.TREE_GRID)).trials
 
 
 @query()
 def cv_avg_metrics(spark, sf_dir):
     train, _ = _parts(spark, sf_dir)
     model = tune.linear()
-    grid = tune.param_maps(model, {"regParam": [0.01, 1.0], "elasticNetParam": [0.0, 1.0]})
+    grid = tune.param_maps(model, tune.LINEAR_GRID)
     return tune.mean_metrics(tune.cross_validate(train, model, grid, folds=3))
 
 
@@ -176,11 +175,10 @@ def train_and_evaluate_metrics(spark, sf_dir):
     found = tune.train_and_evaluate(
         bar_table(spark, sf_dir),
         tune.linear(),
-        {"regParam": [0.01, 1.0]},
+        tune.LINEAR_GRID,
         target="close",
         num=serve.BAR_FEATURES,
         cat=["symbol"],
-        folds=3,
     )
     return found.metrics
 
@@ -218,7 +216,10 @@ def backtest_predictions(spark, sf_dir):
 days AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS no FROM fitted WHERE NOT in_train),
 head AS (SELECT label, prediction FROM days WHERE no <= 14)
 SELECT 'linear' AS model, 'rmse' AS metric, round(sqrt(avg((label - prediction) ** 2)), 2) AS value FROM head
-UNION ALL SELECT 'linear', 'mae', round(avg(abs(label - prediction)), 2) FROM head"""
+UNION ALL SELECT 'linear', 'mse', round(avg((label - prediction) ** 2) / 1e6, 2) FROM head
+UNION ALL SELECT 'linear', 'mae', round(avg(abs(label - prediction)), 2) FROM head
+UNION ALL SELECT 'linear', 'mape', round(avg(abs(label - prediction) / label), 6) FROM head
+UNION ALL SELECT 'linear', 'r2', round(1 - avg((label - prediction) ** 2) / var_pop(label), 6) FROM head"""
 )
 def backtest_metrics_by_symbol_horizon(spark, sf_dir):
     train, test = chrono_split(bar_table(spark, sf_dir))
@@ -226,7 +227,10 @@ def backtest_metrics_by_symbol_horizon(spark, sf_dir):
     found = serve.backtest(
         test, model, serve.horizon_days("14 days"), per_series=True, name="linear"
     ).metrics
-    return found.filter(F.col("metric").isin("rmse", "mae")).withColumn("value", F.round("value", 2))
+    value = F.when(F.col("metric").isin("r2", "mape"), F.round("value", 6)).otherwise(
+        F.round(F.when(F.col("metric") == "mse", F.col("value") / 1e6).otherwise(F.col("value")), 2)
+    )
+    return found.withColumn("value", value)
 
 
 @query(
@@ -250,6 +254,7 @@ TINY, STEPS = Sizes(hidden=(2, 2, 2), dense=2), 3
 SCALED = f"""{BARS}, {RANKED},
 edge AS (SELECT min(close) AS lo, max(close) AS hi FROM ranked WHERE rn <= total * 80 // 100),
 scaled AS (SELECT symbol, date, close, lo, hi, rn > total * 80 // 100 AS held_out,
+                  rn > total * 80 // 100 * 80 // 100 AS valid,
                   (close - lo) / (hi - lo) AS v FROM ranked, edge),
 steps AS (SELECT * FROM (
   SELECT *, {', '.join(f'lag(v, {STEPS - t}) OVER w AS x{t}' for t in range(STEPS))}
@@ -274,8 +279,9 @@ def seq_score(spark, sf_dir):
 
 @query(
     f"""WITH {NETWORK}
-SELECT 1 AS epoch, round(avg((network_output - v) ** 2) FILTER (WHERE NOT held_out), 9) AS train_loss,
-       round(avg((network_output - v) ** 2) FILTER (WHERE held_out), 9) AS valid_loss FROM network"""
+SELECT 1 AS epoch, round(avg((network_output - v) ** 2) FILTER (WHERE NOT valid), 9) AS train_loss,
+       round(avg((network_output - v) ** 2) FILTER (WHERE valid), 9) AS valid_loss
+FROM network WHERE NOT held_out"""
 )
 def seq_first_loss(spark, sf_dir):
     """One full-batch epoch: its losses are those of the start weights."""
@@ -299,6 +305,22 @@ def seq_train_loss(spark, sf_dir):
     return sequence.fit(prepared.samples, SMALL, epochs=3, rate=0.01).losses
 
 
+@query()
+def seq_minibatch_loss(spark, sf_dir):
+    """An epoch of four batches, each sample in one of them."""
+    prepared = sequence.prepare(bar_table(spark, sf_dir), 5)
+    return sequence.fit(prepared.samples, SMALL, epochs=1, rate=0.01, batches=4).losses
+
+
+@query()
+def seq_hourly_predictions(spark, sf_dir):
+    """The network on hourly values per event type, one epoch."""
+    rows = stage(hourly(spark, sf_dir).select("symbol", "ts", "value"), "hourly")
+    prepared = sequence.prepare(rows, 5, "value", line=HOURLY)
+    weights = sequence.fit(prepared.samples, SMALL, epochs=1, rate=0.01, line=HOURLY).weights
+    return sequence.predictions(prepared.samples, prepared.scaler, weights, line=HOURLY)
+
+
 @query()
 def seq_backtest(spark, sf_dir):
     """Train briefly, then the measures of the first 30 test days of each series."""

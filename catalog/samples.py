@@ -22,13 +22,16 @@ from tsreg.functions.columns import after, up_to
 from tsreg.operators import ordering, relations, timeline
 from tsreg.plans import sequence, serve
 from tsreg.plans.serve import BAR_FEATURES
+from tsreg.sources.stage import fresh_path
 
 LENGTH = 30
 
 
-def _shown(samples, length: int = LENGTH, *others: str):
-    """A sample by its first, middle and last value instead of the array."""
+def _shown(samples, length: int = LENGTH, *others: str, unit: int = 100):
+    """A sample by its first, middle and last value, and a sum over all values, in whole units, that
+    weighs each by its place."""
     x = F.col("x")
+    weighed = F.transform(x, lambda v, k: F.round(v * unit).cast("bigint") * (k + 1))
     return samples.select(
         "symbol",
         "date",
@@ -37,12 +40,15 @@ def _shown(samples, length: int = LENGTH, *others: str):
         x[0].alias("x_first"),
         x[length // 2].alias("x_middle"),
         x[length - 1].alias("x_last"),
+        F.aggregate(weighed, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("x_check"),
         "y",
         *others,
     )
 
 
-def _samples_sql(length: int = LENGTH, where: str = "", value: str = "close", source: str = "bars") -> str:
+def _samples_sql(
+    length: int = LENGTH, where: str = "", value: str = "close", source: str = "bars", unit: int = 100
+) -> str:
     return f"""
 windows AS (
   SELECT symbol, date, {value} AS y, row_number() OVER (PARTITION BY symbol ORDER BY date) - {length} AS i,
@@ -52,7 +58,8 @@ windows AS (
   FROM {source}),
 samples AS (
   SELECT symbol, date, i, len(x)::BIGINT AS x_size, x[1] AS x_first, x[{length // 2 + 1}] AS x_middle,
-         x[{length}] AS x_last, y
+         x[{length}] AS x_last,
+         list_sum(list_transform(x, lambda v, k: CAST(round(v * {unit}) AS BIGINT) * k))::BIGINT AS x_check, y
   FROM windows WHERE len(x) = {length} {where})"""
 
 
@@ -81,15 +88,15 @@ edge AS (SELECT min(close) AS lo, max(close) AS hi FROM ranked WHERE rn <= total
 scaled AS (
   SELECT symbol, date, (close - lo) / (hi - lo) AS scaled, rn > total * 80 // 100 AS held_out
   FROM ranked, edge),
-{_samples_sql(5, value='scaled', source='scaled')}
+{_samples_sql(5, value='scaled', source='scaled', unit=1_000_000)}
 SELECT s.symbol, s.date, s.i, s.x_size, round(s.x_first, 9) AS x_first, round(s.x_middle, 9) AS x_middle,
-       round(s.x_last, 9) AS x_last, round(s.y, 9) AS y, c.held_out
+       round(s.x_last, 9) AS x_last, s.x_check, round(s.y, 9) AS y, c.held_out
 FROM samples s JOIN scaled c USING (symbol, date)"""
 )
 def sequence_samples_scaled(spark, sf_dir):
     samples = sequence.prepare(supplier_bars(spark, sf_dir), 5).samples
     rounded = {c: F.round(c, 9) for c in ("x_first", "x_middle", "x_last", "y")}
-    return _shown(samples, 5, "held_out").withColumns(rounded)
+    return _shown(samples, 5, "held_out", unit=1_000_000).withColumns(rounded)
 
 
 @query(
@@ -128,6 +135,25 @@ def minmax_scaled(spark, sf_dir):
     return found.select("symbol", "date", *[F.round(n, 9).alias(n) for n in names])
 
 
+@query(
+    f"""WITH {SUPPLIER_BARS}, {RANKED},
+edge AS (SELECT min(close) AS lo, max(close) AS hi FROM ranked WHERE rn <= total * 80 // 100)
+SELECT symbol, date, round((close - lo) / (hi - lo), 9) AS scaled_close, round(close, 6) AS restored
+FROM ranked, edge WHERE rn > total * 80 // 100"""
+)
+def scaler_roundtrip(spark, sf_dir):
+    """A saved and loaded scaler on the test part, there and back."""
+    train, test = ordering.chrono_split(supplier_bars(spark, sf_dir).select("symbol", "date", "close"))
+    path = fresh_path(spark, "scaler")
+    serve.save_model(features.fit_scaler(train, ["close"], "minmax"), path)
+    loaded = serve.load_model("pipeline", path)
+    scaled = features.scaled_columns(loaded, test, ["scaled_close"])
+    restored = features.inverse_scaled(loaded, scaled, "scaled_close", "restored")
+    return restored.select(
+        "symbol", "date", F.round("scaled_close", 9).alias("scaled_close"), F.round("restored", 6).alias("restored")
+    )
+
+
 @query(f"WITH {SUPPLIER_BARS} SELECT symbol, date, close, round(close, 6) AS restored FROM bars")
 def minmax_inverse(spark, sf_dir):
     rows = supplier_bars(spark, sf_dir).select("symbol", "date", "close")

@@ -20,7 +20,7 @@ from catalog.tables import (
 from tsreg.functions import columns
 from tsreg.functions.columns import feature_columns, label_and_features
 from tsreg.operators import clean, ordering, profile, relations, timeline
-from tsreg.sources.bars import read_bars, write_bars_csv
+from tsreg.sources.bars import read_bars, write_bars, write_bars_csv
 from tsreg.sources.stage import fresh_path, stage
 
 NUMBERS = [
@@ -49,6 +49,19 @@ def csv_sink_roundtrip(spark, sf_dir):
     return read_bars(spark, path)
 
 
+@query(
+    f"""WITH {SUPPLIER_BARS}
+SELECT symbol, date, open, high, low, close, adj_close, volume FROM bars
+WHERE date >= DATE '1997-01-01' AND date < DATE '1999-01-01'"""
+)
+def parquet_by_year(spark, sf_dir):
+    """Bars written in year folders, two of which are read back."""
+    path = fresh_path(spark, "bars-by-year")
+    write_bars(bars(spark, sf_dir, "l_suppkey"), path)
+    two = spark.read.parquet(path).filter("year BETWEEN 1997 AND 1998")
+    return two.drop("year")
+
+
 @query("SELECT count(*) AS n_rows, CAST(11 AS BIGINT) AS n_cols FROM lineitem")
 def table_shape(spark, sf_dir):
     return profile.table_shape(table(spark, sf_dir, "lineitem"))
