@@ -92,3 +92,27 @@ def test_null_series_fail_whatever_their_type(spark, kind):
     for call in (tl.series_rank, lambda df, by: tl.sequence_samples(df, "close", 1, by)):
         with pytest.raises(Exception, match="null in key column"):
             call(holed, line).collect()
+
+
+def test_lags_take_one_scan_and_one_wide_shuffle(spark, tmp_path):
+    rows = make_bars(spark, uneven_series()).withColumns({"open": F.col("close") + 1, "note": F.lit("x")})
+    rows.write.parquet(str(tmp_path / "bars"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lagged = tl.add_lags(spark.read.parquet(str(tmp_path / "bars")), ["close"], [1, 3])
+        lagged.collect()
+        plan = lagged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("FileScan") + plan.count("Scan parquet") - plan.count("ReusedExchange") <= 1
+    assert "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("depth", [1, 5, 40, 400])
+def test_deep_lags_of_sparse_series(spark, depth):
+    rows = make_bars(spark, uneven_series())
+    for width in (1, 7, 64):
+        got = by_series(tl.add_lags(rows, ["close"], [depth], tl.Timeline(width=width)).collect())
+        for name, mine in by_series(rows.collect()).items():
+            want = [None] * min(depth, len(mine)) + [r["close"] for r in mine[:-depth]]
+            assert [r[f"close_lag_{depth}"] for r in got[name]] == want[: len(mine)]

@@ -122,63 +122,54 @@ def _last(array: Column, depth: int) -> Column:
     return F.slice(array, F.greatest(F.size(array) - depth + 1, F.lit(1)), F.lit(depth))
 
 
-def _placed(df: DataFrame, line: Timeline) -> DataFrame:
-    """Rows with their position in the bucket and the size of the bucket."""
-    whole_bucket = Window.partitionBy(*line.cell)
-    return (
-        line.bucketed(df)
-        .withColumn("_pos", F.row_number().over(line.inside()))
-        .withColumn("_n", F.count("*").over(whole_bucket))
-    )
-
+def _carried(tails: DataFrame, line: Timeline, depth: int) -> DataFrame:
+    """``tails`` (one row per bucket, ``_tail``: at most ``depth`` last entries of it) with ``_carry``:
+    the last ``depth`` entries before the bucket, oldest first.
 
-def _carried_tails(df: DataFrame, line: Timeline, columns: Sequence[str], depth: int) -> DataFrame:
-    """One row per bucket with ``_carry``: the last ``depth`` entries before it, oldest first.
-
-    Every earlier bucket has at least one row, so ``depth`` earlier buckets suffice, however sparse
-    the series is.
+    The frame goes by the number of entries before a bucket, not by buckets: it holds about three
+    times ``depth`` entries at most, however deep the carry and however sparse the series is.
     """
-    entry = F.struct("_pos", F.struct(*columns).alias("_entry"))
-    tails = (
-        _placed(df.select(*line.by, line.order, *columns), line)
-        .filter(F.col("_pos") > F.col("_n") - depth)
-        .groupBy(*line.cell)
-        .agg(F.sort_array(F.collect_list(entry)).getField("_entry").alias("_tail"))
-    )
-    nearest = line.over_buckets().rowsBetween(-depth, -1)
-    return tails.select(
-        *line.cell, _last(F.flatten(F.collect_list("_tail").over(nearest)), depth).alias("_carry")
+    before = F.coalesce(F.sum(F.size("_tail")).over(line.earlier_buckets()), F.lit(0))
+    nearest = Window.partitionBy(*line.by).orderBy("_before").rangeBetween(1 - 2 * depth, -1)
+    return tails.withColumn("_before", before).withColumn(
+        "_carry", _last(F.flatten(F.collect_list("_tail").over(nearest)), depth)
     )
 
 
 def add_lags(
     df: DataFrame, columns: Sequence[str], depths: Iterable[int], line: Timeline = DAILY
 ) -> DataFrame:
-    """``<column>_lag_<k>``: the value k rows earlier in the series, null before its start."""
+    """``<column>_lag_<k>``: the value k rows earlier in the series, null before its start.
+
+    One wide shuffle: a bucket becomes an array of its rows, in which the lags are looked up, and the
+    carried entries come from the same arrays. Columns must have types that can be ordered.
+    """
     wanted = sorted(set(depths))
     if not wanted or wanted[0] < 1:
         raise ValueError("lags must be 1 or more")
-    near = {
-        f"_near_{column}_{k}": F.lag(column, k).over(line.inside())
-        for column in columns
-        for k in wanted
-    }
-    carried = _carried_tails(df, line, columns, wanted[-1])
-    joined = (
-        line.bucketed(df)
-        .withColumn("_pos", F.row_number().over(line.inside()))
-        .withColumns(near)
-        .join(carried, list(line.cell), "left")
+    others = [c for c in df.columns if c not in (*line.by, line.order)]
+    entry = F.struct(line.order, *others)
+    buckets = (
+        line.bucketed(df).groupBy(*line.cell).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
     )
-    lags = {}
-    for column in columns:
-        for k in wanted:
-            # the carry ends right before position 1 of the bucket
-            place = F.size("_carry") + F.col("_pos") - 1 - k
-            lags[f"{column}_lag_{k}"] = F.when(
-                F.col("_pos") > k, F.col(f"_near_{column}_{k}")
-            ).otherwise(F.get(F.col("_carry").getField(column), place))
-    return joined.withColumns(lags).drop("_bucket", "_pos", "_carry", *near)
+    lagged = F.transform(
+        _last(F.col("_rows"), wanted[-1]), lambda row: F.struct(*[row[c].alias(c) for c in columns])
+    )
+    carried = _carried(buckets.select(*line.cell, lagged.alias("_tail")), line, wanted[-1])
+
+    def with_lags(row: Column, place: Column) -> Column:
+        lags = [
+            F.when(place >= k, F.get(F.col("_rows"), place - k)[c])
+            .otherwise(F.get(F.col("_carry"), F.size("_carry") + place - k)[c])
+            .alias(f"{c}_lag_{k}")
+            for c in columns
+            for k in wanted
+        ]
+        return F.struct(*[row[c].alias(c) for c in (line.order, *others)], *lags)
+
+    joined = buckets.join(carried.select(*line.cell, "_carry"), list(line.cell), "left")
+    rows = joined.select(*line.by, F.inline(F.transform("_rows", with_lags)))
+    return rows.select(*df.columns, *[f"{c}_lag_{k}" for c in columns for k in wanted])
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str], line: Timeline = DAILY) -> DataFrame:
@@ -237,16 +228,16 @@ def sequence_samples(
         .groupBy(*line.cell)
         .agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
     )
-    nearest = line.over_buckets().rowsBetween(-length, -1)
-    carried = buckets.select(
+    tails = buckets.select(
         *line.cell,
         F.size("_rows").alias("_n"),
         _last(F.col("_rows").getField("v"), length).alias("_tail"),
-    ).select(
+    )
+    carried = _carried(tails, line, length).select(
         *line.cell,
         F.coalesce(F.sum("_n").over(line.earlier_buckets()), F.lit(0)).alias("_offset"),
         F.lead("_bucket").over(line.over_buckets()).isNull().alias("_last_bucket"),
-        _last(F.flatten(F.collect_list("_tail").over(nearest)), length).alias("_carry"),
+        "_carry",
     )
     held = F.size("_values") - F.size("_rows")
     rows = (
