@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog.network_sql import network_sql
-from catalog.tables import BARS, HOURLY, RANKED, bar_table, hourly, query, table
+from catalog.tables import BARS, HOURLY, RANKED, bar_table, bucket_sql, hourly, query, table
 from tsreg.functions.features import build_pipeline
 from tsreg.functions.network import Sizes
 from tsreg.operators.ordering import chrono_split
@@ -95,6 +96,53 @@ def pipeline_predictions(spark, sf_dir):
     return _plain(scored.withColumn("label", F.col("close")))
 
 
+@query(
+    f"""WITH {BARS}, {RANKED},
+means AS (SELECT symbol, avg(open) AS mx, avg(close) AS my FROM ranked WHERE rn <= total * 80 // 100 GROUP BY symbol),
+slope AS (SELECT sum((open - mx) * (close - my)) / sum((open - mx) * (open - mx)) AS b
+          FROM ranked JOIN means USING (symbol) WHERE rn <= total * 80 // 100)
+SELECT symbol, date, close AS label, round(my + b * (open - mx), 4) AS prediction
+FROM ranked JOIN means USING (symbol), slope WHERE rn > total * 80 // 100"""
+)
+def pipeline_within_groups(spark, sf_dir):
+    """One number and one slot per series without a penalty: a regression inside the series."""
+    train, test = chrono_split(bar_table(spark, sf_dir))
+    pipeline = build_pipeline(tune.linear(fitIntercept=False), "close", num=["open"], cat=["symbol"])
+    scored = pipeline.fit(train).transform(test)
+    return _plain(scored.withColumn("label", F.col("close")))
+
+
+TREE_VALUES = """
+vals AS (SELECT l_quantity AS q, count(*) AS n, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1),
+upto AS (SELECT q, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER () AS nt, sum(s) OVER () AS st
+         FROM vals WINDOW w AS (ORDER BY q)),
+cut AS (SELECT arg_max(q, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl)) AS c FROM upto WHERE nl < nt),
+sides AS (SELECT q, n, s, q > c AS side FROM vals, cut),
+upto2 AS (SELECT q, side, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER a AS nt, sum(s) OVER a AS st
+          FROM sides WINDOW w AS (PARTITION BY side ORDER BY q), a AS (PARTITION BY side)),
+cut2 AS (SELECT side, arg_max(q, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl)) AS c2
+         FROM upto2 WHERE nl < nt GROUP BY side),
+leaves AS (SELECT q, n, s, side, q > c2 AS leaf FROM sides JOIN cut2 USING (side))"""
+
+
+@query(
+    f"""WITH {TREE_VALUES}
+SELECT q AS l_quantity, n AS n_rows, round(sum(s) OVER w / sum(n) OVER w, 2) AS prediction
+FROM leaves WINDOW w AS (PARTITION BY side, leaf)"""
+)
+def tree_two_levels(spark, sf_dir):
+    """A regression tree of depth 2 on the 50 quantities of the line items."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.lit("all").alias("symbol"), F.to_date("l_shipdate").alias("date"), "l_quantity",
+        F.col("l_extendedprice").alias("close"),
+    )
+    found = tune.tree(maxDepth=2, maxBins=64).fit(serve.labelled(rows, ["l_quantity"]))
+    scored = found.transform(serve.labelled(rows, ["l_quantity"]))
+    return scored.groupBy(vector_to_array("features")[0].alias("l_quantity")).agg(
+        F.count("*").alias("n_rows"), F.round(F.max("prediction"), 2).alias("prediction")
+    )
+
+
 def _simple(spark, sf_dir):
     return serve.labelled(bar_table(spark, sf_dir), ["open"])
 
@@ -146,6 +194,29 @@ def cv_avg_metrics(spark, sf_dir):
     return tune.mean_metrics(tune.cross_validate(train, model, grid, folds=3))
 
 
+@query(
+    f"""WITH {BARS}, {RANKED},
+train AS (SELECT open AS x, close AS y, {bucket_sql(["date", "symbol"], 42, 3)} AS fold
+          FROM ranked WHERE rn <= total * 80 // 100),
+folds AS (SELECT DISTINCT fold FROM train),
+fits AS (SELECT f.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, sum(x * y) / sum(x * x) AS b0
+         FROM folds f JOIN train t ON t.fold <> f.fold GROUP BY f.fold),
+scores AS (SELECT fold, sqrt(avg((y - a - b * x) ** 2)) AS m1, sqrt(avg((y - b0 * x) ** 2)) AS m0
+           FROM fits JOIN train USING (fold) GROUP BY fold),
+means AS (SELECT 0 AS trial, avg(m1) AS m, stddev_samp(m1) AS d FROM scores
+          UNION ALL SELECT 1, avg(m0), stddev_samp(m0) FROM scores)
+SELECT trial, round(m, 3) AS avg_metric, round(d, 3) AS std_metric,
+       row_number() OVER (ORDER BY m, trial) = 1 AS chosen FROM means"""
+)
+def cv_intercepts(spark, sf_dir):
+    """Three folds over the train part, with and without an intercept."""
+    train = serve.labelled(chrono_split(bar_table(spark, sf_dir)).train, ["open"])
+    model = tune.linear()
+    found = tune.mean_metrics(tune.cross_validate(train, model, tune.param_maps(model, INTERCEPTS), folds=3))
+    rounded = {m: F.round(m, 3) for m in ("avg_metric", "std_metric")}
+    return found.drop("params").withColumns(rounded)
+
+
 @query(
     f"""WITH {BARS},
 days AS (SELECT date, count(*) AS n FROM bars GROUP BY date),
@@ -183,6 +254,39 @@ def train_and_evaluate_metrics(spark, sf_dir):
     return found.metrics
 
 
+@query(
+    f"""WITH {BARS}, {RANKED},
+train AS (SELECT * FROM ranked WHERE rn <= total * 80 // 100),
+days AS (SELECT date, count(*) AS n FROM train GROUP BY date),
+cum AS (SELECT *, sum(n) OVER (ORDER BY date) AS upto, sum(n) OVER () AS total FROM days),
+blocks AS (SELECT ((upto - 1) * 6) // total AS block, max(date) AS valid_end FROM cum GROUP BY 1),
+cuts AS (SELECT lag(valid_end) OVER w AS train_end, valid_end FROM blocks WINDOW w AS (ORDER BY block)),
+fits AS (SELECT train_end, valid_end, regr_slope(close, open) AS b, regr_intercept(close, open) AS a,
+                sum(open * close) / sum(open * open) AS b0
+         FROM cuts JOIN train ON date <= train_end GROUP BY ALL),
+scores AS (SELECT train_end, sqrt(avg((close - a - b * open) ** 2)) AS m1, sqrt(avg((close - b0 * open) ** 2)) AS m0
+           FROM fits JOIN train ON date > train_end AND date <= valid_end GROUP BY 1),
+choice AS (SELECT avg(m1) <= avg(m0) AS with_intercept FROM scores),
+fit AS (SELECT CASE WHEN any_value(with_intercept) THEN regr_slope(close, open)
+                    ELSE sum(open * close) / sum(open * open) END AS b,
+               CASE WHEN any_value(with_intercept) THEN regr_intercept(close, open) ELSE 0 END AS a
+        FROM train, choice),
+errors AS (SELECT CASE WHEN rn <= total * 80 // 100 THEN 'train' ELSE 'test' END AS split, close AS y,
+                  close - a - b * open AS e FROM ranked, fit)
+SELECT split, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(abs(e)), 3) AS mae,
+       round(1 - sum(e * e) / (var_pop(y) * count(*)), 7) AS r2, round(avg(abs(e) / y), 7) AS mape
+FROM errors GROUP BY split"""
+)
+def train_and_evaluate_simple(spark, sf_dir):
+    """The whole course on one feature: five folds of rolling origin, then both parts measured."""
+    found = tune.train_and_evaluate(
+        bar_table(spark, sf_dir), tune.linear(), INTERCEPTS, target="close", num=["open"]
+    )
+    wide = found.metrics.groupBy("split").pivot("metric", ["rmse", "mae", "r2", "mape"]).agg(F.first("value"))
+    digits = {"rmse": 3, "mae": 3, "r2": 7, "mape": 7}
+    return wide.select("split", *[F.round(m, d).alias(m) for m, d in digits.items()])
+
+
 @query(f"WITH {OLS} SELECT symbol, date, label, prediction, TRUE AS same FROM fitted WHERE NOT in_train")
 def model_roundtrip(spark, sf_dir):
     train, test = _parts(spark, sf_dir)

@@ -12,6 +12,7 @@ from catalog.tables import (
     SUPPLIER_BARS,
     bar_table,
     bars,
+    bucket_sql,
     hourly,
     query,
     supplier_bars,
@@ -338,17 +339,12 @@ def except_all(spark, sf_dir):
     )
 
 
-def _bucket_sql(keys: list[str], seed: int, buckets: int) -> str:
-    text = " || '|' || ".join([*(f"CAST({k} AS VARCHAR)" for k in keys), f"'{seed}'"])
-    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % {buckets}"
-
-
 SPLIT_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 @query(
     f"""SELECT {', '.join(SPLIT_KEYS)},
-CASE WHEN {_bucket_sql(SPLIT_KEYS, 42, 100)} < 80 THEN 'train' ELSE 'test' END AS part FROM lineitem"""
+CASE WHEN {bucket_sql(SPLIT_KEYS, 42, 100)} < 80 THEN 'train' ELSE 'test' END AS part FROM lineitem"""
 )
 def hash_split(spark, sf_dir):
     train, test = ordering.hash_split(table(spark, sf_dir, "lineitem").select(*SPLIT_KEYS), SPLIT_KEYS)
@@ -357,7 +353,7 @@ def hash_split(spark, sf_dir):
 
 @query(
     f"""WITH {SUPPLIER_BARS}
-SELECT symbol, date, close, CAST({_bucket_sql(["symbol", "date"], 42, 5)} AS INT) AS fold FROM bars"""
+SELECT symbol, date, close, CAST({bucket_sql(["symbol", "date"], 42, 5)} AS INT) AS fold FROM bars"""
 )
 def fold_assignment(spark, sf_dir):
     rows = bars(spark, sf_dir, "l_suppkey").select("symbol", "date", "close")

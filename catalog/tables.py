@@ -142,3 +142,9 @@ def lag_sql(depth: int, source: str = "bars", name: str = "predicted") -> str:
     SELECT symbol, date, close AS label,
            lag(close, {depth}) OVER (PARTITION BY symbol ORDER BY date) AS prediction
     FROM {source}) WHERE prediction IS NOT NULL)"""
+
+
+def bucket_sql(keys: list[str], seed: int, buckets: int) -> str:
+    """``ordering.hash_bucket`` in SQL."""
+    text = " || '|' || ".join([*(f"CAST({k} AS VARCHAR)" for k in keys), f"'{seed}'"])
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % {buckets}"
