@@ -235,3 +235,11 @@ def test_pseudonymise(spark):
     assert found[20].n_found == 2 and found[20].spans == "email:5:28,phone:37:54"
     assert found[21].text in found[20].text  # linked across documents
     assert pseudonyms.pseudonymise(no_documents(spark)).count() == 0
+
+
+def test_secrets_in_a_text_with_very_many(spark):
+    text = "token=aaaaaaaa1 user=bob " * 12_000
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    row = secrets.secret_spans(docs).select("n_assign", F.size("spans").alias("n"), secrets.as_text(F.col("base")).alias("b")).first()
+    assert row.n_assign == 12_000 and row.n == 24_000
+    assert row.b == ",".join(f"assign:{25 * k}:{25 * k + 15}" for k in range(12_000))

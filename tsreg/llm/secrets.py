@@ -31,12 +31,17 @@ ENDPOINT = (
 KINDS = ("assign", "access", "hex", "key", "ident", "endpoint")
 SCOPE = 200
 BIN = 512
+BLOCK = 256
 
 SPAN = "struct<start:bigint,rank:int,end:bigint>"
 
 
 def _spans(kind: str, matches: Column, pieces: Column) -> Column:
-    """Array of spans of one kind: each match starts after the pieces and matches before it."""
+    """Array of spans of one kind: each match starts after the pieces and matches before it.
+
+    Spans are appended block by block, so that a text with very many matches doesn't copy its whole
+    array for each.
+    """
     rank = F.lit(KINDS.index(kind))
     nothing = F.array().cast(f"array<{SPAN}>")
 
@@ -46,16 +51,22 @@ def _spans(kind: str, matches: Column, pieces: Column) -> Column:
         span = F.struct(start.alias("start"), rank.alias("rank"), end.alias("end"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
+    def block(state: Column, first: Column) -> Column:
+        numbers = F.sequence(first, F.least(first + (BLOCK - 1), F.size(matches) - 1))
+        begin = F.struct(state["at"].alias("at"), nothing.alias("out"))
+        return F.aggregate(
+            numbers,
+            begin,
+            step,
+            lambda s: F.struct(s["at"].alias("at"), F.concat(state["out"], s["out"]).alias("out")),
+        )
+
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), nothing.alias("out"))
-    numbers = F.sequence(F.lit(0), F.size(matches) - 1)
-    found = F.aggregate(numbers, begin, step, lambda s: s["out"])
+    firsts = F.sequence(F.lit(0), F.size(matches) - 1, F.lit(BLOCK))
+    found = F.aggregate(firsts, begin, block, lambda s: s["out"])
     return F.when(F.size(matches) > 0, found).otherwise(nothing)
 
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text_key`` (SHA-256 of texts that have weak parts, else null), ``base`` and ``weak`` spans."""
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "key": KEY, "ident": IDENT, "endpoint": ENDPOINT}
@@ -81,11 +92,7 @@ def scan(docs: DataFrame) -> DataFrame:
         }
     )
     df = df.withColumn("base", F.array_sort(F.concat("s_assign", "s_access", "s_hex")))
-    weak = F.filter(
-        F.concat("s_key", "s_ident", "s_endpoint"),
-        lambda w: ~F.exists("base", lambda b: _overlaps(b, w)),
-    )
-    df = df.withColumn("weak", weak)
+    df = df.withColumn("weak", F.concat("s_key", "s_ident", "s_endpoint"))
     # one part alone links to nothing
     linkable = (F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)
     return df.select(
@@ -100,7 +107,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def linked_parts(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``text_key`` and its weak spans that have their complement within ``scope`` characters.
 
-    A key needs an identifier, a named identifier needs a secret, an endpoint needs both. Intervals
+    A key needs an identifier, a named identifier needs a secret, an endpoint needs both; what
+    overlaps a strong span is part of it already. Intervals
     are listed under the bins of the text they touch, widened by the scope on the asking side; only
     parts of one bin of one text meet. Equal texts are linked once.
     """
@@ -124,8 +132,9 @@ def linked_parts(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     found = met.groupBy("text_key", "w").agg(
         F.bool_or(F.col("o.rank").isin(*identifiers)).alias("has_identifier"),
         F.bool_or(F.col("o.rank").isin(*secrets)).alias("has_secret"),
+        F.bool_or((apart < 0) & (F.col("o.rank") < rank["key"])).alias("covered"),
     )
-    complete = (
+    complete = ~F.col("covered") & (
         F.when(F.col("w.rank") == rank["key"], F.col("has_identifier"))
         .when(F.col("w.rank") == rank["ident"], F.col("has_secret"))
         .otherwise(F.col("has_identifier") & F.col("has_secret"))
