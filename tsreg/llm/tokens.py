@@ -140,10 +140,11 @@ def frequent_pretokens(docs: DataFrame, n: int = FREQUENT) -> list[bytes]:
     sketches = chunks.groupBy("group").agg(
         F.expr(f"approx_top_k_accumulate(chunk, {SKETCH_ITEMS})").alias("sketch")
     )
-    top = sketches.agg(
+    # grouped by a constant, as there may be no chunk and so no sketch at all
+    top = sketches.groupBy(F.lit(0).alias("all")).agg(
         F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {SKETCH_ITEMS}), {n})").alias("top")
     ).first()
-    return [row["item"].encode() for row in (top["top"] or [])]
+    return [row["item"].encode() for row in top["top"]] if top else []
 
 
 def length_table(source: str, chunks: list[bytes]) -> tuple[bytes, bytes]:
