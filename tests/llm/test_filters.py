@@ -197,11 +197,12 @@ VALUES = {
     "address": ["10.0.0.1", "255.255.255.255"],
     "date": ["2020-02-29", "31.12.1999", "12/25/2001", "25/12/2001"],
     "social": ["078-05-1120"],
-    "phone": ["+1 (017) 555-7713", "+49 30 123 4567", "(212) 555-0100"],
+    "phone": ["+1 (017) 555-7713", "+49 30 123 4567", "(212) 555-0100", "212-555-0100", "987.654.3210"],
     "email": ["a.b27@mail6.example.com", "É.x@y.org"],
 }
 LEFT = ["4929348385146307", "0000000000000000", "DE88 3704 0044 0532 0130 00", "256.1.1.1", "2021-02-29",
-        "32.12.1999", "000-05-1120", "1850-01-01", "12345", "x@y", "1.2.3.4.5", "3.14"]
+        "32.12.1999", "000-05-1120", "1850-01-01", "12345", "x@y", "1.2.3.4.5", "3.14", "112-555-0100", "212-555.0100",
+        "1-212-555-01001"]
 
 
 def test_values():
@@ -217,6 +218,8 @@ def test_values():
             assert [s[2] for s in found] == [kind]
             assert pseudonyms.replace(f"other {value}!", SECRET)[0] == f"other {new[2:-3]}!"
             assert pseudonyms.replace(value, b"z" * 32)[0] != new[2:-3] or kind == "email"
+    after, spans = pseudonyms.replace("+1 (017) 555-7713 1234 5678", SECRET)
+    assert spans == [(0, 17, "phone")] and after.endswith(" 1234 5678")
     for value in LEFT:
         assert pseudonyms.replace(f"x {value} y", SECRET) == (f"x {value} y", []), value
 

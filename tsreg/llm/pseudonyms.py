@@ -145,9 +145,13 @@ def phone(text: str, how) -> str | None:
     country = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
     begin = country.end() if country else 0
     digits = _digits(text[begin:])
-    if not 7 <= len(digits) <= 12:
+    n = len(digits)
+    if not 7 <= n <= 12:
         return None
-    return text[:begin] + _refill(text[begin:], f"{permute(int(digits), 10 ** len(digits), *how):0{len(digits)}d}")
+    # a bare number keeps to the range that is read as one
+    bare = begin == 0 and text[0] != "("
+    number = permute_valid(int(digits), 10**n, lambda k: not bare or k >= 2 * 10 ** (n - 1), *how)
+    return text[:begin] + _refill(text[begin:], f"{number:0{n}d}")
 
 
 def address(text: str, how) -> str | None:
@@ -217,8 +221,10 @@ KINDS = (
     Kind(
         "phone",
         re.compile(
-            r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}"
-            r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4})(?![0-9])"
+            r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}"
+            r"|\+[0-9]{1,3}[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}"
+            r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}"
+            r"|(?<![0-9][.-])[2-9][0-9]{2}([.-])[0-9]{3}\1[0-9]{4})(?![0-9]|[.-][0-9])"
         ),
         phone,
     ),
