@@ -28,8 +28,9 @@ SKETCH_ITEMS = 1 << 16
 SKETCH_GROUPS = 32
 LIMIT = 2048
 
-# letters that no normalisation to NFC changes and that lower-case one to one; no apostrophe, no "<"
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\[-`{-~]*)")
+# a chunk a line: letters that no normalisation to NFC changes and that lower-case one to one, then
+# marks without apostrophe and "<"; or anything else
+PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]{0,64})([!-&(-/:;=-@\[-`{-~]{0,64})|(.*))$", re.MULTILINE)
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -71,40 +72,35 @@ class Encoder:
             self.pretokens.update(zip(group, cut))
 
     def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of chunks without ASCII white space."""
+        """Ids of chunks, which have no ASCII white space and are not empty."""
+        if not chunks:
+            return []
         if len(self.pretokens) > self.entries:
             self.pretokens.clear()
-        parts: list[tuple[str, str] | None] = []
-        new: dict[str, None] = {}
-        other: list[str] = []
-        for chunk in chunks:
-            text = chunk.decode("utf-8", "replace")
-            match = PLAIN.fullmatch(text) if len(text) <= LONGEST_CACHED else None
-            if match is None:
-                other.append(text)
-                parts.append(None)
-                continue
-            word, marks = match[1].lower(), match[2]
-            for piece in (word, marks):
-                if piece and piece not in self.pretokens:
-                    new[piece] = None
-            parts.append((word, marks))
-        self._encode_pretokens(list(new))
-        rest = iter(self._singly(other))
-        known = self.pretokens | {"": b""}
-        return [next(rest) if p is None else known[p[0]] + known[p[1]] for p in parts]
+        lines = PLAIN.findall(b"\n".join(chunks).decode("utf-8", "replace"))
+        words, marks = [line[0].lower() for line in lines], [line[1] for line in lines]
+        self._encode_pretokens(list({*words, *marks}.difference(self.pretokens, [""])))
+        known = self.pretokens
+        known[""] = b""
+        ids = [known[word] + known[mark] for word, mark in zip(words, marks)]
+        other = [k for k, line in enumerate(lines) if line[2]]
+        for k, raw in zip(other, self._singly([lines[k][2] for k in other])):
+            ids[k] = raw
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of whole texts."""
         split = [text.split() for text in texts]
         if len(self.chunks) > self.entries:
             self.chunks.clear()
-        distinct: set[bytes] = set().union(*split)
-        missing = [c for c in distinct if c not in self.chunks]
-        found = dict(zip(missing, self.encode_chunks(missing)))
-        self.chunks.update((c, i) for c, i in found.items() if len(c) <= LONGEST_CACHED)
-        known = {c: found[c] if c in found else self.chunks[c] for c in distinct}
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        missing = list(set().union(*split).difference(self.chunks))
+        self.chunks.update(zip(missing, self.encode_chunks(missing)))
+        look = self.chunks.__getitem__
+        ids = [b"".join(map(look, chunks)) for chunks in split]
+        for chunk in missing:
+            if len(chunk) > LONGEST_CACHED:
+                del self.chunks[chunk]
+        return ids
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -166,8 +162,7 @@ class Counter:
         split = [text.split() for text in texts]
         if len(self.lengths) > len(self.frequent) + self.encoder.entries:
             self.lengths = dict(self.frequent)
-        distinct: set[bytes] = set().union(*split)
-        missing = [c for c in distinct if c not in self.lengths]
+        missing = list(set().union(*split).difference(self.lengths))
         for start in range(0, len(missing), 50_000):
             part = missing[start : start + 50_000]
             self.lengths.update(
