@@ -122,7 +122,7 @@ upto2 AS (SELECT q, side, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER
           FROM sides WINDOW w AS (PARTITION BY side ORDER BY q), a AS (PARTITION BY side)),
 cut2 AS (SELECT side, arg_max(q, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl)) AS c2
          FROM upto2 WHERE nl < nt GROUP BY side),
-leaves AS (SELECT q, n, s, side, q > c2 AS leaf FROM sides JOIN cut2 USING (side))"""
+leaves AS (SELECT q, n, s, side, coalesce(q > c2, FALSE) AS leaf FROM sides LEFT JOIN cut2 USING (side))"""
 
 
 @query(
