@@ -327,7 +327,8 @@ def classified(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Dat
         F.coalesce("label", "fingerprint").alias("label"),
         F.when(F.col("label").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    return found.join(classes, "fingerprint")
+    # a join of two plain tables: Spark can split it where very many rows share one fingerprint
+    return found.join(stage(classes, "simhash-classes"), "fingerprint")
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
