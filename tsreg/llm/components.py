@@ -20,8 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round is joins and groupings over the edges, written to the shared folder; the number of
     rounds grows with the logarithm of the nodes. The driver sees one count and one checksum a round.
-    The minimum of a node's neighbours combines before the shuffle, and the join that hands it to
-    them can be split where a node has very many.
+    The minimum of a node's neighbours combines before the shuffle. It is written before it is handed
+    to them, so that the join is one of plain tables, which Spark splits where a node has very many.
     """
     stars = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     stars = stage(stars.filter("u <> v").distinct(), "stars")
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every larger neighbour of u is tied to the smallest node around u
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
+        low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low")), "stars-low")
         large = (
             both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         ).distinct()
