@@ -100,6 +100,34 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert got == {(k, k) for k in range(12)}
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_every_edited_copy_that_aligns_is_found(spark, copies):
+    """One word in 4 to 7 replaced: against brute force, whether or not the item is in the corpus as it is."""
+    rng = random.Random(21)
+    items = [prose(rng, n) for n in (15, 24, 31, 40, 57)]
+    rows, want = [], set()
+    for every in range(4, 8):
+        for k, item in enumerate(items):
+            words = item.split()
+            words[every - 1 :: every] = [f"changed{j}" for j in range(len(words) // every)]
+            doc_id = 100 * every + k
+            rows.append((doc_id, f"{prose(rng, 80)} {' '.join(words)} {prose(rng, 80)}"))
+    if copies:
+        rows += [(1000 + k, f"{prose(rng, 20)} {t}") for k, t in enumerate(items)]
+    for doc_id, text in rows:
+        for k, item in enumerate(items):
+            number = {w: n for n, w in enumerate(item.split())}
+            target = np.array([number[w] for w in item.split()])
+            score = slow_align(target, np.array([number.get(w, -1) for w in text.split()]))
+            if score >= decontaminate.SIMILARITY * MATCH * len(target):
+                want.add((doc_id, k))
+    assert len(want) >= len(rows)  # all of them align
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == want
+
+
 @pytest.fixture()
 def corpus(spark, tmp_path):
     """Documents with planted copies, near copies, leaks and junk, some labelled."""

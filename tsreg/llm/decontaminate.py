@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 1. Items are cut into words; every n-gram of ``GRAM`` words gets an exact number.
-2. One pass over the documents marks the items' n-grams in each text, counts in how many documents
-   each occurs, and keeps the passages around clusters of marks. Nothing else of the text moves.
-3. Seeds: of each run of ``WINNOW`` successive n-grams of an item, the rarest over the whole corpus.
-   An item has seeds however common its text is, so a passage that half the corpus repeats is found.
-4. Seeds join passages to items; pairs with two seeds are aligned word by word.
+2. One pass over the documents marks the items' n-grams in each text and cuts passages around clusters
+   of marks. All of an item's n-grams are seeds, so those that an edit leaves are enough.
+3. A passage is kept with the items of which it holds two distinct n-grams (one, if the item is short or
+   has no other). Nothing else of the text moves. Each pair is aligned word by word.
 
 The benchmark is the stated query set. It is split into blocks of at most ``BLOCK_WORDS`` words, whose
 index is broadcast, and each block makes its own pass over the documents.
@@ -22,15 +21,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsreg.llm.common import map_arrow, texts_of
 from tsreg.sources.stage import stage
 
 GRAM = 3
-WINNOW = 4
 SEEDS = 2
 BLOCK_WORDS = 1_000_000
 SEGMENT = 1024
@@ -53,7 +50,10 @@ def words_of(text: bytes) -> list[str]:
 class Index(NamedTuple):
     vocabulary: dict[str, int]  # from 1
     grams: np.ndarray  # sorted n-gram numbers
-    alone: np.ndarray  # n-grams of items that have no other
+    edges: np.ndarray  # where the owners of each n-gram begin, and the end of the last
+    owners: np.ndarray  # items that have the n-gram, by number
+    keys: np.ndarray  # of the items
+    needed: np.ndarray  # distinct n-grams that a passage must hold of each item
 
 
 def _numbers(words: list[str], vocabulary: dict[str, int]) -> np.ndarray:
@@ -72,18 +72,32 @@ def gram_numbers(ids: np.ndarray) -> np.ndarray:
     return np.where(known, number, -1)
 
 
-def build_index(items: list[list[str]]) -> Index:
+def build_index(items: list[list[str]], keys: list[int]) -> Index:
     vocabulary: dict[str, int] = {}
     for words in items:
         for word in words:
             vocabulary.setdefault(word, len(vocabulary) + 1)
     if len(vocabulary) >= 1 << BITS:
         raise ValueError("a block of the benchmark has too many different words")
-    each = [gram_numbers(_numbers(words, vocabulary)) for words in items]
-    nothing = [np.zeros(0, np.int64)]
-    grams = np.unique(np.concatenate(nothing + each))
-    alone = np.unique(np.concatenate(nothing + [g for g in each if len(g) == 1]))
-    return Index(vocabulary, grams, np.isin(grams, alone))
+    each = [np.unique(gram_numbers(_numbers(words, vocabulary))) for words in items]
+    held = np.array([len(g) for g in each], np.int64)
+    every = np.concatenate([np.zeros(0, np.int64), *each])
+    order = np.argsort(every, kind="stable")
+    grams, first = np.unique(every[order], return_index=True)
+    short = np.array([len(words) < SHORT_ITEM for words in items], bool)
+    needed = np.where(short, 1, np.minimum(SEEDS, held))
+    owners = np.repeat(np.arange(len(items)), held)[order]
+    return Index(vocabulary, grams, np.append(first, len(every)), owners, np.array(keys, np.int64), needed)
+
+
+def items_met(index: Index, slots: np.ndarray) -> np.ndarray:
+    """Keys of the items of which the n-grams at ``slots`` of the index are enough seeds."""
+    slots = np.unique(slots)
+    first = index.edges[slots]
+    counts = index.edges[slots + 1] - first
+    places = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    items, found = np.unique(index.owners[places], return_counts=True)
+    return index.keys[items[found >= index.needed[items]]]
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -126,31 +140,17 @@ def clusters(places: np.ndarray) -> list[tuple[int, int]]:
     return ranges
 
 
-MARKS = (
-    "uid bigint, doc_id {kind}, text_key bigint, start bigint, words string, "
-    "marks array<struct<place:bigint,gram:bigint>>, gram bigint, documents bigint"
-)
+PASSAGES = "doc_id {kind}, text_key bigint, start bigint, words string, items array<bigint>"
 
 
 def marked_passages(docs: DataFrame, index) -> DataFrame:
-    """Passages with their marks, and rows (``gram``, ``documents``) with the counts of each task."""
+    """Passages with the keys of the items that they hold enough seeds of."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Index = index.value
-        counts = np.zeros(len(found.grams), np.int64)
-        uid = TaskContext.get().partitionId() << 40
-        mark = pa.list_(pa.struct([("place", pa.int64()), ("gram", pa.int64())]))
-        id_type = None
-
-        def rows_of(rows: list[tuple]) -> pa.RecordBatch:
-            types = [pa.int64(), id_type, pa.int64(), pa.int64(), pa.string(), mark, pa.int64(), pa.int64()]
-            names = ["uid", "doc_id", "text_key", "start", "words", "marks", "gram", "documents"]
-            columns = zip(*rows) if rows else [()] * len(types)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
         for batch in batches:
-            id_type, rows = batch.column(0).type, []
+            rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 words = words_of(text)
                 numbers = gram_numbers(_numbers(words, found.vocabulary))
@@ -163,81 +163,23 @@ def marked_passages(docs: DataFrame, index) -> DataFrame:
                 places, slots = places[real], slots[real]
                 if not len(places):
                     continue
-                counts[np.unique(slots)] += 1
                 key = xxhash.xxh64_intdigest(text, 42)
                 key = key - (1 << 64) if key >> 63 else key
                 for low, high in clusters(places):
-                    if len(np.unique(slots[low:high])) < SEEDS and not found.alone[slots[low:high]].any():
+                    met = items_met(found, slots[low:high])
+                    if not len(met):
                         continue
                     first = max(0, int(places[low]) - GAP)
                     held = " ".join(words[first : int(places[high - 1]) + GRAM + GAP])
-                    marks = [
-                        {"place": p, "gram": g}
-                        for p, g in zip(places[low:high].tolist(), found.grams[slots[low:high]].tolist())
-                    ]
-                    rows.append((uid, doc_id, key, first, held, marks, None, None))
-                    uid += 1
+                    rows.append((doc_id, key, first, held, met))
             if rows:
-                yield rows_of(rows)
-        seen = np.flatnonzero(counts)
-        for low in range(0, len(seen), 65536):
-            part = seen[low : low + 65536]
-            yield rows_of(
-                [
-                    (None, None, None, None, None, None, g, n)
-                    for g, n in zip(found.grams[part].tolist(), counts[part].tolist())
-                ]
-            )
+                types = [batch.column(0).type, pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                    names=["doc_id", "text_key", "start", "words", "items"],
+                )
 
-    return map_arrow(docs.select("doc_id", "text"), run, MARKS.format(kind=kind.simpleString()))
-
-
-def item_grams(items: DataFrame, index) -> DataFrame:
-    """``item_key``, ``place``, ``gram`` of every n-gram of the items of a block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, places, grams = [], [], []
-            for key, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                numbers = gram_numbers(_numbers(words, index.value.vocabulary))
-                keys += [key] * len(numbers)
-                places += range(len(numbers))
-                grams += numbers.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in (keys, places, grams)], names=["item_key", "place", "gram"]
-            )
-
-    return map_arrow(items.select("item_key", "words"), run, "item_key bigint, place bigint, gram bigint")
-
-
-def rare_seeds(grams: DataFrame, documents: DataFrame) -> DataFrame:
-    """``item_key``, ``gram``, ``seed`` (its place), ``needed``: the rarest n-gram of each window of an item.
-
-    Rare means few pairs of a document and an item that share the n-gram.
-    """
-    items = grams.groupBy("gram").agg(F.countDistinct("item_key").alias("items"))
-    known = documents.groupBy("gram").agg(F.sum("documents").alias("documents"))
-    weighed = (
-        grams.join(items, "gram")
-        .join(known, "gram", "left")
-        .select(
-            "item_key",
-            F.struct(
-                (F.coalesce("documents", F.lit(0)) * F.col("items")).alias("pairs"),
-                F.xxhash64("gram").alias("tie"),
-                F.col("place"),
-                F.col("gram"),
-            ).alias("one"),
-            "place",
-        )
-    )
-    run = Window.partitionBy("item_key").orderBy("place").rowsBetween(0, WINNOW - 1)
-    rarest = weighed.select("item_key", F.min("one").over(run).alias("one")).distinct()
-    seeds = rarest.select("item_key", F.col("one.gram").alias("gram"), F.col("one.place").alias("seed"))
-    needed = seeds.groupBy("item_key").agg(
-        F.least(F.lit(SEEDS), F.countDistinct("gram")).alias("needed")
-    )
-    return seeds.join(needed, "item_key")
+    return map_arrow(docs.select("doc_id", "text"), run, PASSAGES.format(kind=kind.simpleString()))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
@@ -302,23 +244,14 @@ def aligned(pairs: DataFrame) -> DataFrame:
 def _block_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     texts = items.dropDuplicates(["item_key"]).select("item_key", "words")
     # at most about BLOCK_WORDS words, by the split into blocks
-    words = [row["words"] for row in texts.select("words").collect()]
-    index = docs.sparkSession.sparkContext.broadcast(build_index(words))
-    marks = stage(marked_passages(docs, index), "decontaminate-marks")
-    passages = marks.filter("uid IS NOT NULL")
-    counts = marks.filter("gram IS NOT NULL").select("gram", "documents")
-    seeds = rare_seeds(item_grams(texts, index), counts)
-    met = (
-        passages.select("uid", F.explode("marks").alias("mark"))
-        .select("uid", F.col("mark.gram").alias("gram"))
-        .distinct()
-        .join(seeds, "gram")
-        .groupBy("uid", "item_key")
-        .agg(F.countDistinct("gram").alias("found"), F.first("needed").alias("needed"))
-        .filter("found >= needed")
-        .select("uid", "item_key")
+    rows = texts.collect()
+    index = docs.sparkSession.sparkContext.broadcast(
+        build_index([row["words"] for row in rows], [row["item_key"] for row in rows])
+    )
+    passages = stage(marked_passages(docs, index), "decontaminate-passages")
+    pairs = passages.withColumn("item_key", F.explode("items")).join(
+        texts.withColumnRenamed("words", "item_words"), "item_key"
     )
-    pairs = passages.join(met, "uid").join(texts.withColumnRenamed("words", "item_words"), "item_key")
     return aligned(pairs)
 
 
