@@ -128,6 +128,29 @@ def test_every_edited_copy_that_aligns_is_found(spark, copies):
     assert got == want
 
 
+def test_long_items_have_no_short_segment(spark):
+    rng = random.Random(9)
+    for n in (0, 1, 1024, 1025, 1027, 1792, 1793, 5000):
+        words = [str(k) for k in range(n)]
+        parts = decontaminate.segments(words)
+        assert {w for p in parts for w in p} == set(words) and all(len(p) == min(n, 1024) for p in parts)
+        shared = [len(set(a) & set(b)) for a, b in zip(parts, parts[1:])]
+        assert all(s >= decontaminate.SHARED for s in shared)
+    long = [f"w{k}" for k in range(1024)] + "of the same".split()
+    rows = [
+        (0, f"{prose(rng, 60)} of the same {prose(rng, 60)}"),
+        (2, f"{prose(rng, 60)} {' '.join(long[500:570])}"),
+        (3, f"{prose(rng, 60)} {' '.join(long[985:1027])} {prose(rng, 60)}"),  # 42 words are not enough
+    ]
+    across = [f"v{k}" for k in range(1500)]
+    rows.append((4, f"{prose(rng, 60)} {' '.join(across[990:1060])} {prose(rng, 60)}"))  # over word 1024
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = [(0, " ".join(long)), (1, " ".join(across))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == {(2, 0), (4, 1)}
+
+
 @pytest.fixture()
 def corpus(spark, tmp_path):
     """Documents with planted copies, near copies, leaks and junk, some labelled."""

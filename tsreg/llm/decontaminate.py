@@ -31,6 +31,7 @@ GRAM = 3
 SEEDS = 2
 BLOCK_WORDS = 1_000_000
 SEGMENT = 1024
+SHARED = 256  # words that segments have in common: LONG_MATCH equal words and their edits fit in
 GAP = 64  # words between marks of one passage, and words kept around it
 PASSAGE = 4096
 OVERLAP = 512
@@ -100,6 +101,14 @@ def items_met(index: Index, slots: np.ndarray) -> np.ndarray:
     return index.keys[items[found >= index.needed[items]]]
 
 
+def segments(words: list[str]) -> list[list[str]]:
+    """Whole item, or pieces of ``SEGMENT`` words, none shorter, that share at least ``SHARED`` words."""
+    last = len(words) - SEGMENT
+    if last <= 0:
+        return [words] if words else []
+    return [words[low : low + SEGMENT] for low in [*range(0, last, SEGMENT - SHARED), last]]
+
+
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """``item_id``, ``item_key``, ``words``: long items in segments; equal segments share their key."""
 
@@ -107,9 +116,7 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for item_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                words = words_of(text)
-                for low in range(0, len(words), SEGMENT):
-                    held = words[low : low + SEGMENT]
+                for held in segments(words_of(text)):
                     key = xxhash.xxh64_intdigest(" ".join(held).encode(), 42)
                     rows.append((item_id, key - (1 << 64) if key >> 63 else key, held))
             ids, keys, words = zip(*rows) if rows else ((), (), ())
