@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tests.llm.cases import no_documents, odd_documents, plain, prose
-from tsreg.llm import exact_dedup, simhash
+from tsreg.llm import exact_dedup, minhash, simhash
 from tsreg.llm.components import components
 
 
@@ -190,3 +191,37 @@ def test_near_groups(spark):
     assert sorted(kept) == sorted(set(roots.values()))
     ids = {roots[slow_fingerprint(r.text)]: r.doc_id for r in left.collect()}
     assert ids == {root: low.get(root) for root in set(roots.values())}
+
+
+@pytest.mark.parametrize("rows", [1024, 16])
+def test_pipeline_drops_near_copies_at_jaccard(spark, monkeypatch, rows):
+    """Against brute force: links within 4 bits or at 0.8 on five-word shingles; big components in chunks too."""
+    monkeypatch.setattr(minhash, "CELL_ROWS", rows)
+    rng = random.Random(6)
+    texts = []
+    for n in (100, 300, 1000):
+        for _ in range(15):
+            words = prose(rng, n).split()
+            copy = [rng.choice(["new", "other"]) + str(k) if rng.random() < 1 / 60 else w for k, w in enumerate(words)]
+            texts += [" ".join(words), " ".join(copy)]
+    base = prose(rng, 200).split()
+    for k in range(60):  # copies of one text, most of them closer to it than to each other
+        at = rng.sample(range(200), rng.randint(1, 8))
+        texts.append(" ".join(f"x{k}" if j in at else w for j, w in enumerate(base)))
+    texts += [" ".join(base), "one two", "one two three four five", "one two three four five six", "", None]
+    sets = []
+    for text in texts:
+        words = normal(text).split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    prints = [slow_fingerprint(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            near = shared and shared >= 0.8 * len(sets[i] | sets[j])
+            if (near or (prints[i] ^ prints[j]).bit_count() <= 4) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if k == high else k for k in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    left = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(label))

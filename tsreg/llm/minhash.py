@@ -1,0 +1,157 @@
+"""Links between texts of a high Jaccard similarity of their word shingles.
+
+Texts that agree on a whole band of MinHash values are candidates: at a similarity of 0.8 a pair
+agrees on one of 26 bands of 6 with a probability of 0.9996. The candidates' components are compared in
+full and exactly: shared shingles of all pairs of a cell are counted as products of 0/1 matrices. A
+component of any size is dealt into chunks, and each pair of chunks is a cell of its own.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tsreg.llm.common import lowered, map_arrow, texts_of
+from tsreg.llm.components import components, settle
+from tsreg.sources.stage import stage
+
+WIDTH = 5
+JACCARD = 0.8
+BANDS, ROWS = 26, 6
+CELL_ROWS = 1024  # of a chunk; a cell has two
+CELL_SHINGLES = 1 << 20
+SLAB = 2048  # shingles that are counted at a time
+FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct XXH64 of the runs of ``width`` words; none for texts with fewer words."""
+    words = text.split()
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts, stops = (ends - lengths).tolist(), ends[width - 1 :].tolist()
+    hashes = [xxhash.xxh64_intdigest(joined[a:b], 43) for a, b in zip(starts, stops)]
+    return np.unique(np.array(hashes, np.uint64))
+
+
+def band_keys(held: np.ndarray) -> list[int]:
+    """Signed 64-bit key of each band of MinHash values; none without shingles."""
+    if not len(held):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for low in range(0, len(held), 512):
+        np.minimum(least, (FACTORS[:, None] * held[None, low : low + 512]).min(axis=1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``text_key``, ``bands``, ``shingles`` of every row with at least ``WIDTH`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, bands, held = [], [], []
+            for raw, text in zip(texts_of(batch.column(0)), lowered(batch.column(0))):
+                mine = shingles(text)
+                if len(mine):
+                    keys.append(xxhash.xxh64_intdigest(raw, 42))
+                    bands.append(band_keys(mine))
+                    held.append(mine.view(np.int64))
+            many = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(bands, many), pa.array(held, many)],
+                names=["text_key", "bands", "shingles"],
+            )
+
+    return map_arrow(docs.select("text"), run, "text_key bigint, bands array<bigint>, shingles array<bigint>")
+
+
+def similar_pairs(flat: np.ndarray, sizes: np.ndarray, jaccard: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of all pairs of sets with at least this similarity; ``flat`` has one set after another."""
+    n = len(sizes)
+    order = np.argsort(flat, kind="stable")
+    value, owner = flat[order], np.repeat(np.arange(n), sizes)[order]
+    first = np.append(True, value[1:] != value[:-1])[: len(value)]
+    number = np.cumsum(first) - 1
+    shared = np.bincount(number)[number] > 1
+    owner, column = owner[shared], np.cumsum(first[shared]) - 1
+    common = np.zeros((n, n), np.float32)
+    edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + SLAB, SLAB))
+    for low, high in zip(edges, edges[1:]):
+        part = column[low:high] - column[low]
+        table = np.zeros((n, part[-1] + 1), np.float32)
+        table[owner[low:high], part] = 1
+        common += table @ table.T
+    lefts, rights = np.nonzero(np.triu(common, 1))
+    both = common[lefts, rights].astype(np.float64)
+    near = both >= jaccard * (sizes[lefts] + sizes[rights] - both) - 1e-9
+    return lefts[near], rights[near]
+
+
+def jaccard_links(docs: DataFrame, prints: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """Links ``u``, ``v`` of fingerprints that connect the texts with at least this similarity.
+
+    ``prints`` has the ``fingerprint`` of each ``text_key``.
+    """
+    found = stage(sketches(docs), "minhash")
+    keyed = found.select("text_key", F.explode("bands").alias("key"))
+    low = keyed.groupBy("key").agg(F.min("text_key").alias("v"), F.max("text_key").alias("top"))
+    low = stage(low.filter("v < top").select("key", "v"), "minhash-bands")
+    edges = keyed.join(low, "key").select(F.col("text_key").alias("u"), "v").filter("u <> v")
+    groups = components(edges).select(F.col("node").alias("text_key"), "component")
+    named = groups.join(prints.select("text_key", "fingerprint").distinct(), "text_key")
+    members = stage(
+        named.join(found.select("text_key", "shingles"), "text_key").dropDuplicates(["text_key"]),
+        "minhash-members",
+    )
+    chunks = F.greatest(
+        F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum(F.size("shingles")) / CELL_SHINGLES)
+    )
+    shared = stage(members.groupBy("component").agg(chunks.alias("chunks")), "minhash-chunks")
+    mine = F.pmod(F.xxhash64("text_key", F.lit(7)), F.col("chunks"))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
+    cells = (
+        members.join(shared, "component")
+        .select("component", "fingerprint", "shingles", mine.alias("mine"), other.alias("other"))
+        .select("component", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "fingerprint", "shingles")
+        .repartition("component", "a", "b")
+        .sortWithinPartitions("component", "a", "b")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def links() -> pa.RecordBatch:
+            fingerprint, sizes, flat = (np.concatenate(c) for c in zip(*held))
+            label = settle(len(sizes), *similar_pairs(flat, sizes, jaccard))
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(fingerprint[linked]), pa.array(fingerprint[label[linked]])], names=["u", "v"]
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]])
+            starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+                if cell != (key := tuple(keys[:, start].tolist())):
+                    if held:
+                        yield links()
+                    cell, held = key, []
+                part = batch.slice(start, stop - start)
+                sets = part.column(4)
+                held.append(
+                    [c.to_numpy(zero_copy_only=False) for c in (part.column(3), sets.value_lengths(), sets.flatten())]
+                )
+        if held:
+            yield links()
+
+    return map_arrow(cells, run, "u bigint, v bigint")

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsreg.llm.common import keep_rows, lowered, map_arrow, texts_of
-from tsreg.llm.components import components
+from tsreg.llm.components import components, settle
+from tsreg.llm.minhash import jaccard_links
 from tsreg.sources.stage import stage
 
 RADIUS = 4
@@ -186,21 +187,6 @@ def small_group_links(groups: np.ndarray, prints: np.ndarray, radius: int) -> li
     return [np.concatenate([nothing, *lefts]), np.concatenate([nothing, *rights])]
 
 
-def settle(n: int, lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
-    """Smallest row number of the component of each of ``n`` rows under links of row numbers."""
-    label = np.arange(n)
-    while len(lefts):
-        low = np.minimum(label[lefts], label[rights])
-        np.minimum.at(label, label[lefts], low)
-        np.minimum.at(label, label[rights], low)
-        label = label[label]
-        apart = label[lefts] != label[rights]
-        lefts, rights = lefts[apart], rights[apart]
-    while not np.array_equal(label, label[label]):
-        label = label[label]
-    return label
-
-
 def large_group_labels(prints: np.ndarray, radius: int, queries: int = 32) -> np.ndarray:
     """Component labels inside one large group: blocks of queries against all rows after them."""
     n = len(prints)
@@ -310,13 +296,21 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
     return map_arrow(cells, run, "u bigint, v bigint")
 
 
-def classified(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Rows of :func:`fingerprints` with ``label`` (the component's smallest fingerprint) and ``component_id``."""
+def classified(
+    docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, jaccard: float | None = None
+) -> DataFrame:
+    """Rows of :func:`fingerprints` with ``label`` (the component's smallest fingerprint) and ``component_id``.
+
+    With ``jaccard``, texts whose five-word shingles have that similarity are linked as well.
+    """
     found = stage(fingerprints(docs), "simhash")
     distinct = stage(
         found.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "simhash-distinct"
     )
-    linked = components(links(distinct.select("fingerprint"), radius, chunk))
+    tied = links(distinct.select("fingerprint"), radius, chunk)
+    if jaccard is not None:
+        tied = tied.union(jaccard_links(docs, found, jaccard))
+    linked = components(tied)
     members = distinct.join(
         linked.select(F.col("node").alias("fingerprint"), F.col("component").alias("label")), "fingerprint"
     )
@@ -344,13 +338,15 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Da
     )
 
 
-def drop_near(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def drop_near(
+    docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, jaccard: float | None = None
+) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id, all columns as they are.
 
     If a component has several texts under that id, one of them stays, and so does one of rows that
     repeat both; a component without ids keeps one row.
     """
-    rows = classified(docs, radius, chunk).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = classified(docs, radius, chunk, jaccard).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     counted = rows.groupBy("label", F.col("doc_id").alias("_keep_id"), F.col("text_key").alias("_keep_key")).agg(
         F.count("*").alias("_n")
     )
