@@ -100,3 +100,9 @@ def test_odd_rows(spark):
     got = sorted(((r.page_id, r.text, r.n_lines) for r in html_text.extract_text(pages).collect()), key=repr)
     assert got == sorted([(1, "", 0), (1, "", 0), (None, "x", 1), (2, "", 0), (3, "a\n\nb", 3)], key=repr)
     assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["SCRIPT", "Style", "TITLE", "textArea"])
+def test_end_of_raw_elements_beside_letters_that_grow(tag):
+    page = f"<p>\u0130stanbul</p><{tag}>raw \u0130 <b></{tag}><p>the rest</p>"
+    assert "the rest" in text_of(page).split("\n") and "<b></" not in text_of(page)

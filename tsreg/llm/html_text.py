@@ -21,6 +21,7 @@ from tsreg.llm.common import map_arrow, texts_of
 # fixed values: names of HTML elements by their role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 NEVER_SHOWN = frozenset(
     "area base basefont datalist embed head iframe link meta noembed noframes noscript object param "
     "rp script source style template title track audio video canvas svg math".split()
@@ -153,7 +154,7 @@ class Builder:
 
 def parse(page: str) -> Node:
     """Tree of a page, however malformed."""
-    builder, at, n, lower = Builder(), 0, len(page), None
+    builder, at, n = Builder(), 0, len(page)
     while at < n:
         tag = page.find("<", at)
         if tag < 0:
@@ -182,10 +183,8 @@ def parse(page: str) -> Node:
             tag = name[0].lower()
             builder.start(tag, attributes)
             if tag in RAW:
-                if lower is None:
-                    lower = page.lower() if len(page.lower()) == n else page
-                end = lower.find(f"</{tag}", at)
-                end = n if end < 0 else end
+                found = RAW_END[tag].search(page, at)
+                end = found.start() if found else n
                 raw = page[at:end]
                 builder.text(html.unescape(raw) if tag in ("textarea", "title") else raw)
                 builder.end(tag)
