@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,27 @@ BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application.
+
+    The archive lies in the driver's own folder for added files, from where Spark serves it.
+    """
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if getattr(context, "_tsreg_shipped", False) or not os.path.isdir(package):
+        return
+    folder = os.path.join(SparkFiles.getRootDirectory(), "ship")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, "tsreg_package.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for place, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                file = os.path.join(place, name)
+                archive.write(file, os.path.relpath(file, os.path.dirname(package)))
+    context.addPyFile(path)
+    context._tsreg_shipped = True
+
+
 def map_arrow(
     df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
@@ -20,6 +44,7 @@ def map_arrow(
 
     Sets the two batch limits of the session, which Spark reads when it plans the job.
     """
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
