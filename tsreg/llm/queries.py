@@ -8,12 +8,15 @@ from tsreg.llm import (
     decontaminate,
     exact_dedup,
     html_text,
+    language,
     packing,
     pseudonyms,
     quality,
+    repair,
     secrets,
     simhash,
     tokens,
+    trie,
     url_filter,
 )
 from tsreg.llm.common import table
@@ -97,3 +100,18 @@ FROM rows_ WINDOW same AS (PARTITION BY norm)"""
 )
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_conversation_repair(spark, sf_dir):
+    return repair.summaries(repair.repair(repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
+@query()
+def op12_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op13_language(spark, sf_dir):
+    return language.languages(table(spark, sf_dir, "documents"))
