@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsreg.llm import decontaminate, exact_dedup, minhash, packing, quality, simhash
+from tsreg.llm import decontaminate, exact_dedup, packing, quality, simhash
 from tsreg.llm.common import table
 from tsreg.sources.stage import stage
 
@@ -24,11 +24,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that with the smallest id.
-
-    Near copies lie within 4 bits, or have a similarity of 0.8 on five-word shingles.
-    """
-    return simhash.drop_near(docs, jaccard=minhash.JACCARD)
+    """One document of each component of near copies, within 4 bits: that with the smallest id."""
+    return simhash.drop_near(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
