@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.cases import no_documents, odd_documents, prose
 from tsreg.llm import decontaminate, packing, quality
-from tsreg.llm.decontaminate import MATCH, MISMATCH, SKIP, align, clusters, words_of
+from tsreg.llm.decontaminate import MATCH, MISMATCH, SKIP, align, words_of
 
 
 def slow_align(item, passage):
@@ -32,13 +32,73 @@ def test_align():
         assert score == slow_align(item, passage[low:high])
 
 
-def test_clusters_cover_all_marks():
+def marks_of(index, words):
+    numbers = decontaminate.gram_numbers(decontaminate._numbers(words, index.vocabulary))
+    places = np.flatnonzero(np.isin(numbers, index.grams) & (numbers >= 0))
+    return places, np.searchsorted(index.grams, numbers[places])
+
+
+def test_runs_hold_all_near_pairs_of_seeds():
+    """Against brute force: an item with two distinct n-grams on near diagonals is met."""
     rng = random.Random(2)
-    for most in (3, 60, 100):
-        places = np.cumsum([rng.randint(1, most) for _ in range(3000)])
-        ranges = clusters(places)
-        assert {k for a, b in ranges for k in range(a, b)} == set(range(len(places)))
-        assert all(places[b - 1] - places[a] <= decontaminate.PASSAGE for a, b in ranges)
+    items = [[rng.choice("abcdefgh") for _ in range(rng.randint(9, 30))] for _ in range(20)]
+    index = decontaminate.build_index(items, list(range(20)))
+    for _ in range(20):
+        words = [rng.choice("abcdefghxy") for _ in range(rng.randint(10, 300))]
+        places, slots = marks_of(index, words)
+        want = set()
+        for k, item in enumerate(items):
+            found = [
+                (p - i, tuple(item[i : i + 3]))
+                for p in range(len(words) - 2)
+                for i in range(len(item) - 2)
+                if words[p : p + 3] == item[i : i + 3]
+            ]
+            if any(abs(d - e) <= decontaminate.DRIFT and g != h for d, g in found for e, h in found):
+                want.add(k)
+        assert {run.item for run in decontaminate.runs(index, places, slots)} == want
+
+
+def test_common_prose_makes_few_pairs(spark):
+    """Words as frequent as in real prose: long documents are aligned with few items, their leaks are found."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{k}" for k in range(5000)])
+    share = 1 / np.arange(1, 5001)
+    share /= share.sum()
+    items = [" ".join(rng.choice(words, 40, p=share)) for _ in range(5000)]
+    texts = [" ".join(rng.choice(words, 10_000, p=share)) for _ in range(12)]
+    texts += [f"{texts[0][:3000]} {items[k]} {texts[1][:3000]}" for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    index = decontaminate.build_index([t.split() for t in items], list(range(len(items))))
+    marks = decontaminate.marked(docs, spark.sparkContext.broadcast(index)).collect()
+    counts = {r.slot: 0 for r in marks if r.n}
+    for row in marks:
+        if row.n:
+            counts[row.slot] += row.n
+    assert counts.pop(-1) == len(texts)
+    documents = np.zeros(len(index.grams), np.int64)
+    documents[list(counts)] = list(counts.values())
+    rare = decontaminate.is_rare(index, documents, len(texts))
+    pairs = [(r.doc_id, r.item) for r in marks if r.item is not None and decontaminate.enough(index, rare, r.item, np.array(r.slots))]
+    assert {(12 + k, k) for k in range(3)} <= set(pairs)
+    most = max(sum(d == k for d, _ in set(pairs)) for k in range(12))
+    assert most < 0.01 * len(items)
+
+
+def test_document_frequencies(spark):
+    """The marking pass counts each n-gram once for a document that has it."""
+    rng = random.Random(4)
+    items = [[rng.choice("abcd") for _ in range(12)] for _ in range(4)]
+    texts = [" ".join(rng.choice("abcdx") for _ in range(40)) for _ in range(30)] + ["", None]
+    index = decontaminate.build_index(items, list(range(4)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    marks = decontaminate.marked(docs, spark.sparkContext.broadcast(index)).filter("n IS NOT NULL")
+    got = {r.slot: r.n for r in marks.groupBy("slot").agg(F.sum("n").alias("n")).collect()}
+    want = {-1: len(texts)}
+    for text in texts:
+        for slot in set(marks_of(index, (text or "").split())[1].tolist()):
+            want[slot] = want.get(slot, 0) + 1
+    assert got == want
 
 
 def edited(rng, words, every):

@@ -5,11 +5,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 import corpus_pipeline
 from tests.llm.cases import no_documents, odd_documents, plain, prose
-from tsreg.llm import exact_dedup, minhash, simhash
+from tsreg.llm import common, exact_dedup, simhash
 from tsreg.llm.components import components
 
 
@@ -193,35 +194,45 @@ def test_near_groups(spark):
     assert ids == {root: low.get(root) for root in set(roots.values())}
 
 
-@pytest.mark.parametrize("rows", [1024, 16])
-def test_pipeline_drops_near_copies_at_jaccard(spark, monkeypatch, rows):
-    """Against brute force: links within 4 bits or at 0.8 on five-word shingles; big components in chunks too."""
-    monkeypatch.setattr(minhash, "CELL_ROWS", rows)
+def test_pipeline_drops_near_copies(spark):
+    """Against brute force: one document of each component of links within 4 bits stays."""
     rng = random.Random(6)
     texts = []
     for n in (100, 300, 1000):
         for _ in range(15):
             words = prose(rng, n).split()
-            copy = [rng.choice(["new", "other"]) + str(k) if rng.random() < 1 / 60 else w for k, w in enumerate(words)]
-            texts += [" ".join(words), " ".join(copy)]
-    base = prose(rng, 200).split()
-    for k in range(60):  # copies of one text, most of them closer to it than to each other
-        at = rng.sample(range(200), rng.randint(1, 8))
-        texts.append(" ".join(f"x{k}" if j in at else w for j, w in enumerate(base)))
-    texts += [" ".join(base), "one two", "one two three four five", "one two three four five six", "", None]
-    sets = []
-    for text in texts:
-        words = normal(text).split()
-        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+            texts += [" ".join(words), " ".join([*words[:-1], "new"]), " ".join(words).upper()]
+    base = prose(rng, 2000).split()
+    for k in range(60):
+        texts.append(" ".join(f"x{k}" if j == 30 * k else w for j, w in enumerate(base)))
+    texts += [" ".join(base), "one two", "one two three four five", "", None]
     prints = [slow_fingerprint(t) for t in texts]
-    label = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            shared = len(sets[i] & sets[j])
-            near = shared and shared >= 0.8 * len(sets[i] | sets[j])
-            if (near or (prints[i] ^ prints[j]).bit_count() <= 4) and label[i] != label[j]:
-                low, high = sorted((label[i], label[j]))
-                label = [low if k == high else k for k in label]
+    roots = slow_components(prints, 4)
+    want = {}
+    for k, p in enumerate(prints):
+        want.setdefault(roots[p], k)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     left = corpus_pipeline.without_near_copies(spark, docs, "")
-    assert sorted(r.doc_id for r in left.collect()) == sorted(set(label))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(want.values())
+
+
+def test_rows_that_are_not_listed_stay(spark):
+    """The filter lets all listed ids through; null ids, ties and clashing names are heeded."""
+    rows = [(k, f"t{k}", "a", "b", True) for k in range(3000)] + [(None, "n", "a", "b", True)] * 2 + [(5, "other", "a", "b", True)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _text string, _drop_doc_id string, one boolean")
+    listed = [(k, f"t{k}", False) for k in range(0, 3000, 3)] + [(None, "n", True), (5, "none", False)]
+    drops = spark.createDataFrame(listed, "doc_id bigint, text string, one boolean")
+    left = common.drop_rows(docs, drops, {"text": F.col("text")})
+    assert left.columns == docs.columns
+    want = [(k, f"t{k}") for k in range(3000) if k % 3] + [(5, "other"), (None, "n")]
+    assert plain(left, "doc_id", "text") == sorted(want, key=repr)
+
+
+def test_clashing_names(spark):
+    """Columns named like the operators' own change nothing."""
+    docs = odd_documents(spark)
+    names = ["_quality_score", "_keep_key", "_keep_id", "_text_key", "_text_sha256", "_drop_one"]
+    wide = docs.withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    for drop in (exact_dedup.drop_exact, simhash.drop_near):
+        left = drop(wide)
+        assert left.columns == wide.columns and left.count() == drop(docs).count()

@@ -6,10 +6,11 @@ import os
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
@@ -72,25 +73,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]):
-    """Null-safe equality of the columns ``keys`` of two tables."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+FILTER_CHUNK = 1 << 16
+FILTER_MOST = 1 << 27  # bits, 16 MB
 
 
-def keep_rows(docs: DataFrame, keep: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``docs`` whose ``keys`` are in ``keep``; of rows that tie on them one stays.
+def _listed(ids: DataFrame) -> Column:
+    """A test of ``doc_id`` that holds for all ids in ``ids`` and few others: a bit for each hash value.
 
-    ``keep`` has each key once and, in ``_n``, how many rows of ``docs`` have it. Only tied rows are
-    grouped. The table of keys is the hashed side of the join, so texts are never sorted.
+    A filter of a size that follows the number of ids, up to ``FILTER_MOST`` bits. Its bits are set in
+    chunks on the executors.
+    """
+    n = ids.count()
+    if not n:
+        return F.lit(False)
+    bits = min(FILTER_MOST, max(FILTER_CHUNK, 1 << (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(bits))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        number = rows.column("place").to_numpy()
+        flags = np.zeros(FILTER_CHUNK, np.uint8)
+        flags[number % FILTER_CHUNK] = 1
+        return pa.table({"chunk": [int(number[0]) // FILTER_CHUNK], "bits": [np.packbits(flags).tobytes()]})
+
+    places = ids.select(place.alias("place")).distinct()
+    parts = places.withColumn("chunk", F.floor(F.col("place") / FILTER_CHUNK)).groupBy("chunk")
+    ship(ids.sparkSession)
+    held = np.zeros(bits // 8, np.uint8).reshape(-1, FILTER_CHUNK // 8)
+    for row in parts.applyInArrow(pack, "chunk bigint, bits binary").toLocalIterator():
+        held[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
+    byte = F.substring(F.lit(held.tobytes()), (F.floor(place / 8) + 1).cast("int"), F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    shifted = F.call_function("shiftright", value, F.lit(7) - (place % 8).cast("int"))
+    return shifted.bitwiseAND(F.lit(1)) == 1
+
+
+def unused(name: str, *taken: Iterable[str]) -> str:
+    """``name``, with as many underscores before it as set it apart from all of ``taken``, case apart."""
+    names = {c.lower() for columns in taken for c in columns}
+    while name.lower() in names:
+        name = "_" + name
+    return name
+
+
+def drop_rows(docs: DataFrame, drops: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """``docs`` without the rows that ``drops`` lists, all columns as they are.
+
+    ``drops`` is a table that is there already: ``doc_id``, the columns named in ``keys`` and ``one``, true
+    where one of the rows that tie on all of them stays. Only rows whose ``doc_id`` passes a filter over
+    ``drops`` get their keys computed and take part in a join; the others stay where they are.
     """
-    single = keep.filter(F.col("_n") == 1).hint("shuffle_hash")
-    tied = keep.filter(F.col("_n") > 1).hint("shuffle_hash")
-    once = docs.join(single, same(docs, single, keys), "left_semi")
-    often = docs.join(tied, same(docs, tied, keys), "left_semi").dropDuplicates(list(keys))
-    return once.unionByName(often)
+    maybe = _listed(drops.select("doc_id"))
+    columns = docs.columns
+    names = {key: unused(f"_{key}", columns) for key in keys}
+    right = drops.withColumnsRenamed({c: unused(f"_drop_{c}", columns, names.values()) for c in drops.columns})
+    of = dict(zip(drops.columns, right.columns))
+    met = docs.filter(maybe).select("*", *[value.alias(names[key]) for key, value in keys.items()])
+    equal = met["doc_id"].eqNullSafe(right[of["doc_id"]])
+    for key in keys:
+        equal = equal & met[names[key]].eqNullSafe(right[of[key]])
+    joined = met.join(right, equal, "left")
+    stays = joined.filter(F.col(of["one"]).isNull()).select(*columns)
+    tied = joined.filter(of["one"]).dropDuplicates(["doc_id", *names.values()]).select(*columns)
+    return docs.filter(~maybe).unionByName(stays).unionByName(tied)
 
 
 def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsreg.llm.common import keep_rows, lower_ascii, lowered, map_arrow
+from tsreg.llm.common import drop_rows, lower_ascii, lowered, map_arrow
 from tsreg.sources.stage import stage
 
 BLOCK_ROWS = 1 << 17
@@ -197,15 +197,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` drops, all columns as they are."""
-    groups = exact_groups(docs)
-    keep = groups.groupBy(
-        F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")
-    ).agg(F.count("*").alias("_n"), F.max("kept").alias("_kept"))
-    keep = stage(keep.filter("_kept").drop("_kept"), "exact-keep")
-    marked = docs.select(
-        "*",
-        F.col("doc_id").alias("_keep_id"),
-        F.sha2(lower_ascii(F.col("text")), 256).alias("_keep_sha"),
-    )
-    return keep_rows(marked, keep, ["_keep_id", "_keep_sha"]).select(*docs.columns)
+    """``docs`` without the rows that :func:`exact_groups` drops, all columns as they are.
+
+    Null texts are empty ones; null ids are below all others; of rows that repeat both id and text one
+    stays, whatever their other columns; an empty table stays one.
+    """
+    groups = exact_groups(docs).filter("group_size > 1")
+    rows = groups.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.max("kept").alias("one"))
+    drops = stage(rows.filter("n > 1 OR NOT one").drop("n"), "exact-drops")
+    return drop_rows(docs, drops, {"text_sha256": F.sha2(lower_ascii(docs["text"]), 256)})

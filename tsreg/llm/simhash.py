@@ -26,9 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsreg.llm.common import keep_rows, lowered, map_arrow, texts_of
+from tsreg.llm.common import drop_rows, lowered, map_arrow, texts_of
 from tsreg.llm.components import components, settle
-from tsreg.llm.minhash import jaccard_links
 from tsreg.sources.stage import stage
 
 RADIUS = 4
@@ -296,30 +295,27 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
     return map_arrow(cells, run, "u bigint, v bigint")
 
 
-def classified(
-    docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, jaccard: float | None = None
-) -> DataFrame:
-    """Rows of :func:`fingerprints` with ``label`` (the component's smallest fingerprint) and ``component_id``.
+def classified(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """Rows of :func:`fingerprints` with ``label`` (the component's smallest fingerprint), ``component_id`` and ``n_rows``.
 
-    With ``jaccard``, texts whose five-word shingles have that similarity are linked as well.
+    ``n_rows`` is the number of rows of the component.
     """
     found = stage(fingerprints(docs), "simhash")
     distinct = stage(
-        found.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "simhash-distinct"
+        found.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")),
+        "simhash-distinct",
     )
-    tied = links(distinct.select("fingerprint"), radius, chunk)
-    if jaccard is not None:
-        tied = tied.union(jaccard_links(docs, found, jaccard))
-    linked = components(tied)
+    linked = components(links(distinct.select("fingerprint"), radius, chunk))
     members = distinct.join(
         linked.select(F.col("node").alias("fingerprint"), F.col("component").alias("label")), "fingerprint"
     )
-    smallest = members.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    moved = members.join(smallest, "label").select("fingerprint", "label", "component_id")
+    smallest = members.groupBy("label").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("n_rows"))
+    moved = members.join(smallest, "label").select("fingerprint", "label", "component_id", "n_rows")
     classes = distinct.join(moved, "fingerprint", "left").select(
         "fingerprint",
         F.coalesce("label", "fingerprint").alias("label"),
         F.when(F.col("label").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("n_rows", "n").alias("n_rows"),
     )
     # a join of two plain tables: Spark can split it where very many rows share one fingerprint
     return found.join(stage(classes, "simhash-classes"), "fingerprint")
@@ -338,24 +334,20 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Da
     )
 
 
-def drop_near(
-    docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, jaccard: float | None = None
-) -> DataFrame:
+def drop_near(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id, all columns as they are.
 
     If a component has several texts under that id, one of them stays, and so does one of rows that
-    repeat both; a component without ids keeps one row.
+    repeat both; a component without ids keeps one row. Null and empty texts are near copies of each
+    other; an empty table stays one.
     """
-    rows = classified(docs, radius, chunk, jaccard).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counted = rows.groupBy("label", F.col("doc_id").alias("_keep_id"), F.col("text_key").alias("_keep_key")).agg(
-        F.count("*").alias("_n")
-    )
-    first = F.row_number().over(Window.partitionBy("label").orderBy("_keep_key"))
-    keep = counted.withColumn("_place", first).filter("_place = 1").select("_keep_id", "_keep_key", "_n")
-    keep = stage(keep, "simhash-keep")
-    marked = docs.select(
-        "*",
-        F.col("doc_id").alias("_keep_id"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_keep_key"),
-    )
-    return keep_rows(marked, keep, ["_keep_id", "_keep_key"]).select(*docs.columns)
+    rows = classified(docs, radius, chunk).filter("n_rows > 1")
+    mine = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    listed = rows.groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("n"), F.max(mine).alias("mine"))
+    listed = stage(listed, "simhash-listed")
+    first = listed.filter("mine").groupBy("label").agg(F.min("text_key").alias("stays"))
+    one = F.col("mine") & (F.col("text_key") == F.col("stays"))
+    drops = listed.join(first, "label").select("doc_id", "text_key", "n", one.alias("one"))
+    # an id and text can be in one component only
+    drops = stage(drops.filter("n > 1 OR NOT one").drop("n"), "simhash-drops")
+    return drop_rows(docs, drops, {"text_key": F.xxhash64(F.coalesce(docs["text"], F.lit("")))})
