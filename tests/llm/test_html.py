@@ -1,6 +1,7 @@
 """Text of pages: hand-made layouts, malformed input, and the words of a plain parser."""
 
 import os
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -106,3 +107,40 @@ def test_odd_rows(spark):
 def test_end_of_raw_elements_beside_letters_that_grow(tag):
     page = f"<p>\u0130stanbul</p><{tag}>raw \u0130 <b></{tag}><p>the rest</p>"
     assert "the rest" in text_of(page).split("\n") and "<b></" not in text_of(page)
+
+
+def seconds(page):
+    begin = time.perf_counter()
+    text = text_of(page)
+    return time.perf_counter() - begin, text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 200_000 + "x",
+        "<p><table><td>" + "<b>" * 50_000 + "<div></div>" * 50_000 + "x",
+        "<pre>" + "\n" * 200_000 + "x",
+        "<p>" + "word " * 200_000,
+        "<li>" * 200_000 + "x",
+        "<p>a</b>" * 100_000,
+        "<td>a" * 100_000,
+        "<span>" * 100_000 + "</i>" * 100_000 + "x",
+    ],
+    ids=["blocks", "inline in a cell", "line feeds", "one line", "items", "strays", "cells", "inline"],
+)
+def test_time_follows_the_length(page):
+    took, text = seconds(page)
+    assert took < 5 and text
+
+
+def test_wide_cells_keep_the_columns():
+    wide = "w" * 61
+    page = f"<table><tr><td>{wide}<td>b<tr><td>c<td>d</table>"
+    assert text_of(page) == f"{wide}  b\nc{' ' * 62}d"
+    wide = "w" * (html_text.WIDEST + 1)
+    page = f"<table><tr><td>{wide}<td>b<tr><td>cc<td>d</table>"
+    assert text_of(page) == f"{wide}\n    b\ncc  d"  # behind a wider cell the row goes on below
+    many = "".join(f"<td>{'x' * 150}" for _ in range(100))
+    lines = text_of(f"<table><tr>{many}<tr>{many}</table>").split("\n")
+    assert max(map(len, lines)) <= html_text.LINE and sum(line.count("x") for line in lines) == 200 * 150

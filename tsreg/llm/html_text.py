@@ -59,7 +59,8 @@ ATTRIBUTE = re.compile(
     r"""[\s/]*(?:([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?|=)"""
 )
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-COLUMN = 60  # wider cells don't push their column further
+WIDEST = 200  # cells up to this width make their column as wide; behind a wider one its row goes on below
+LINE = 4096  # columns that begin further to the right go on below, too
 GAP = "  "
 
 
@@ -89,25 +90,46 @@ def _attributes(text: str, at: int) -> tuple[dict[str, str], int]:
 
 
 class Builder:
-    """Stack of open elements; text and elements are added to the innermost."""
+    """Stack of open elements; text and elements are added to the innermost.
+
+    ``places`` has the stack's places of each tag, so that no search walks down the stack.
+    """
 
     def __init__(self):
         self.root = Node("html", {})
-        self.open = [self.root]
+        self.open: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self._push(self.root)
+
+    def _push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append(node)
+
+    def _pop(self) -> None:
+        tag = self.open.pop().tag
+        self.places[tag].pop()
+        if tag in BLOCK:
+            self.blocks.pop()
+
+    def _innermost(self, tags) -> int:
+        places = self.places
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def text(self, text: str) -> None:
         if self.open[-1].tag == "head" and text.strip():
-            self.open.pop()  # visible text ends the head
+            self._pop()  # visible text ends the head
         self.open[-1].children.append(text)
 
-    def _end(self, wanted: set[str], stop: set[str] | frozenset[str]) -> None:
-        """Close the innermost element of ``wanted``, unless one of ``stop`` comes first."""
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in wanted:
-                del self.open[k:]
-                return
-            if self.open[k].tag in stop:
-                return
+    def _end(self, wanted: set[str], stop: set[str] | frozenset[str], blocks: bool = False) -> None:
+        """Close the innermost element of ``wanted``, unless one of ``stop`` (or a block) comes first."""
+        place = self._innermost(wanted)
+        if place == 0 or place < self._innermost(stop) or (blocks and self.blocks and place < self.blocks[-1]):
+            return
+        while len(self.open) > place:
+            self._pop()
 
     def start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in ("html", "body"):
@@ -120,7 +142,7 @@ class Builder:
             if len(self.open) > 1:
                 return
         elif self.open[-1].tag == "head" and tag not in HEAD_ONLY:
-            self.open.pop()
+            self._pop()
         if tag in ENDS_P:
             self._end({"p"}, BARRIER)
         if tag in IMPLIED_ENDS:
@@ -134,7 +156,7 @@ class Builder:
         node = Node(tag, attributes)
         self.open[-1].children.append(node)
         if tag not in VOID:
-            self.open.append(node)
+            self._push(node)
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -145,11 +167,10 @@ class Builder:
         stop: frozenset[str] = frozenset()
         if tag not in ("table", "template", "object"):
             stop = BARRIER - {tag}
-        if tag not in BLOCK and tag not in NEVER_SHOWN:
-            stop = stop | BLOCK  # an inline end tag doesn't reach across blocks
         if tag == "li":
             stop = stop | LISTS
-        self._end({tag}, stop)
+        # an inline end tag doesn't reach across blocks
+        self._end({tag}, stop, blocks=tag not in BLOCK and tag not in NEVER_SHOWN)
 
 
 def parse(page: str) -> Node:
@@ -232,7 +253,8 @@ class Page:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []  # of the line, none empty
+        self.inked = False  # whether the line shows anything
         self.blank = False  # a blank is due before the next word
         self.space = 0  # 1: next text on a new line, 2: after an empty line
         self.indents: list[str] = []
@@ -243,18 +265,23 @@ class Page:
         self.space = max(self.space, space)
 
     def newline(self, force: bool = True) -> None:
-        if self.line or force:
-            self.lines.append(self.line.rstrip())
-        self.line, self.blank = "", False
+        if self.parts or force:
+            self.lines.append("".join(self.parts).rstrip())
+        self.parts, self.inked, self.blank = [], False, False
+
+    def _add(self, text: str) -> None:
+        if text:
+            self.parts.append(text)
+            self.inked = self.inked or not text.isspace()
 
     def _begin(self) -> None:
-        if self.line:
+        if self.parts:
             return
         if self.space == 2 and self.lines and self.lines[-1]:
             self.lines.append("")
         self.space = 0
         indent = "".join(self.indents)
-        self.line = indent[: len(indent) - len(self.mark)] + self.mark if self.mark else indent
+        self._add(indent[: len(indent) - len(self.mark)] + self.mark if self.mark else indent)
         self.mark = ""
         self.blank = False
 
@@ -264,11 +291,11 @@ class Page:
             self.blank = True
         for k, word in enumerate(words):
             if word:
-                if not self.line.strip():
+                if not self.inked:
                     self._begin()
                 elif k or self.blank:
-                    self.line += " " if self.blank or k else ""
-                self.line += word
+                    self._add(" ")
+                self._add(word)
                 self.blank = False
         if len(words) > 1 and not words[-1]:
             self.blank = True
@@ -279,24 +306,20 @@ class Page:
                 self.newline()
             if line:
                 self._begin()
-                self.line += line.expandtabs(8)
+                self._add(line.expandtabs(8))
 
     def whole(self, lines: list[str]) -> None:
         """Lines that stand as they are, under the current indent."""
         for line in lines:
             if line:
                 self._begin()
-                self.line += line
+                self._add(line)
             self.newline()
 
     def finished(self) -> list[str]:
         self.newline(force=False)
-        lines = self.lines
-        while lines and not lines[0]:
-            lines = lines[1:]
-        while lines and not lines[-1]:
-            lines = lines[:-1]
-        return lines
+        shown = [k for k, line in enumerate(self.lines) if line]
+        return self.lines[shown[0] : shown[-1] + 1] if shown else []
 
 
 def _number(text: str | None, default: int) -> int:
@@ -331,25 +354,28 @@ class Table:
         widths: dict[int, int] = {}
         for row in self.rows:
             for column, lines in row:
-                fitting = [len(line) for line in lines if len(line) <= COLUMN]
+                fitting = [len(line) for line in lines if len(line) <= WIDEST]
                 widths[column] = max([widths.get(column, 0), *fitting])
         columns = sorted(widths)
         starts, at = {}, 0
         for column in columns:
+            if at + widths[column] > LINE:
+                at = 0
             starts[column] = at
             at += widths[column] + len(GAP) * (widths[column] > 0)
         out = []
         for row in self.rows:
             for k in range(max((len(lines) for _, lines in row), default=0)):
-                line = ""
+                parts, width = [], 0
                 for column, lines in row:
                     if k < len(lines) and lines[k]:
-                        if line:
-                            line = line.ljust(max(starts[column], len(line) + len(GAP)))
-                        else:
-                            line = " " * starts[column]
-                        line += lines[k]
-                out.append(line)
+                        if parts and width + len(GAP) > starts[column]:
+                            # what stands before is too wide: the row goes on below, in its column
+                            out.append("".join(parts))
+                            parts, width = [], 0
+                        parts += [" " * (starts[column] - width), lines[k]]
+                        width = starts[column] + len(lines[k])
+                out.append("".join(parts))
         return out
 
 
@@ -371,7 +397,7 @@ def render(root: Node) -> str:
         if inside is None:
             continue
         if tag == "br":
-            page.newline(force=bool(page.line) or page.space == 0)
+            page.newline(force=bool(page.parts) or page.space == 0)
             continue
         if tag == "input":
             if inside.visible:
@@ -457,7 +483,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """``page_id``, ``text`` and ``n_lines`` of every row of ``pages`` (``page_id``, ``html``).
 
     Null or empty pages, and pages that show nothing, have an empty text of no lines. Repeated rows
-    come back as often as they come; null ids stay null; other columns are ignored.
+    come back as often as they come; null ids stay null; other columns are ignored; an empty table gives
+    none. A long or deeply nested page takes time in proportion to its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
