@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -240,15 +241,17 @@ def _apply(text: str, key: bytes, inverse: bool) -> tuple[str, list[tuple[int, i
     for kind in KINDS:
         if not ("@" in text if kind.name == "email" else digits):
             continue
-        taken = [(a, b) for a, b, _, _ in found]
+        # spans of earlier kinds, in order and apart from each other
+        begins, ends = [a for a, _, _, _ in found], [b for _, b, _, _ in found]
         for match in kind.pattern.finditer(text):
             begin, end = match.span()
-            if any(a < end and begin < b for a, b in taken):
+            after = bisect_right(ends, begin)
+            if after < len(ends) and begins[after] < end:
                 continue
             new = kind.replace(match[0], (key, kind.name, inverse))
             if new is not None:
                 found.append((begin, end, kind.name, new))
-    found.sort()
+        found.sort()
     out, at = [], 0
     for begin, end, _, new in found:
         out += [text[at:begin], new]
@@ -271,10 +274,14 @@ def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
 
     ``spans`` lists ``kind:start:end`` of the given text in characters, joined by commas. Null text
     stays null, with nothing found. The key comes from the argument or the setting
-    ``spark.tsreg.pseudonyms.key``. Repeated rows come back as often as they come.
+    ``spark.tsreg.pseudonyms.key``; without any the call fails. Repeated rows come back as often as they
+    come, null ids stay null, other columns are ignored, an empty table gives none. A text's time follows its
+    length, whatever it holds.
     """
-    secret = (key or docs.sparkSession.conf.get(KEY_SETTING, "not a secret")).encode()
-    secret = hashlib.blake2b(secret, digest_size=32).digest()
+    given = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not given:
+        raise ValueError(f"pseudonyms need a secret key: pass one or set {KEY_SETTING}")
+    secret = hashlib.blake2b(given.encode(), digest_size=32).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsreg.llm.common import map_arrow, texts_of
+from tsreg.llm.common import map_arrow, texts_of, unused
 
 # rows of the fit at most, about; all labelled rows if there are fewer
 MAX_LABELLED = 20_000
@@ -199,12 +199,14 @@ def labelled_sample(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     return usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < int(slots * most / n))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Trees:
-    """Fit on the statistics of a bounded sample of the labelled documents.
+def labelled_statistics(
+    docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
+) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and labels of a bounded sample of the labelled documents.
 
     The sample's ids, of proven number, are broadcast, so texts are not shuffled; the driver gets one
     row of statistics per sampled id. Of rows that repeat an id, the one with the smallest statistics
-    counts. Without any usable label every score is one half.
+    counts.
     """
     sample = labelled_sample(labels, most)
 
@@ -224,7 +226,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Trees
     got = found.select("doc_id", "row.x", "row.quality").orderBy("doc_id").toArrow()
     x = np.array(got.column("x").to_pylist(), np.float32).reshape(-1, len(FEATURES))
     y = got.column("quality").to_numpy().astype(np.float64)
-    return fit(x, np.clip(y, 0, 1))
+    return x, np.clip(y, 0, 1)
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Trees:
+    """Fit on :func:`labelled_statistics`. Without any usable label every score is one half."""
+    return fit(*labelled_statistics(docs, labels, most))
 
 
 def with_score(docs: DataFrame, model: Trees, name: str = "score") -> DataFrame:
@@ -245,7 +252,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row of ``docs``.
 
     ``score`` is the probability of quality 1, for null and empty texts too; ``predicted`` is 1 from
-    ``threshold`` on. Only ``text`` enters the score. Repeated rows come back as often as they come.
+    ``threshold`` on. Only ``text`` enters the score. Repeated rows come back as often as they come; null
+    ids stay null and are not held out; other columns are ignored; an empty table gives none.
     """
     model = train(docs, labels)
     scored = with_score(docs.select("doc_id", "text"), model)
@@ -258,7 +266,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score below ``threshold``, all columns as they are."""
-    name = "_quality_score"
-    scored = with_score(docs, train(docs, labels), name)
+    """``docs`` without the rows that score below ``threshold``, all columns as they are.
+
+    Null texts are scored as empty ones; repeated rows and null ids are rows like any other. Without any
+    usable label nothing could be told apart, so the call fails, unless ``docs`` is empty.
+    """
+    x, y = labelled_statistics(docs, labels)
+    if not len(y) and not docs.isEmpty():
+        raise ValueError("no document has a label to learn from")
+    name = unused("_quality_score", docs.columns)
+    scored = with_score(docs, fit(x, y), name)
     return scored.filter(F.col(name) >= threshold).select(*docs.columns)

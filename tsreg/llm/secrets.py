@@ -39,8 +39,8 @@ SPAN = "struct<start:bigint,rank:int,end:bigint>"
 def _spans(kind: str, matches: Column, pieces: Column) -> Column:
     """Array of spans of one kind: each match starts after the pieces and matches before it.
 
-    Spans are appended block by block, so that a text with very many matches doesn't copy its whole
-    array for each.
+    Spans are made block by block and the blocks joined at the end, so that a text with very many matches
+    doesn't copy its spans again and again.
     """
     rank = F.lit(KINDS.index(kind))
     nothing = F.array().cast(f"array<{SPAN}>")
@@ -58,12 +58,13 @@ def _spans(kind: str, matches: Column, pieces: Column) -> Column:
             numbers,
             begin,
             step,
-            lambda s: F.struct(s["at"].alias("at"), F.concat(state["out"], s["out"]).alias("out")),
+            lambda s: F.struct(s["at"].alias("at"), F.concat(state["out"], F.array(s["out"])).alias("out")),
         )
 
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), nothing.alias("out"))
+    no_block = F.array().cast(f"array<array<{SPAN}>>")
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), no_block.alias("out"))
     firsts = F.sequence(F.lit(0), F.size(matches) - 1, F.lit(BLOCK))
-    found = F.aggregate(firsts, begin, block, lambda s: s["out"])
+    found = F.aggregate(firsts, begin, block, lambda s: F.flatten(s["out"]))
     return F.when(F.size(matches) > 0, found).otherwise(nothing)
 
 
@@ -155,7 +156,8 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Both are arrays of (start, rank of the kind in ``KINDS``, end), in characters, end exclusive,
     sorted; ``base`` has the strong patterns, ``spans`` also the linked parts. Null text counts as
-    empty and has none. Repeated rows come back as often as they come; null ids stay null.
+    empty and has none. Repeated rows come back as often as they come; null ids stay null; other columns are
+    ignored; an empty table gives none.
     """
     scanned = stage(scan(docs), "secret-parts")
     columns = ["doc_id", "n_assign", "n_access", "n_hex", "base"]
