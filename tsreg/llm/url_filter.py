@@ -1,23 +1,26 @@
 """URL verdicts: prefix rules first, then logistic regression on hashed character n-grams.
 
 DataFrame and Spark ML operations only. The regression is fitted on a small labelled table of URLs;
-host and path are cut into characters, their n-grams are hashed apart from each other, and the same
-pipeline scores all other URLs in place: no shuffle.
+host and path are cut into characters (digits are one), their n-grams are hashed into vectors of their own,
+and the path's weigh less. The strength of regularisation is chosen by the loss on a part of the table that is
+held out. The same pipeline scores all other URLs in place: no shuffle.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram
+from pyspark.ml.feature import ElementwiseProduct, HashingTF, NGram, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GRAM = 3
-SLOTS = 1 << 14
+GRAMS = (3, 4)
+SLOTS = {"host": 1 << 14, "path": 1 << 10}
+PATH_WEIGHT = 0.25
+STRENGTHS = (0.03, 0.003)
+HELD_OUT = 4  # one in so many labelled hosts chooses the strength
 THRESHOLD = 0.5
 
 # (rule, verdict): host, then the start of a path
@@ -29,99 +32,64 @@ RULES = (
     ("net/fr/", "block"),
 )
 
-# labelled by hand
-BLOCKED = """
-http://spam-offers.example.org/win/1
-http://cheap-pills.example.org/buy-now
-http://best-pills-online.example.org/order
-https://casino-bonus.example.org/free-spins
-https://online-casino.example.net/en/jackpot
-http://poker-cash.example.org/bonus
-http://xxx-videos.example.org/adult/12
-https://adult-dating.example.net/hot-singles
-http://hot-girls.example.org/xxx
-http://free-warez.example.org/crack/serial
-http://cracked-software.example.net/keygen
-http://torrent-crack.example.org/download-free
-http://payday-loan.example.org/apply-now
-http://fast-cash-loans.example.net/quick-money
-http://viagra-shop.example.org/discount
-http://replica-watches.example.net/sale
-http://click-farm.example.org/traffic
-https://link-farm.example.net/seo/backlinks
-http://spam-farm.example.net/en/1
-http://buy-followers.example.org/likes
-http://win-prize.example.net/claim-prize
-http://lottery-winner.example.org/claim
-http://make-money-fast.example.net/earn
-http://crypto-giveaway.example.org/double
-http://free-ringtones.example.net/download
-http://weight-loss-pills.example.net/miracle
-http://sex-chat.example.org/live
-http://betting-tips.example.net/bet-now
-http://slots-casino.example.org/slots
-http://pharmacy-discount.example.org/pills
-http://phishing-login.example.net/verify-account
-http://malware-drop.example.org/install.exe
-http://www.spam-mail.example.org/fr/780
-http://m.adult-pics.example.net/es/533/
-http://blog.ads-tracker.example.org/de/25.html
-https://free-bet.example.net/en/412?page=2
-https://track-ads.example.org/fr/91#top
-http://win-casino.example.net/de/853/
-http://cheap-meds.example.org/es/960
-http://farm-links.example.net/fr/300.html
-"""
-
-ALLOWED = """
-https://www.example.org/en/about
-https://blog.example.net/en/post/12
-https://news.example.org/en/world/345.html
-http://m.example.net/de/artikel/77
-https://docs.example.org/en/guide/install
-https://www.library.example.org/catalogue?page=2
-https://en.wiki.example.org/wiki/History
-https://www.university.example.net/research/papers
-https://blog.cooking.example.org/es/recetas/9
-https://forum.example.net/en/thread/881
-https://shop.example.org/en/products/3
-https://www.museum.example.org/fr/expositions
-https://weather.example.net/en/today
-https://m.sports.example.org/en/results/2020
-https://www.city.example.net/de/rathaus
-https://science.example.org/en/journal/4
-https://travel.example.net/en/italy/rome
-https://www.school.example.org/en/classes
-https://photos.example.net/en/album/15
-https://health.example.org/en/advice/sleep
-https://www.books.example.net/en/reviews/51
-https://music.example.org/en/concerts
-https://jobs.example.net/en/listing/820
-https://www.garden.example.org/en/roses
-https://api.example.net/en/reference.html
-https://code.example.org/en/project/readme
-https://www.gov.example.org/en/services
-https://maps.example.net/en/region/6
-https://archive.example.org/en/1998/05
-https://theatre.example.net/en/program#top
-https://mathematics.example.org/en/lecture/7
-https://www.thereading.example.org/en/512
-http://blog.thethan.example.org/fr/780
-https://m.tionther.example.net/es/533/
-http://thion.example.org/de/25.html
-https://inthe.example.net/en/412?page=2
-https://www.antion.example.org/fr/91#top
-http://blog.there.example.net/de/853/
-http://handson.example.org/es/960
-https://m.bleth.example.net/fr/300.html
-"""
+# words of which the labelled hosts are made
+BLOCK_WORDS = """
+casino poker jackpot slots roulette bet betting gambling lottery pills viagra pharmacy meds steroids spam phishing
+malware keylogger warez crack keygen torrent pirated porn xxx sex adult escort hookup nude camgirl ads adserver
+clickbait popup tracker payday loan cash bitcoin giveaway prize winner replica counterfeit followers backlinks
+""".split()
+BLOCK_PARTNERS = "win free cheap best bonus hot online fast easy deals ring offers club x track 24 pro buy".split()
+ALLOW_WORDS = """
+news blog library museum university school garden cooking travel weather science history music theatre archive
+journal market forum photo health sports city council village river mountain forest ocean winter window alphabet
+better castle casual pillow farmer roads threads address planet people reading writing gallery research physics
+chemistry biology medicine hospital clinic teacher student language grammar dictionary atlas map bridge railway
+station airport harbour ferry bicycle engine software compiler database network server reference manual guide
+recipe kitchen bakery coffee orchard vineyard festival concert orchestra cinema novel poetry author publisher
+""".split()
+ALLOW_PARTNERS = "home daily world north south green open old new first team works house hub notes today north".split()
+SYLLABLES = """
+an ber cal den el fi gar hol in jo ka lem mar nor ol per ros sten tion ur ver wil xan yor zel the and ing ous ment
+""".split()
+PREFIXES = ["", "www.", "m.", "blog.", ""]
+DOMAINS = ["example.com", "example.net", "example.org"]
+PATHS = ["/en/7", "/de/41.html", "/fr/930/", "/es/5", "/", "/en/page?x=2", "/index.html", ""]
+BLOCKED, ALLOWED = 480, 960
+
+
+def _host(k: int, words: list[str], partners: list[str], alone: bool) -> str:
+    """The k-th host's name: a word with another, with a partner on either side, or alone."""
+    turn = k // len(words)
+    word, partner = words[k % len(words)], partners[(5 * k + turn) % len(partners)]
+    other = words[(7 * k + turn + 1) % len(words)]
+    dash = "-" * (k % 3 > 0)
+    if alone:
+        return word
+    return [word + dash + other, partner + dash + word, word + dash + partner][k % 3]
+
+
+def _sound(k: int) -> str:
+    """The k-th invented name, of two or three syllables."""
+    n, turn = len(SYLLABLES), k // len(SYLLABLES)
+    return SYLLABLES[k % n] + SYLLABLES[(7 * k + 2 * turn) % n] + (SYLLABLES[(11 * k + 5 * turn) % n] if k % 2 else "")
+
+
+def _urls(names: list[str]) -> list[str]:
+    return [
+        f"https://{PREFIXES[k % 5]}{name}.{DOMAINS[k // 3 % 3]}{PATHS[k // 5 % len(PATHS)]}" for k, name in enumerate(names)
+    ]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The default table: ``url``, ``label`` (1 blocked, 0 allowed), a few dozen rows."""
-    rows = [(u, 1.0) for u in BLOCKED.split()] + [(u, 0.0) for u in ALLOWED.split()]
-    each = F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in rows]))
-    return spark.range(1).select(each.alias("row")).select("row.url", "row.label")
+    """The default table: ``url``, ``label`` (1 blocked, 0 allowed), made of the words above by number."""
+    bad = [_host(k, BLOCK_WORDS, BLOCK_PARTNERS, k % 4 == 3) for k in range(BLOCKED)]
+    good = [_host(k, ALLOW_WORDS, ALLOW_PARTNERS, k % 4 == 1) if k % 2 else _sound(k // 2) for k in range(ALLOWED)]
+
+    def rows(names: list[str], label: float) -> DataFrame:
+        whole = F.split(F.lit("\n".join(_urls(names))), "\n")
+        return spark.range(1).select(F.explode(whole).alias("url"), F.lit(label).alias("label"))
+
+    return rows(bad, 1.0).union(rows(good, 0.0))
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -153,30 +121,52 @@ def rule_and_verdict(rules=RULES) -> tuple[Column, Column]:
 
 
 def _grams(urls: DataFrame) -> DataFrame:
-    """``host_chars`` and ``path_chars``, with marks at both ends."""
+    """``host_grams`` and ``path_grams``, with marks at both ends and one sign for all digits."""
     host, path = host_and_path()
-    parted = urls.withColumns({"host": host, "path": path})
-    ends = {
-        f"{part}_chars": F.split(F.concat(F.lit("^"), F.lower(part), F.lit("$")), "")
-        for part in ("host", "path")
-    }
-    grams = [NGram(n=GRAM, inputCol=f"{p}_chars", outputCol=f"{p}_grams") for p in ("host", "path")]
-    both = reduce(lambda df, step: step.transform(df), grams, parted.withColumns(ends))
-
-    def marked(part: str) -> Column:
-        return F.transform(f"{part}_grams", lambda gram: F.concat(F.lit(part[0] + " "), gram))
+    out = urls.withColumns({"host": host, "path": path})
+    for part in ("host", "path"):
+        folded = F.translate(F.lower(part), "123456789", "000000000")
+        folded = F.regexp_replace(folded, "0+", "0")
+        out = out.withColumn(f"{part}_chars", F.split(F.concat(F.lit("^"), folded, F.lit("$")), ""))
+        for n in GRAMS:
+            out = NGram(n=n, inputCol=f"{part}_chars", outputCol=f"{part}_{n}").transform(out)
+        out = out.withColumn(f"{part}_grams", F.concat(*[f"{part}_{n}" for n in GRAMS]))
+    return out.drop(*[f"{p}_{x}" for p in ("host", "path") for x in ("chars", *GRAMS)])
+
+
+def _model(strength: float) -> Pipeline:
+    steps = [
+        HashingTF(inputCol=f"{part}_grams", outputCol=f"{part}_counts", numFeatures=slots, binary=True)
+        for part, slots in SLOTS.items()
+    ]
+    less = Vectors.dense([PATH_WEIGHT] * SLOTS["path"])
+    steps += [
+        ElementwiseProduct(scalingVec=less, inputCol="path_counts", outputCol="path_less"),
+        VectorAssembler(inputCols=["host_counts", "path_less"], outputCol="features"),
+        LogisticRegression(maxIter=20, tol=1e-4, regParam=strength, standardization=False),
+    ]
+    return Pipeline(stages=steps)
 
-    return both.withColumn("grams", F.concat(marked("host"), marked("path")))
 
+def fit(labelled: DataFrame, strengths=STRENGTHS) -> PipelineModel:
+    """Logistic regression over the hashed n-grams of labelled URLs; rows without a label are left out.
 
-def fit(labelled: DataFrame, slots: int = SLOTS) -> PipelineModel:
-    """Logistic regression over the hashed n-grams of labelled URLs; rows without a label are left out."""
+    The strength is that of the least loss on held-out hosts; the model returned is fitted on all rows.
+    """
     rows = _grams(labelled.select("url", F.col("label").cast("double").alias("label")).dropna(subset=["label"]))
-    steps = [
-        HashingTF(inputCol="grams", outputCol="features", numFeatures=slots, binary=True),
-        LogisticRegression(maxIter=50, regParam=0.01, standardization=False),
-    ]
-    return Pipeline(stages=steps).fit(rows.select("grams", "label"))
+    # a small table: one task an iteration
+    rows = rows.select("host", "host_grams", "path_grams", "label").coalesce(1).cache()
+    held = F.pmod(F.crc32("host"), F.lit(HELD_OUT)) == 0
+    probability = vector_to_array("probability")[F.col("label").cast("int")]
+    losses = {}
+    for strength in strengths if len(strengths) > 1 else ():
+        scored = _model(strength).fit(rows.filter(~held)).transform(rows.filter(held))
+        losses[strength] = scored.agg(F.avg(-F.log(probability + 1e-12))).first()[0]
+    known = {strength: loss for strength, loss in losses.items() if loss is not None}
+    best = min(known, key=known.get) if known else strengths[0]
+    model = _model(best).fit(rows)
+    rows.unpersist()
+    return model
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -184,7 +174,8 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, threshold: float =
 
     The longest fitting rule decides, else the regression: ``block`` from ``threshold`` on. ``score``
     is the regression's probability of a block for every row. A null URL has an empty host and path,
-    fits no rule and is scored as such. Columns other than ``page_id`` and ``url`` are ignored.
+    fits no rule and is scored as such. Columns other than ``page_id`` and ``url`` are ignored; repeated rows
+    come back as often as they come; an empty table gives none.
     """
     model = fit(labelled)
     scored = model.transform(_grams(pages.select("page_id", "url")))
