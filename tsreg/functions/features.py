@@ -3,37 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import (
-    MinMaxScaler,
-    MinMaxScalerModel,
-    OneHotEncoder,
-    StandardScaler,
-    StringIndexer,
-    VectorAssembler,
-)
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml.feature import MinMaxScaler, MinMaxScalerModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsreg.functions import categories
 from tsreg.functions.columns import minmax_inverse
-from tsreg.operators.ordering import global_rank
-from tsreg.sources.stage import stage
-
-# categories per column that a pipeline may have: its index is part of the saved model
-PIPELINE_CATEGORIES = 100_000
-
-
-def check_vocabulary(df: DataFrame, columns: Sequence[str], most: int = PIPELINE_CATEGORIES) -> None:
-    """Refuse category columns too varied for the in-memory index of a pipeline, before it is collected."""
-    if not columns:
-        return
-    counted = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    for column in columns:
-        if counted[column] > most:
-            raise ValueError(f"{column} has about {counted[column]} categories, more than {most}")
-
 
 def assembler(columns: Sequence[str], output: str = "features", invalid: str = "error") -> VectorAssembler:
     return VectorAssembler(inputCols=list(columns), outputCol=output, handleInvalid=invalid)
@@ -48,6 +27,32 @@ def scaler_stage(kind: str, source: str, output: str, centre: bool = False) -> E
     raise ValueError(f"unknown scaler {kind!r}: use 'standard' or 'minmax'")
 
 
+class Part(NamedTuple):
+    """Stages of a pipeline for one kind of columns, and the vectors that they end in."""
+
+    stages: list[Estimator | Transformer]
+    vectors: list[str]
+
+
+def number_part(columns: Sequence[str], scaler: str | None) -> Part:
+    """Numbers in one vector, scaled on request."""
+    if not columns:
+        return Part([], [])
+    joined = assembler(columns, "numbers")
+    if scaler is None:
+        return Part([joined], ["numbers"])
+    return Part([joined, scaler_stage(scaler, "numbers", "numbers_scaled")], ["numbers_scaled"])
+
+
+def category_part(columns: Sequence[str]) -> Part:
+    """A slot per category of each column, whatever their number."""
+    if not columns:
+        return Part([], [])
+    indexes, slots = ([f"{column}_{kind}" for column in columns] for kind in ("index", "slots"))
+    indexers = [categories.CategoryIndexer(column, index) for column, index in zip(columns, indexes)]
+    return Part([*indexers, categories.encoder(indexes, slots)], slots)
+
+
 def build_pipeline(
     estimator: Estimator,
     target: str,
@@ -55,33 +60,13 @@ def build_pipeline(
     cat: Sequence[str] = (),
     scaler: str | None = "standard",
 ) -> Pipeline:
-    """Numbers scaled, categories one-hot encoded, both in one vector for ``estimator``."""
-    if not num and not cat:
+    """``estimator`` behind all that its one vector of features is made of."""
+    numbers, slots = number_part(num, scaler), category_part(cat)
+    vectors = numbers.vectors + slots.vectors
+    if not vectors:
         raise ValueError("a pipeline needs numeric or category columns")
-    stages, parts = [], []
-    if num:
-        stages.append(assembler(num, "num_features"))
-        parts.append("num_features")
-        if scaler:
-            stages.append(scaler_stage(scaler, "num_features", "scaled_features"))
-            parts = ["scaled_features"]
-    if cat:
-        index = [f"idx_{c}" for c in cat]
-        onehot = [f"ohe_{c}" for c in cat]
-        stages += [
-            StringIndexer(
-                inputCols=list(cat),
-                outputCols=index,
-                handleInvalid="keep",
-                stringOrderType="frequencyDesc",
-            ),
-            OneHotEncoder(inputCols=index, outputCols=onehot),
-        ]
-        parts += onehot
-    stages.append(assembler(parts, "features"))
-    model = estimator.copy()
-    model.setFeaturesCol("features").setLabelCol(target)
-    return Pipeline(stages=[*stages, model])
+    last = estimator.copy({estimator.featuresCol: "features", estimator.labelCol: target})
+    return Pipeline(stages=[*numbers.stages, *slots.stages, assembler(vectors, "features"), last])
 
 
 def assembled(df: DataFrame, columns: Sequence[str], invalid: str = "error") -> DataFrame:
@@ -115,24 +100,10 @@ def string_index(train: DataFrame, df: DataFrame, column: str, output: str) -> D
 
     Categories are counted, ranked and joined as tables, so their number has no bound.
     """
-    levels = stage(
-        train.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("_level"))
-        .agg((-F.count("*")).alias("_rarity"))
-        .withColumn("_text", F.col("_level").cast("string")),
-        "levels",
-    )
-    ranked = global_rank(levels, ("_rarity", "_text"), "_rank").select("_level", "_rank")
-    unseen = F.lit(levels.count())
-    return (
-        df.join(ranked, F.col(column) == F.col("_level"), "left")
-        .withColumn(output, F.coalesce(F.col("_rank") - 1, unseen).cast("double"))
-        .drop("_level", "_rank")
-    )
+    return categories.indexed(categories.levels(train, column), df, column, output)
 
 
 def one_hot(train: DataFrame, df: DataFrame, column: str, output: str) -> DataFrame:
     """A sparse vector with one slot per category of ``train``, all zero for unseen ones and nulls."""
-    encoder = OneHotEncoder(inputCol="_index", outputCol=output, handleInvalid="keep")
-    model = encoder.fit(string_index(train, train, column, "_index").filter(F.col(column).isNotNull()))
-    return model.transform(string_index(train, df, column, "_index")).drop("_index")
+    numbered = string_index(train, df, column, "_index")
+    return categories.encoder(["_index"], [output]).fit(numbered).transform(numbered).drop("_index")

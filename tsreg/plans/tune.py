@@ -13,7 +13,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsreg.functions.features import build_pipeline, check_vocabulary
+from tsreg.functions.features import build_pipeline
 from tsreg.functions.metrics import MEASURES, metric_columns
 from tsreg.operators.clean import dedup_rows
 from tsreg.operators.ordering import (
@@ -170,9 +170,13 @@ def cross_validate(
     return _validated(table, splits, estimator, grid, metric, label)
 
 
-def mean_metrics(tried: Tried, metric: str = "rmse") -> DataFrame:
-    """``(trial, params, avg_metric, std_metric, chosen)``: folds of each combination together."""
-    summed = tried.trials.groupBy("trial").agg(
+def mean_metrics(tried: Tried | DataFrame, metric: str = "rmse") -> DataFrame:
+    """``(trial, params, avg_metric, std_metric, chosen)``: folds of each combination together.
+
+    Takes a search's outcome or the table of its trials.
+    """
+    trials = tried.trials if isinstance(tried, Tried) else tried
+    summed = trials.groupBy("trial").agg(
         F.first("params").alias("params"),
         F.avg("metric").alias("avg_metric"),
         F.stddev_samp("metric").alias("std_metric"),
@@ -232,7 +236,6 @@ def train_and_evaluate(
     The choice is by rolling origin along the column ``time``; with None it is by random folds of
     ``keys``. Pass another ``split`` too (such as a hash split by key) for tables without time.
     """
-    check_vocabulary(df, cat)
     table = stage(dedup_rows(df), "evaluate")
     train, test = split(table)
     pipeline = build_pipeline(estimator, target, num, cat)
