@@ -10,7 +10,7 @@ from catalog.tables import BARS, HOURLY, RANKED, bar_table, bucket_sql, hourly,
 from tsreg.functions.features import build_pipeline
 from tsreg.functions.network import Sizes
 from tsreg.operators.ordering import chrono_split
-from tsreg.plans import sequence, serve, tune
+from tsreg.plans import gram, sequence, serve, tune
 from tsreg.sources.stage import fresh_path, stage
 
 # Small layers and few steps: the full ones take minutes, and check nothing more.
@@ -189,9 +189,8 @@ def tree_grid_search(spark, sf_dir):
 @query()
 def cv_avg_metrics(spark, sf_dir):
     train, _ = _parts(spark, sf_dir)
-    model = tune.linear()
-    grid = tune.param_maps(model, tune.LINEAR_GRID)
-    return tune.mean_metrics(tune.cross_validate(train, model, grid, folds=3))
+    grid = tune.param_maps(tune.linear(), tune.LINEAR_GRID)
+    return tune.mean_metrics(gram.cross_validate(train, len(serve.BAR_FEATURES), grid, folds=3))
 
 
 @query(

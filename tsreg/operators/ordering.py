@@ -336,3 +336,22 @@ __all__ = [
     "series_cuts",
     "time_cut",
 ]
+
+
+def minibatches(
+    df: DataFrame, keys: Sequence[str], rows: int, epoch: int = 1, seed: int = 42, max_cell: int = MAX_CELL
+) -> DataFrame:
+    """``df`` with ``batch`` and ``place`` (from 0): all rows dealt anew into batches of ``rows``.
+
+    An epoch's order is that of the MD5 of key, seed and epoch, so it repeats under any partitioning. Rows
+    get their numbers in it by one range sort; a batch is a range of numbers, and the last may be short.
+    ``keys`` must tell all rows apart.
+    """
+    if rows < 1:
+        raise ValueError("a batch needs 1 or more rows")
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)), F.lit(str(epoch)))
+    ranked = global_rank(df.withColumn("_draw", F.md5(text)), ("_draw", *keys), "_number", max_cell)
+    number = F.col("_number") - 1
+    return ranked.select(
+        *df.columns, F.floor(number / rows).alias("batch"), F.pmod(number, F.lit(rows)).alias("place")
+    )

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -148,6 +149,165 @@ def fit(
     )
 
 
+@dataclass(frozen=True)
+class Progress:
+    """Where a training by rounds stands: epochs done, weights, and the step rule's running means."""
+
+    epoch: int
+    flat: np.ndarray
+    mean: np.ndarray
+    square: np.ndarray
+    steps: float
+    losses: list[tuple[int, float | None, float | None]]
+
+
+PROGRESS = (
+    "epoch int, flat array<double>, mean array<double>, square array<double>, steps double, "
+    "losses array<struct<epoch:int,train_loss:double,valid_loss:double>>"
+)
+
+
+def _resumed(spark: SparkSession, path: str) -> Progress | None:
+    """The last round that was written under ``path``."""
+    try:
+        rows = spark.read.schema(PROGRESS).parquet(path).orderBy(F.desc("epoch")).limit(1).collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if not rows:
+        return None
+    row = rows[0]
+    arrays = [np.array(row[name]) for name in ("flat", "mean", "square")]
+    return Progress(row["epoch"], *arrays, row["steps"], [tuple(x) for x in row["losses"]])
+
+
+def fit_by_rounds(
+    samples: DataFrame,
+    sizes: Sizes,
+    epochs: int = 200,
+    rate: float = 0.001,
+    batch_rows: int | None = None,
+    per_round: int = 10,
+    shard_rows: int = 1024,
+    seed: int = 42,
+    line: Timeline = DAILY,
+    progress: str | None = None,
+) -> Fitted:
+    """Local steps on resident shards: one job for each ``per_round`` epochs instead of one for each step.
+
+    Samples are dealt by the hash of their key into shards of about ``shard_rows``, written once. In a round
+    every shard starts from the same weights, takes its own steps for ``per_round`` epochs, and returns its
+    weights and running means; their means, weighted by the shards' training samples, start the next round.
+    An epoch reshuffles a shard and takes a step for each ``batch_rows`` samples (all of them, if None). With one
+    shard this is plain gradient descent. With ``progress``, each round is added to the table of this
+    path, and a call that finds one goes on behind it; losses, ``valid`` and ``held_out`` are as in :func:`fit`.
+    """
+    if min(epochs, per_round, shard_rows) < 1 or (batch_rows is not None and batch_rows < 1):
+        raise ValueError("epochs, rounds, batches and shards must be 1 or more")
+    spark = samples.sparkSession
+    keys = [*line.by, line.order]
+    seen = samples.filter(~F.col("held_out"))
+    shards = max(1, -(-seen.count() // shard_rows))
+    dealt = seen.select(hash_bucket(keys, seed, shards).alias("shard"), *keys, "x", "y", "valid")
+    table = stage(dealt.repartitionByRange(shards, "shard"), "sequence-shards")
+    zero = np.zeros(sizes.count())
+    state = progress and _resumed(spark, progress)
+    state = state or Progress(0, sizes.initial(seed), zero, zero, 0.0, [])
+    while state.epoch < epochs:
+        state = _round(table, sizes, state, min(per_round, epochs - state.epoch), rate, batch_rows, seed, keys)
+        if progress:
+            row = (state.epoch, state.flat.tolist(), state.mean.tolist(), state.square.tolist(), state.steps, state.losses)
+            spark.createDataFrame([row], PROGRESS).write.mode("append").parquet(progress)
+    losses = [x for x in state.losses if x[0] <= epochs]
+    return Fitted(
+        Weights(sizes, state.flat),
+        spark.createDataFrame(losses, "epoch int, train_loss double, valid_loss double"),
+    )
+
+
+def _shard_steps(
+    sizes: Sizes, state: Progress, epochs: int, rate: float, batch_rows: int | None, seed: int, shard: int, rows: pd.DataFrame
+) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's weights and running means after ``epochs``, times its samples; and its losses by epoch."""
+    held = rows["valid"].to_numpy(dtype=bool)
+    x, y = _matrix(rows["x"]), rows["y"].to_numpy(dtype=np.float64)
+    train, valid = (x[~held], y[~held]), (x[held], y[held])
+    n = len(train[1])
+    flat, rule = state.flat, Adam(len(state.flat), rate)
+    rule.mean, rule.square, rule.steps = state.mean, state.square, state.steps
+    sums = np.zeros((epochs, 4))
+    for k in range(epochs):
+        if len(valid[1]):
+            error = network.predict(sizes, flat, valid[0]) - valid[1]
+            sums[k, 2:] = float(error @ error), len(error)
+        if not n:
+            continue
+        order = np.random.default_rng([seed, state.epoch + k, shard]).permutation(n) if batch_rows else np.arange(n)
+        for low in range(0, n, batch_rows or n):
+            some = order[low : low + (batch_rows or n)]
+            loss, gradient = network.loss_and_gradient(sizes, flat, train[0][some], train[1][some])
+            flat = rule.step(flat, gradient / len(some))
+            sums[k, :2] += loss, len(some)
+    return n * np.concatenate([flat, rule.mean, rule.square, [rule.steps, 1.0]]), sums.ravel()
+
+
+def _round(
+    table: DataFrame, sizes: Sizes, state: Progress, epochs: int, rate: float, batch_rows: int | None, seed: int, keys: list[str]
+) -> Progress:
+    start = (state.epoch, state.flat, state.mean, state.square, state.steps)
+    shared = table.sparkSession.sparkContext.broadcast(start)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [batch for batch in batches if len(batch)]
+        if not rows:
+            return
+        # a file is a shard; small ones may share a task
+        for shard, part in pd.concat(rows).groupby("shard"):
+            # by key, so that a shard's order doesn't hang on how it was written
+            part = part.sort_values(keys)
+            begin = Progress(*shared.value, [])
+            weighted, sums = _shard_steps(sizes, begin, epochs, rate, batch_rows, seed, int(shard), part)
+            yield pd.DataFrame({"weighted": [weighted], "sums": [sums]})
+
+    parts = table.mapInPandas(partial, "weighted array<double>, sums array<double>")
+    groups = (
+        parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(_sum_groups(table.sparkSession))).alias("part"))
+        .agg(
+            Summarizer.sum(array_to_vector("weighted")).alias("weighted"),
+            Summarizer.sum(array_to_vector("sums")).alias("sums"),
+        )
+        .collect()
+    )
+    shared.destroy()
+    size = len(state.flat)
+    weighted, sums = np.zeros(3 * size + 2), np.zeros(4 * epochs)
+    for group in groups:
+        weighted += group["weighted"].toArray()
+        sums += group["sums"].toArray()
+    mean = weighted / weighted[-1] if weighted[-1] else np.concatenate([state.flat, state.mean, state.square, [state.steps, 0]])
+    losses = [
+        (state.epoch + k + 1, *(float(s / m) if m else None for s, m in (part[:2], part[2:])))
+        for k, part in enumerate(sums.reshape(epochs, 4))
+    ]
+    return Progress(
+        state.epoch + epochs, mean[:size], mean[size : 2 * size], mean[2 * size : 3 * size], float(mean[-2]), state.losses + losses
+    )
+
+
+def gradient(samples: DataFrame, weights: Weights) -> DataFrame:
+    """``(layer, name, place, value)``: gradient of the summed squared error of all training samples."""
+    rows = samples.filter(~F.col("held_out")).select("x", "y", "valid")
+    found, _ = _step(rows, weights.sizes, weights.flat)
+    parts = weights.sizes.unpack(found)
+    rows = [
+        (layer, name, place, float(value))
+        for layer, name, _ in weights.sizes.shapes()
+        for place, value in enumerate(parts[layer, name].ravel())
+    ]
+    return samples.sparkSession.createDataFrame(rows, "layer string, name string, place int, value double")
+
+
 def _step(rows: DataFrame, sizes: Sizes, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradient sum of the training rows, and (loss, rows) sums of training and validation rows."""
     shared = rows.sparkSession.sparkContext.broadcast(flat)
