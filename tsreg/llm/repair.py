@@ -427,38 +427,42 @@ def _with_seen(pieces: DataFrame) -> DataFrame:
     return _on(pieces, again.agg(F.collect_list("digest").alias("seen")))
 
 
-def repair(rows: DataFrame, segment: int = turns.SEGMENT) -> DataFrame:
-    """Repaired conversations in pieces of at most ``segment`` turns: columns ``PIECES``, and ``last``.
-
-    ``rows``: ``conv_id``, ``turn``, ``role``, ``text`` and ``present`` (rows that aren't only keep their
-    conversation in the result); others are ignored. ``repaired`` are the turns after the cheapest edits,
-    ``audit`` the edits' initials, least in ASCII order among the cheapest; ``cost`` is that from the piece
-    on to the end, in piece 0 so that of the conversation. Turns are ordered by ``turn``, nulls first; equal
-    turns by a hash of role and text, so that repeated rows are neighbours. A blank text is a fault before a
-    duplicate, a duplicate before a truncated end. A null ``conv_id`` is a conversation of its own.
-    A conversation without rows that are present has one piece without edits. An empty table gives none.
-    """
+def solved(rows: DataFrame, segment: int = turns.SEGMENT) -> tuple[DataFrame, DataFrame | None]:
+    """:func:`repair`, conversations of one piece apart from those of several (None if there are none)."""
     ordered = rows.select("conv_id", "turn", "role", "text", "present", turns.tie_order().alias("tie"))
     found = turns.segments(ordered, segment)
     single = (F.col("piece") == 0) & F.col("last")
     whole = _solved(found.filter(single)).withColumn("last", F.lit(True))
     if found.filter(~single).isEmpty():
-        return whole
+        return whole, None
     parts = stage(_with_seen(found.filter(~single)), "repair-parts")
     products = turns.doubled(_mapped(parts, _border_costs), "conv_id", _min_plus, "repair-costs", forward=False)
     closed = F.array(*[F.lit(int(c)) for c in CLOSED])
     # the costs behind a piece are those of the next one: any column, as the product reaches the end
-    behind = products.select(
-        "conv_id",
-        (F.col("piece") - 1).alias("piece"),
-        F.transform(F.sequence(F.lit(0), F.lit(STATES - 1)), lambda s: F.element_at("value", (s * STATES + 1).cast("int"))).alias("end"),
+    column = F.transform(
+        F.sequence(F.lit(0), F.lit(STATES - 1)), lambda s: F.element_at("value", (s * STATES + 1).cast("int"))
     )
+    behind = products.select("conv_id", (F.col("piece") - 1).alias("piece"), column.alias("end"))
     parts = stage(_on(parts, behind).withColumn("end", F.coalesce("end", closed)), "repair-ends")
     states = turns.doubled(_mapped(parts, _border_states), "conv_id", _then, "repair-states")
     entered = states.select("conv_id", (F.col("piece") + 1).alias("piece"), F.element_at("value", 1).alias("entry"))
     parts = _on(parts, entered).withColumn("entry", F.coalesce("entry", F.lit(0)).cast("bigint"))
-    solved = _on(_solved(parts), parts.select("conv_id", "piece", "last"))
-    return whole.unionByName(solved)
+    return whole, _on(_solved(parts), parts.select("conv_id", "piece", "last"))
+
+
+def repair(rows: DataFrame, segment: int = turns.SEGMENT) -> DataFrame:
+    """Repaired conversations in pieces of at most ``segment`` turns: columns ``PIECES``, and ``last``.
+
+    ``rows``: ``conv_id``, ``turn``, ``role``, ``text`` and ``present`` (rows that aren't only keep their
+    conversation in the result); others are ignored. ``repaired`` are the turns after the cheapest edits,
+    ``audit`` the edits' initials, least in ASCII order among the cheapest; ``cost`` is that from the piece
+    on to the end, in piece 0 so that of the conversation. Turns are ordered by ``turn``, nulls first; equal
+    turns by a hash of role and text, so that repeated rows are neighbours. A blank text is a fault before a
+    duplicate, a duplicate before a truncated end. A null ``conv_id`` is a conversation of its own.
+    A conversation without rows that are present has one piece without edits. An empty table gives none.
+    """
+    whole, parts = solved(rows, segment)
+    return whole if parts is None else whole.unionByName(parts)
 
 
 SUMMARY = (
@@ -467,19 +471,18 @@ SUMMARY = (
 )
 
 
-def summaries(pieces: DataFrame) -> DataFrame:
-    """One row per conversation with the counts, the audit and the SHA-256 of its repaired ``role:text`` lines.
+def summaries(whole: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """The result of :func:`solved` as one row per conversation with the counts, the audit and the SHA-256 of its repaired ``role:text`` lines.
 
     ``gaps`` is the last turn's number less the first's plus one less the number of different turns, 0 without
     any; ``illegal`` counts neighbours whose roles' initials aren't su, ua or au. Pieces of a conversation
     are read in order and hashed one by one; none is held with the others.
     """
-    kind = pieces.schema["conv_id"].dataType.simpleString()
+    kind = whole.schema["conv_id"].dataType.simpleString()
     line = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
-    single = (F.col("piece") == 0) & F.col("last")
     width = F.coalesce(F.col("last_turn") - F.col("first_turn") + 1 - F.col("distinct_turns"), F.lit(0))
     names = ["blank", "duplicate", "truncated", "illegal", "cost", "audit"]
-    one = pieces.filter(single).select(
+    one = whole.select(
         "conv_id", width.alias("gaps"), *names, F.sha2(F.array_join(line, "\n"), 256).alias("repaired_sha256")
     )
 
@@ -516,5 +519,7 @@ def summaries(pieces: DataFrame) -> DataFrame:
                 names=[part.split()[0] for part in SUMMARY.split(", ")],
             )
 
-    many = pieces.filter(~single).repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+    if parts is None:
+        return one
+    many = parts.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
     return one.unionByName(map_arrow(many, run, SUMMARY.format(kind=kind)))
