@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsreg.functions.columns import normalize_names
+from tsreg.sources.stage import stage
 
 KEY = ("symbol", "date")
 
@@ -38,7 +41,8 @@ def read_bars(
     """Bars from CSV or parquet, in the order of ``BAR_COLUMNS``.
 
     ``symbol`` names the one series of a CSV file without a ``Symbol`` column. A value that does
-    not parse, or a header that differs from the layout, fails the job.
+    not parse in a column that is read, or a header that differs from the layout, fails the job; columns
+    that a query leaves out are not parsed. :func:`quarantined_bars` looks at all of them.
     """
     if fmt == "parquet":
         return spark.read.parquet(path).select(*BAR_COLUMNS)
@@ -57,6 +61,52 @@ def read_bars(
     return named.select(*BAR_COLUMNS)
 
 
+CORRUPT = "_corrupt"
+
+
+class Quarantined(NamedTuple):
+    """Bars that parse, and the lines that don't (``file``, ``line``)."""
+
+    bars: DataFrame
+    rejected: DataFrame
+
+
+def quarantined_bars(
+    spark: SparkSession, path: str, symbol: str | None = None, most: int | None = None
+) -> Quarantined:
+    """Bars of a CSV folder, with the lines of which any column doesn't parse in a table of their own.
+
+    All columns are parsed, whatever is read later. A line counts as rejected if a value doesn't parse, if
+    fields are missing or too many, or if it has no key. The scan happens once; both parts read what it wrote.
+    ``most``: fail if more lines than that are rejected. A header that differs from the layout fails the job.
+    """
+    schema = csv_schema(with_symbol=symbol is None).add(CORRUPT, T.StringType())
+    raw = (
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("columnPruning", False)
+        .csv(path)
+    )
+    fields = [f.name for f in schema.fields if f.name != CORRUPT]
+    key = F.col("Date").isNull() if symbol is not None else F.col("Date").isNull() | F.col("Symbol").isNull()
+    whole = F.concat_ws(",", *[F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")) for name in fields])
+    line = F.coalesce(F.col(CORRUPT), F.when(key, whole))
+    named = raw.select("*", line.alias("line"), F.col("_metadata.file_path").alias("file"))
+    found = stage(named.drop(CORRUPT), "csv-quarantine")
+    rejected = found.filter("line IS NOT NULL").select("file", "line")
+    if most is not None:
+        n = rejected.limit(most + 1).count()
+        if n > most:
+            raise ValueError(f"more than {most} lines of {path} don't parse")
+    good = normalize_names(found.filter("line IS NULL").drop("line", "file"))
+    if symbol is not None:
+        good = good.withColumn("symbol", F.lit(symbol))
+    return Quarantined(good.select(*BAR_COLUMNS), rejected)
+
+
 def write_bars_csv(df: DataFrame, path: str) -> None:
     """CSV folder with the fixed header, in (symbol, date) order over the part files."""
     (
