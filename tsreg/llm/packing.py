@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tsreg.llm.common import map_arrow, texts_of
+from tsreg.llm.common import map_arrow
 from tsreg.llm.tokens import broadcast_tokenizer, encoder
 
 WINDOW = 4096
 END_ID = 2
+CACHE_ENTRIES = 500_000
 
 # a piece: document, ids of the document before it, ids of the piece as bytes, ids of the document
 Piece = tuple[object, int, bytes, int]
@@ -115,7 +116,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, tokens = Packer(window), encoder(source)
+        packer, tokens = Packer(window), encoder(source, CACHE_ENTRIES)
         sequence = TaskContext.get().partitionId() << 33
 
         def rows_of(windows: list[list[Piece]], id_type: pa.DataType) -> pa.RecordBatch:
@@ -138,7 +139,7 @@ def pack(
         id_type = None
         for batch in batches:
             id_type, full = batch.column(0).type, []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(texts_of(batch.column(1)))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1))):
                 full += packer.add(doc_id, ids + end)
             if full:
                 yield rows_of(full, id_type)

@@ -1,7 +1,7 @@
 """Token ids and token counts of whole texts, exactly as the tokenizer's library gives them.
 
 ASCII white space always separates pre-tokens of the supported tokenizer, so a text is cut there
-and each chunk is encoded once per worker. Chunks of plain letters and punctuation are encoded many
+and each distinct chunk of a batch is encoded once. Chunks of plain letters and punctuation are encoded many
 at a time, joined by blanks: every pre-token ends in a token that carries the end-of-word mark.
 All other chunks (digits, other scripts, combining marks, special strings) are encoded one by one.
 """
@@ -9,11 +9,11 @@ All other chunks (digits, other scripts, combining marks, special strings) are e
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +28,9 @@ SKETCH_ITEMS = 1 << 16
 SKETCH_GROUPS = 32
 LIMIT = 2048
 
-# a chunk a line: letters that no normalisation to NFC changes and that lower-case one to one, then
-# marks without apostrophe and "<"; or anything else
-PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]{0,64})([!-&(-/:;=-@\[-`{-~]{0,64})|(.*))$", re.MULTILINE)
+# letters that no normalisation to NFC changes and that lower-case one to one, then marks without
+# apostrophe and "<"
+PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-&(-/:;=-@\[-`{-~]*)$"
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -39,8 +39,34 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def utf8(texts: pa.Array) -> pa.Array:
+    """Bytes as text; what is no UTF-8 becomes the replacement character."""
+    found = texts.view(pa.string())
+    try:
+        found.validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+    return found
+
+
+def sizes_of(raw: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+
+
+def gather(pool: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``pool`` with these numbers, one after the other, and their bounds from 0 on."""
+    starts, lengths = np.cumsum(sizes) - sizes, sizes[numbers]
+    ends = np.append(0, np.cumsum(lengths))
+    return pool[np.arange(ends[-1]) + np.repeat(starts[numbers] - ends[:-1], lengths)], ends
+
+
+def cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw, bounds = ids.tobytes(), (4 * ends).tolist()
+    return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, through bounded caches."""
+    """Ids of texts as little-endian unsigned 32-bit integers, through a bounded cache of pre-tokens."""
 
     def __init__(self, source: str, entries: int = CACHE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,7 +77,6 @@ class Encoder:
         self.is_final = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.entries = entries
-        self.chunks: dict[bytes, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
 
     def _singly(self, texts: list[str]) -> list[bytes]:
@@ -71,48 +96,54 @@ class Encoder:
                 cut = self._singly(group)
             self.pretokens.update(zip(group, cut))
 
-    def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of chunks, which have no ASCII white space and are not empty."""
-        if not chunks:
-            return []
+    def _ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, one after the other, and where each one's end."""
         if len(self.pretokens) > self.entries:
             self.pretokens.clear()
-        lines = PLAIN.findall(b"\n".join(chunks).decode("utf-8", "replace"))
-        words, marks = [line[0].lower() for line in lines], [line[1] for line in lines]
-        self._encode_pretokens(list({*words, *marks}.difference(self.pretokens, [""])))
-        known = self.pretokens
-        known[""] = b""
-        ids = [known[word] + known[mark] for word, mark in zip(words, marks)]
-        other = [k for k, line in enumerate(lines) if line[2]]
-        for k, raw in zip(other, self._singly([lines[k][2] for k in other])):
-            ids[k] = raw
-        return ids
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of whole texts."""
-        split = [text.split() for text in texts]
-        if len(self.chunks) > self.entries:
-            self.chunks.clear()
-        missing = list(set().union(*split).difference(self.chunks))
-        self.chunks.update(zip(missing, self.encode_chunks(missing)))
-        look = self.chunks.__getitem__
-        ids = [b"".join(map(look, chunks)) for chunks in split]
-        for chunk in missing:
-            if len(chunk) > LONGEST_CACHED:
-                del self.chunks[chunk]
-        return ids
+        parts = pc.extract_regex(chunks, PLAIN)
+        plain = pc.and_(parts.is_valid(), pc.less_equal(pc.binary_length(chunks), LONGEST_CACHED))
+        words = pc.utf8_lower(pc.if_else(plain, pc.struct_field(parts, "word"), "")).dictionary_encode()
+        marks = pc.if_else(plain, pc.struct_field(parts, "marks"), "").dictionary_encode()
+        known = [words.dictionary.to_pylist(), marks.dictionary.to_pylist()]
+        self.pretokens[""] = b""
+        self._encode_pretokens([t for t in {*known[0], *known[1]} if t not in self.pretokens])
+        other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        single = chunks.take(pa.array(other)).to_pylist()
+        raw = [self.pretokens[t] for part in known for t in part] + (self._singly(single) if single else [])
+        pair = np.stack([words.indices.to_numpy(), marks.indices.to_numpy() + len(known[0])], axis=1)
+        pair[other, 0] = np.arange(len(other)) + len(known[0]) + len(known[1])
+        ids, ends = gather(np.frombuffer(b"".join(raw), "<u4"), sizes_of(raw), pair.ravel())
+        return ids, ends[::2]
+
+    def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of chunks, which have no ASCII white space and are not empty."""
+        ids, ends = self._ids(utf8(pa.array(chunks, pa.binary())))
+        return cut(ids, ends)
+
+    def encode(self, texts: pa.Array | list[bytes]) -> list[bytes]:
+        """Ids of whole texts, null as empty.
+
+        Arrow cuts the texts and numbers their distinct chunks; the ids of a text are gathered by
+        these numbers.
+        """
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+        split = pc.ascii_split_whitespace(utf8(pc.fill_null(column.cast(pa.binary()), b"")))
+        coded = split.flatten().dictionary_encode()
+        ids, ends = self._ids(coded.dictionary)
+        ids, ends = gather(ids, np.diff(ends), coded.indices.to_numpy())
+        return cut(ids, ends[split.offsets.to_numpy()])
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[int, int], Encoder] = {}
 
 
-def encoder(source: Broadcast) -> Encoder:
-    """The worker's encoder of a broadcast tokenizer file; its caches outlive a task."""
+def encoder(source: Broadcast, entries: int = CACHE_ENTRIES) -> Encoder:
+    """The worker's encoder of a broadcast tokenizer file; its cache outlives a task."""
     text = source.value
-    key = hash(text)
+    key = hash(text), entries
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(text)
+        _ENCODERS[key] = Encoder(text, entries)
     return _ENCODERS[key]
 
 
