@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tsreg.operators.timeline import Timeline, add_lags
 from tsreg.sources.bars import bars_from_trades
-from tsreg.sources.stage import stage
+from tsreg.sources.stage import stage_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,15 +55,9 @@ def bars(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> Data
     )
 
 
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def bar_table(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
     """:func:`bars` written once per application, for queries that read them more than once."""
-    key = (spark.sparkContext.applicationId, sf_dir, symbol)
-    if key not in _STAGED:
-        _STAGED[key] = stage(bars(spark, sf_dir, symbol), f"bars-{symbol}")
-    return _STAGED[key]
+    return stage_once(bars(spark, sf_dir, symbol), f"bars-{symbol}")
 
 
 def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

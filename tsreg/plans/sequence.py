@@ -28,7 +28,7 @@ from tsreg.functions.features import fit_scaler, inverse_scaled, scaled_columns
 from tsreg.functions.network import Adam, Sizes
 from tsreg.operators.ordering import hash_bucket, time_cut
 from tsreg.operators.timeline import DAILY, Timeline, sequence_samples
-from tsreg.sources.stage import stage
+from tsreg.sources.stage import staged
 
 # executors need no copy of this package: its functions travel with the tasks
 cloudpickle.register_pickle_by_value(network)
@@ -128,21 +128,21 @@ def fit(
     spark = samples.sparkSession
     keys = [*line.by, line.order]
     seen = samples.filter(~F.col("held_out")).select(*keys, "x", "y", "valid")
-    table = stage(seen.repartition(*keys), "sequence-samples")
     flat, rule, losses = sizes.initial(seed), Adam(sizes.count(), rate), []
-    for epoch in range(1, epochs + 1):
-        dealt = table.withColumn("batch", hash_bucket(keys, seed + epoch, batches))
-        train, valid = np.zeros(2), np.zeros(2)
-        for batch in range(batches):
-            wanted = ~F.col("valid") & (F.col("batch") == batch)
-            if batch == 0:
-                wanted = wanted | F.col("valid")
-            gradient, sums = _step(dealt.filter(wanted), sizes, flat)
-            train += sums[:2]
-            valid += sums[2:]
-            if sums[1]:
-                flat = rule.step(flat, gradient / sums[1])
-        losses.append((epoch, *(float(s / n) if n else None for s, n in (train, valid))))
+    with staged(seen.repartition(*keys), "sequence-samples") as table:
+        for epoch in range(1, epochs + 1):
+            dealt = table.withColumn("batch", hash_bucket(keys, seed + epoch, batches))
+            train, valid = np.zeros(2), np.zeros(2)
+            for batch in range(batches):
+                wanted = ~F.col("valid") & (F.col("batch") == batch)
+                if batch == 0:
+                    wanted = wanted | F.col("valid")
+                gradient, sums = _step(dealt.filter(wanted), sizes, flat)
+                train += sums[:2]
+                valid += sums[2:]
+                if sums[1]:
+                    flat = rule.step(flat, gradient / sums[1])
+            losses.append((epoch, *(float(s / n) if n else None for s, n in (train, valid))))
     return Fitted(
         Weights(sizes, flat),
         spark.createDataFrame(losses, "epoch int, train_loss double, valid_loss double"),
@@ -210,15 +210,15 @@ def fit_by_rounds(
     seen = samples.filter(~F.col("held_out"))
     shards = max(1, -(-seen.count() // shard_rows))
     dealt = seen.select(hash_bucket(keys, seed, shards).alias("shard"), *keys, "x", "y", "valid")
-    table = stage(dealt.repartitionByRange(shards, "shard"), "sequence-shards")
     zero = np.zeros(sizes.count())
     state = progress and _resumed(spark, progress)
     state = state or Progress(0, sizes.initial(seed), zero, zero, 0.0, [])
-    while state.epoch < epochs:
-        state = _round(table, sizes, state, min(per_round, epochs - state.epoch), rate, batch_rows, seed, keys)
-        if progress:
-            row = (state.epoch, state.flat.tolist(), state.mean.tolist(), state.square.tolist(), state.steps, state.losses)
-            spark.createDataFrame([row], PROGRESS).write.mode("append").parquet(progress)
+    with staged(dealt.repartitionByRange(shards, "shard"), "sequence-shards") as table:
+        while state.epoch < epochs:
+            state = _round(table, sizes, state, min(per_round, epochs - state.epoch), rate, batch_rows, seed, keys)
+            if progress:
+                row = (state.epoch, state.flat.tolist(), state.mean.tolist(), state.square.tolist(), state.steps, state.losses)
+                spark.createDataFrame([row], PROGRESS).write.mode("append").parquet(progress)
     losses = [x for x in state.losses if x[0] <= epochs]
     return Fitted(
         Weights(sizes, state.flat),

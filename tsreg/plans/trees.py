@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tsreg.operators.ordering import TIME_ORDER, fold_column
 from tsreg.plans import tune
-from tsreg.sources.stage import fresh_path, stage
+from tsreg.sources.stage import discard, fresh_path, stage
 
 # executors need no copy of this package: its functions travel with the tasks
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -50,6 +50,7 @@ def flatten(model: DecisionTreeRegressionModel, spark) -> Flat:
         split["featureIndex"].alias("feature"), split["numCategories"].alias("categories"),
         F.get(split["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
     ).orderBy("id").toArrow()
+    discard(spark, path)
     columns = {name: rows.column(name).to_numpy() for name in rows.column_names}
     if (columns["categories"][columns["leftChild"] >= 0] >= 0).any():
         raise ValueError("splits on categories are not held")

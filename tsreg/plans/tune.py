@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from contextlib import nullcontext
 from itertools import product
 from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
@@ -23,7 +24,7 @@ from tsreg.operators.ordering import (
     fold_column,
     rolling_origin_folds,
 )
-from tsreg.sources.stage import stage
+from tsreg.sources.stage import staged
 
 # Parameter grids of the study.
 LINEAR_GRID = {"regParam": [0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5, 1.0]}
@@ -91,21 +92,22 @@ def grid_search(
 ) -> Tried:
     """Fit every combination on ``train`` and keep the best on ``valid`` (a tail of the training
     time, not the test part). Trials report the measures on both parts, each of its own model."""
-    seen, held = stage(train, "grid-train"), stage(valid, "grid-valid")
     models: list[Model | None] = [None] * len(grid)
 
-    def run(_: int) -> list[tuple]:
-        index, model = next(fits)
-        models[index] = model
-        rows = []
-        for split, part in (("train", seen), ("valid", held)):
-            found = measures(model.transform(part), label)
-            rows += [(index, named(grid[index]), split, m, found[m]) for m in MEASURES]
-        return rows
-
-    fits = estimator.fitMultiple(seen, grid)
-    with ThreadPool(min(PARALLELISM, len(grid))) as pool:
-        rows = [r for part in pool.map(run, range(len(grid)), chunksize=1) for r in part]
+    with staged(train, "grid-train") as seen, staged(valid, "grid-valid") as held:
+
+        def run(_: int) -> list[tuple]:
+            index, model = next(fits)
+            models[index] = model
+            rows = []
+            for split, part in (("train", seen), ("valid", held)):
+                found = measures(model.transform(part), label)
+                rows += [(index, named(grid[index]), split, m, found[m]) for m in MEASURES]
+            return rows
+
+        fits = estimator.fitMultiple(seen, grid)
+        with ThreadPool(min(PARALLELISM, len(grid))) as pool:
+            rows = [r for part in pool.map(run, range(len(grid)), chunksize=1) for r in part]
     scores = {r[0]: r[4] for r in rows if r[2] == "valid" and r[3] == metric}
     best = better(metric)(sorted(scores), key=scores.__getitem__)
     trials = train.sparkSession.createDataFrame(
@@ -153,21 +155,21 @@ def cross_validate(
     label: str = "label",
     keys: Sequence[str] = TIME_ORDER,
     seed: int = SEED,
-    staged: bool = False,
+    written: bool = False,
 ) -> Tried:
     """k-fold choice with folds drawn from the hash of the key: repeatable under any partitioning.
 
     Gives what ``CrossValidator`` gives on the same fold column, whose check of that column is a
-    Python function called on every row of every fold; here folds are plain filters. ``staged``:
+    Python function called on every row of every fold; here folds are plain filters. ``written``:
     ``train`` reads a table that is written already.
     """
     if folds < 2:
         raise ValueError("cross-validation needs 2 or more folds")
     folded = fold_column(train, keys, folds, seed)
-    table = folded if staged else stage(folded, "cv-train")
     in_fold = F.col("fold")
     splits = [(i, in_fold != i, in_fold == i) for i in range(folds)]
-    return _validated(table, splits, estimator, grid, metric, label)
+    with nullcontext(folded) if written else staged(folded, "cv-train") as table:
+        return _validated(table, splits, estimator, grid, metric, label)
 
 
 def mean_metrics(tried: Tried | DataFrame, metric: str = "rmse") -> DataFrame:
@@ -195,20 +197,20 @@ def rolling_origin(
     metric: str = "rmse",
     label: str = "label",
     first: str = "date",
-    staged: bool = False,
+    written: bool = False,
 ) -> Tried:
     """Time-ordered validation: fold i trains on all days up to its cut and scores the block after
-    it, so no model sees rows later than those it is judged on. ``staged``: ``train`` reads a table
+    it, so no model sees rows later than those it is judged on. ``written``: ``train`` reads a table
     that is written already."""
-    table = train if staged else stage(train, "origin-train")
     day = F.to_date(first)
-    splits = [
-        (int(c["fold"]), day <= c["train_end"], (day > c["train_end"]) & (day <= c["valid_end"]))
-        for c in rolling_origin_folds(table, folds, first).orderBy("fold").collect()
-    ]
-    if len(splits) < folds:
-        raise ValueError(f"the days allow {len(splits)} of {folds} folds")
-    return _validated(table, splits, estimator, grid, metric, label)
+    with nullcontext(train) if written else staged(train, "origin-train") as table:
+        splits = [
+            (int(c["fold"]), day <= c["train_end"], (day > c["train_end"]) & (day <= c["valid_end"]))
+            for c in rolling_origin_folds(table, folds, first).orderBy("fold").collect()
+        ]
+        if len(splits) < folds:
+            raise ValueError(f"the days allow {len(splits)} of {folds} folds")
+        return _validated(table, splits, estimator, grid, metric, label)
 
 
 class Trained(NamedTuple):
@@ -236,18 +238,18 @@ def train_and_evaluate(
     The choice is by rolling origin along the column ``time``; with None it is by random folds of
     ``keys``. Pass another ``split`` too (such as a hash split by key) for tables without time.
     """
-    table = stage(dedup_rows(df), "evaluate")
-    train, test = split(table)
-    pipeline = build_pipeline(estimator, target, num, cat)
-    maps = param_maps(pipeline.getStages()[-1], grid)
-    if time is None:
-        fitted = cross_validate(train, pipeline, maps, folds, metric, target, keys, seed, staged=True)
-    else:
-        fitted = rolling_origin(train, pipeline, maps, folds, metric, target, time, staged=True)
-    rows = [
-        (name, m, value)
-        for name, part in (("train", train), ("test", test))
-        for m, value in measures(fitted.model.transform(part), target).items()
-    ]
+    with staged(dedup_rows(df), "evaluate") as table:
+        train, test = split(table)
+        pipeline = build_pipeline(estimator, target, num, cat)
+        maps = param_maps(pipeline.getStages()[-1], grid)
+        if time is None:
+            fitted = cross_validate(train, pipeline, maps, folds, metric, target, keys, seed, written=True)
+        else:
+            fitted = rolling_origin(train, pipeline, maps, folds, metric, target, time, written=True)
+        rows = [
+            (name, m, value)
+            for name, part in (("train", train), ("test", test))
+            for m, value in measures(fitted.model.transform(part), target).items()
+        ]
     metrics = df.sparkSession.createDataFrame(rows, "split string, metric string, value double")
     return Trained(fitted.model, metrics)
