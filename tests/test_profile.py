@@ -41,6 +41,17 @@ def test_bad_sketch_guesses_do_not_matter(table, monkeypatch):
     assert got == pytest.approx(want)
 
 
+def test_one_sketch_serves_moments_and_proposals(table, monkeypatch):
+    scans = []
+    for name in ("_first_scan", "_proposed", "_ranged"):
+        monkeypatch.setattr(pf, name, lambda *args, _name=name, _run=getattr(pf, name): scans.append(_name) or _run(*args))
+    monkeypatch.setattr(pf, "EXACT_ROWS", 600)
+    got = {r["column"]: r for r in pf.summary(table, ["a", "hot"]).collect()}
+    want = table.agg(*[F.percentile(c, list(pf.QUARTILES)).alias(c) for c in ("a", "hot")]).first()
+    assert [[got[c][n] for n in pf.QUARTILE_NAMES] for c in ("a", "hot")] == [pytest.approx(list(q)) for q in want]
+    assert scans == ["_first_scan", "_ranged", "_ranged"]
+
+
 def test_summary_matches_spark(table):
     got = {r["column"]: r for r in pf.summary(table).collect()}
     want = {r["summary"]: r for r in table.describe("a", "hot", "k").collect()}

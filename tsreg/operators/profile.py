@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,9 +68,8 @@ def _named(columns: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("no") + 1)
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column, n, mean, stddev, min, max)`` with numbers as numbers, for all columns in one job."""
-    columns = list(columns or numeric_columns(df))
+def _moments(df: DataFrame, columns: Sequence[str], *more: Column) -> DataFrame:
+    """A row per column, by its number ``no``: size, moments and bounds, and ``more`` of its ``value``."""
     # a null per column, so that a column of an empty table still gets its row
     blank = df.sparkSession.range(len(columns)).select(
         F.col("id").cast("int").alias("no"), F.lit(None).cast("double").alias("value")
@@ -85,11 +84,17 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
             F.stddev_samp("value").alias("stddev"),
             F.min("value").alias("min"),
             F.max("value").alias("max"),
+            *more,
         )
-        .select(_named(columns).alias("column"), "n", "mean", "stddev", "min", "max")
     )
 
 
+def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(column, n, mean, stddev, min, max)`` with numbers as numbers, for all columns in one job."""
+    columns = list(columns or numeric_columns(df))
+    return _moments(df, columns).select(_named(columns).alias("column"), "n", "mean", "stddev", "min", "max")
+
+
 @dataclass
 class _Search:
     """Search for the ``rank``-th smallest of the ``rows`` values strictly between ``low`` and ``high``."""
@@ -113,19 +118,22 @@ class _Search:
     def range(self) -> tuple[int, float | None, float | None]:
         return self.no, self.low, self.high
 
-    def settle(self, points: Sequence[float], counted: Mapping[int, int]) -> None:
-        """Keep the piece that holds the rank. ``counted`` has the rows of piece 2i + 1 on point i
-        and of the even pieces in between. A value that many rows share is a piece of its own."""
+    def settle(self, points: Sequence[float], counted: Mapping[int, Row]) -> None:
+        """Keep the piece that holds the rank. ``counted`` has the rows and the least value of piece
+        2i + 1 on point i and of the even pieces in between, if they have rows. A value that many rows
+        share is a piece of its own."""
         ends = [self.low, *points, self.high]
-        for piece in range(2 * len(points) + 1):
-            rows = counted.get(piece, 0)
+        pieces = sorted(counted)
+        for at, piece in enumerate(pieces):
+            rows = counted[piece]["rows"]
             if self.rank <= rows:
                 break
             self.rank -= rows
         self.rows = rows
         if piece % 2:
             self.value = points[piece // 2]
-            self.following = self.value if self.rank < rows else None
+            after = counted[pieces[at + 1]]["least"] if at + 1 < len(pieces) else self.high
+            self.following = self.value if self.rank < rows else after
         else:
             self.low, self.high = ends[piece // 2], ends[piece // 2 + 1]
 
@@ -146,13 +154,15 @@ def _by_range(searches: Sequence[_Search]) -> list[tuple[tuple, list[_Search]]]:
     return list(grouped.items())
 
 
-def _ranged(numbers: DataFrame, ranges: Sequence[tuple], payload) -> DataFrame:
-    """One row ``(at, …payload)`` per row and range that holds its value."""
+def _ranged(
+    numbers: DataFrame, ranges: Sequence[tuple], payload: Callable[..., list[Column]] = lambda at, value: []
+) -> DataFrame:
+    """One row ``(at, value, …payload)`` per row and range that holds its value."""
     entries, anywhere = [], F.lit(False)
     for at, (no, low, high) in enumerate(ranges):
         value = F.col(numbers.columns[no])
         inside = _inside(value, low, high)
-        entries.append(F.when(inside, F.struct(F.lit(at).alias("at"), payload(at, value))))
+        entries.append(F.when(inside, F.struct(F.lit(at).alias("at"), value.alias("value"), *payload(at, value))))
         anywhere = anywhere | inside
     # late ranges are narrow: most rows leave before they are unrolled
     rows = numbers.filter(anywhere).select(F.inline(F.array(*entries)))
@@ -175,26 +185,35 @@ def _piece(value: Column, points: Sequence[float]) -> Column:
     return branch(0, len(points))
 
 
-def _narrow(numbers: DataFrame, searches: Sequence[_Search]) -> None:
-    """Two jobs: a sketch proposes two values around each wanted rank, counts decide where it is."""
-    groups = _by_range(searches)
+def _spots(middle: float) -> list[float]:
+    return [max(0.0, middle - SLACK), min(1.0, middle + SLACK)]
+
+
+def _proposed(numbers: DataFrame, groups: Sequence[tuple[tuple, list[_Search]]]) -> list[list[float]]:
+    """One scan: a sketch proposes two values around each wanted rank of a range."""
     sketches = []
     for at, ((no, low, high), members) in enumerate(groups):
         value = F.col(numbers.columns[no])
-        middles = [(s.rank - 0.5) / s.rows for s in members]
-        spots = [x for m in middles for x in (max(0.0, m - SLACK), min(1.0, m + SLACK))]
+        spots = [x for s in members for x in _spots((s.rank - 0.5) / s.rows)]
         inside = F.when(_inside(value, low, high), value)
         sketches.append(F.percentile_approx(inside, spots, SKETCH_ACCURACY).alias(f"g{at}"))
-    row = numbers.agg(*sketches).first()
-    points = [sorted(set(row[f"g{at}"])) for at in range(len(groups))]
-    counted: dict[int, dict[int, int]] = {at: {} for at in range(len(groups))}
+    return list(numbers.agg(*sketches).first())
+
+
+def _narrow(numbers: DataFrame, searches: Sequence[_Search], proposed: Mapping[int, list[float]] | None = None) -> None:
+    """One scan: counts around the proposed values decide where the wanted ranks are. The values of
+    whole columns may be given; else a scan before this one finds them."""
+    groups = _by_range(searches)
+    found = [proposed[no] for (no, _, _), _ in groups] if proposed else _proposed(numbers, groups)
+    points = [sorted(set(values)) for values in found]
+    counted: dict[int, dict[int, Row]] = {at: {} for at in range(len(groups))}
     pieces = _ranged(
         numbers,
         [key for key, _ in groups],
-        lambda at, value: _piece(value, points[at]).alias("piece"),
+        lambda at, value: [_piece(value, points[at]).alias("piece")],
     )
-    for r in pieces.groupBy("at", "piece").count().collect():
-        counted[r["at"]][r["piece"]] = r["count"]
+    for r in pieces.groupBy("at", "piece").agg(F.count("*").alias("rows"), F.min("value").alias("least")).collect():
+        counted[r["at"]][r["piece"]] = r
     for at, (_, members) in enumerate(groups):
         for s in members:
             s.settle(points[at], counted[at])
@@ -209,7 +228,7 @@ def _look_up(numbers: DataFrame, searches: Sequence[_Search]) -> None:
     ranks = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(w, ("at", "j", "rank"))]) for w in wanted])
     ordered = Window.partitionBy("at").orderBy("value")
     found = (
-        _ranged(numbers, [key for key, _ in groups], lambda at, value: value.alias("value"))
+        _ranged(numbers, [key for key, _ in groups])
         .groupBy("at", "value")
         .agg(F.count("*").alias("rows"))
         .select(
@@ -235,21 +254,36 @@ def _look_up(numbers: DataFrame, searches: Sequence[_Search]) -> None:
     for row in found:
         s = groups[row["at"]][1][row["w"]["j"]]
         s.value = row["value"]
-        s.following = row["value"] if s.rank < row["upto"] else row["next"]
+        after = s.high if row["next"] is None else row["next"]
+        s.following = row["value"] if s.rank < row["upto"] else after
 
 
-def _successors(numbers: DataFrame, searches: Sequence[_Search]) -> None:
-    """Next larger value of the whole column where it lies outside the searched range."""
-    row = numbers.agg(
-        *[
-            F.min(F.when(F.col(numbers.columns[s.no]) > s.value, F.col(numbers.columns[s.no]))).alias(
-                f"s{i}"
-            )
-            for i, s in enumerate(searches)
-        ]
-    ).first()
-    for i, s in enumerate(searches):
-        s.following = row[f"s{i}"]
+def _first_scan(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> list[Row]:
+    """:func:`_moments` of each column, with ``spots``, the sketch's values around each share."""
+    spots = [x for share in shares for x in _spots(share)]
+    sketch = F.percentile_approx("value", spots, SKETCH_ACCURACY).alias("spots")
+    return _moments(df, columns, sketch).orderBy("no").collect()
+
+
+def _exact(
+    df: DataFrame, columns: Sequence[str], shares: Sequence[float], scanned: Sequence[Row], exact_rows: int
+) -> dict[tuple[int, float], float]:
+    """Percentiles by column number and share, after :func:`_first_scan`; none of an empty column."""
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    searches = [
+        _Search.start(no, float(share), row["n"]) for no, row in enumerate(scanned) for share in shares if row["n"]
+    ]
+    proposed = {no: row["spots"] for no, row in enumerate(scanned)}
+    wide = [s for s in searches if s.rows > exact_rows]
+    while wide:
+        _narrow(numbers, wide, proposed)
+        wide, proposed = [s for s in wide if s.value is None and s.rows > exact_rows], None
+    narrow = [s for s in searches if s.value is None]
+    if narrow:
+        _look_up(numbers, narrow)
+    return {
+        (s.no, s.share): s.value + (s.weight * (s.following - s.value) if s.weight else 0.0) for s in searches
+    }
 
 
 def percentiles(
@@ -264,58 +298,33 @@ def percentiles(
     proposes two values around each percentile, one job counts the rows before, on and between
     them, and the search goes on in the piece that holds the wanted rank. A round divides the rows
     by some thousands. Once a piece has ``exact_rows`` rows or fewer it is grouped by value and
-    looked up by rank. Every job serves all columns and shares; the driver sees counts only.
+    looked up by rank: three scans up to some hundred million rows. Every job serves all columns and
+    shares; the driver sees counts only.
     """
     columns = list(columns or numeric_columns(df))
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    sizes = numbers.agg(*[F.count(c).alias(c) for c in columns]).first()
-    searches = [
-        _Search.start(no, float(share), sizes[no])
-        for no in range(len(columns))
-        for share in shares
-        if sizes[no]
-    ]
-    wide = [s for s in searches if s.rows > exact_rows]
-    while wide:
-        _narrow(numbers, wide)
-        wide = [s for s in wide if s.value is None and s.rows > exact_rows]
-    narrow = [s for s in searches if s.value is None]
-    if narrow:
-        _look_up(numbers, narrow)
-    open_ended = [s for s in searches if s.weight > 0 and s.following is None]
-    if open_ended:
-        _successors(numbers, open_ended)
-    rows = [
-        (columns[s.no], s.share, s.value + (s.weight * (s.following - s.value) if s.weight else 0.0))
-        for s in searches
-    ]
+    found = _exact(df, columns, shares, _first_scan(df, columns, shares), exact_rows)
+    rows = [(columns[no], share, value) for (no, share), value in found.items()]
     return df.sparkSession.createDataFrame(rows, "column string, share double, value double")
 
 
 def summary(
     df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False
 ) -> DataFrame:
-    """:func:`describe` with ``p25``, ``p50`` and ``p75``: exact, or from one sketch pass."""
+    """:func:`describe` with ``p25``, ``p50`` and ``p75``: from one sketch scan, or exact with two more."""
     columns = list(columns or numeric_columns(df))
+    measures = ("n", "mean", "stddev", "min", "max")
     if approx:
-        sketches = [
-            F.percentile_approx(F.col(c).cast("double"), list(QUARTILES)).alias(f"q_{i}")
-            for i, c in enumerate(columns)
-        ]
-        found = _long(df.agg(*sketches), columns, ["q"])
-        quartiles = found.select("column", *[F.col("q")[i].alias(n) for i, n in enumerate(QUARTILE_NAMES)])
-    else:
-        quartiles = (
-            percentiles(df, columns)
-            .groupBy("column")
-            .agg(
-                *[
-                    F.max(F.when(F.col("share") == share, F.col("value"))).alias(name)
-                    for share, name in zip(QUARTILES, QUARTILE_NAMES)
-                ]
-            )
-        )
-    return describe(df, columns).join(quartiles, "column", "left")
+        sketch = F.percentile_approx("value", list(QUARTILES)).alias("q")
+        found = _moments(df, columns, sketch).select(_named(columns).alias("column"), *measures, "q")
+        return found.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(QUARTILE_NAMES)]).drop("q")
+    scanned = _first_scan(df, columns, QUARTILES)
+    found = _exact(df, columns, QUARTILES, scanned, EXACT_ROWS)
+    rows = [
+        (columns[no], *[row[m] for m in measures], *[found.get((no, share)) for share in QUARTILES])
+        for no, row in enumerate(scanned)
+    ]
+    numbers = ", ".join(f"{name} double" for name in (*measures[1:], *QUARTILE_NAMES))
+    return df.sparkSession.createDataFrame(rows, f"column string, n bigint, {numbers}")
 
 
 def target_correlations(
