@@ -46,6 +46,7 @@ def test_one_sketch_serves_moments_and_proposals(table, monkeypatch):
     for name in ("_first_scan", "_proposed", "_ranged"):
         monkeypatch.setattr(pf, name, lambda *args, _name=name, _run=getattr(pf, name): scans.append(_name) or _run(*args))
     monkeypatch.setattr(pf, "EXACT_ROWS", 600)
+    monkeypatch.setattr(pf, "SLACK", 0.01)  # guesses off the ranks, so that their piece is looked up
     got = {r["column"]: r for r in pf.summary(table, ["a", "hot"]).collect()}
     want = table.agg(*[F.percentile(c, list(pf.QUARTILES)).alias(c) for c in ("a", "hot")]).first()
     assert [[got[c][n] for n in pf.QUARTILE_NAMES] for c in ("a", "hot")] == [pytest.approx(list(q)) for q in want]
