@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import no_documents, odd_documents, plain, prose
@@ -53,6 +54,16 @@ def test_encoder_is_exact(library):
             assert counter.count([t.encode() for t in part]) == [len(ids_of(library, t)) for t in part]
 
 
+def test_encoder_takes_nulls_and_broken_text(library):
+    with open(tokens.tokenizer_file(), encoding="utf-8") as file:
+        encoder = tokens.Encoder(file.read())
+    raw = [None, b"", b" \n ", b"caf\xc3 caf\xc3\xa9 \xff\xfe", b"x" * 70 + b" the the."]
+    got = encoder.encode(pa.array(raw, pa.binary()))
+    want = [ids_of(library, (t or b"").decode("utf-8", "replace")) for t in raw]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == want
+    assert encoder.encode(pa.array([], pa.string())) == []
+
+
 def test_token_counts(spark, library):
     docs = odd_documents(spark)
     want = [
