@@ -34,6 +34,27 @@ def test_filters_round_trip_and_merge():
     assert a.tolist() == [1, 3, 9] and n.tolist() == [1, 5, 2]
 
 
+@pytest.mark.parametrize("most", [2, 300, 1 << 40])
+def test_filters_are_small_and_merge_in_any_number(most):
+    """A slot takes its remainder's bytes, two bits and its share of the table, larger counts excepted."""
+    rng = np.random.default_rng(2)
+    prints = np.unique(rng.integers(0, 1 << 58, 1 << 14, dtype=np.uint64))  # block 0 of 64
+    total: dict[int, int] = {}
+    rows = []
+    for _ in range(9):
+        mine = prints[rng.random(len(prints)) < 0.5]
+        counts = np.where(rng.random(len(mine)) < 0.1, rng.integers(1, most, len(mine)), 1)
+        row = exact_dedup.build_filter(0, 6, mine, counts)
+        rows.append(dict(zip([f.name for f in exact_dedup.FILTERS], row)))
+        held = sum(len(v) for v in row[2:6])
+        assert held <= 6.5 * len(mine) and len(row[6]) <= 8 * int((counts > 1).sum())
+        for value, n in zip(mine.tolist(), counts.tolist()):
+            total[value] = total.get(value, 0) + n
+    got, n = exact_dedup.merge_filters(exact_dedup.read_filter(6, row) for row in rows)
+    assert dict(zip(got.tolist(), n.tolist())) == total
+    assert (got[1:] > got[:-1]).all()
+
+
 def test_exact_groups(spark):
     docs = odd_documents(spark)
     source = [(r.doc_id, normal(r.text)) for r in docs.collect()]

@@ -3,9 +3,11 @@
 Each text gets a 64-bit fingerprint. Every partition builds counting quotient filters over its
 fingerprints, one per block of the fingerprint space: the top bits of a fingerprint name the block,
 the next bits are the quotient, kept as an occupied bit and a run of slots, and only the rest, the
-remainder, is stored, sorted within its run, with a counter. Filters of a block merge without loss
-by their sorted remainders. Only rows whose fingerprint counts more than one go on to the
-comparison of bytes, where Spark groups by the whole normalised text.
+remainder, is stored, in as few bytes as hold it, sorted within its run. A slot that counts one takes a
+bit for that; larger counts follow in as few bytes as hold the largest. Filters of a block merge
+without loss by their sorted remainders, one after the other, and equal ones become one slot at once.
+Only rows whose fingerprint counts more than one go on to the comparison of bytes, where Spark groups
+by the whole normalised text.
 
 Nothing depends on how the copies are spread: a fingerprint that a third of all rows share is one
 counter per partition, and equal texts are combined before they are shuffled.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +39,31 @@ FILTERS = pa.schema(
         ("occupied", pa.binary()),
         ("run_ends", pa.binary()),
         ("remainders", pa.binary()),
+        ("many", pa.binary()),
         ("counts", pa.binary()),
     ]
 )
 
 
+def narrow(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each of ``values``."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def widen(data: bytes, n: int) -> np.ndarray:
+    """``n`` numbers out of :func:`narrow`'s bytes."""
+    wide = np.zeros((n, 8), np.uint8)
+    if n:
+        low = np.frombuffer(data, np.uint8).reshape(n, -1)
+        wide[:, : low.shape[1]] = low
+    return wide.reshape(-1).view("<u8")
+
+
+def width_of(largest: int) -> int:
+    """Bytes that hold ``largest``, at least one."""
+    return max(1, (int(largest).bit_length() + 7) // 8)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """``doc_id``, fingerprint and SHA-256 of each normalised text (A-Z lower-cased, null as empty)."""
 
@@ -71,28 +93,33 @@ def build_filter(block: int, block_bits: int, prints: np.ndarray, counts: np.nda
     occupied[quotients] = 1
     run_ends = np.append(quotients[1:] != quotients[:-1], True).astype(np.uint8)
     remainders = inside & ((np.uint64(1) << remainder_bits) - np.uint64(1))
+    many = counts > 1
     return (
         block,
         quotient_bits,
         np.packbits(occupied).tobytes(),
         np.packbits(run_ends).tobytes(),
-        remainders.astype("<u8").tobytes(),
-        counts.astype("<i8").tobytes(),
+        narrow(remainders, width_of((1 << int(remainder_bits)) - 1)),
+        np.packbits(many).tobytes(),
+        narrow(counts[many], width_of(counts.max())),
     )
 
 
 def read_filter(block_bits: int, row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Sorted fingerprints and counts of a filter: the inverse of :func:`build_filter`."""
     rest, quotient_bits = 64 - block_bits, row["quotient_bits"]
-    remainders = np.frombuffer(row["remainders"], "<u8")
-    n = len(remainders)
+    n = len(row["remainders"]) // width_of((1 << (rest - quotient_bits)) - 1)
+    remainders = widen(row["remainders"], n)
     occupied = np.unpackbits(np.frombuffer(row["occupied"], np.uint8))[: 1 << quotient_bits]
     ends = np.unpackbits(np.frombuffer(row["run_ends"], np.uint8))[:n]
     run = np.concatenate(([0], np.cumsum(ends, dtype=np.int64)[:-1]))  # number of the run that a slot is in
     quotients = np.flatnonzero(occupied)[run].astype(np.uint64)
     high = np.uint64((row["block"] << rest) & ((1 << 64) - 1)) if block_bits else np.uint64(0)
     prints = high | (quotients << np.uint64(rest - quotient_bits)) | remainders
-    return prints, np.frombuffer(row["counts"], "<i8")
+    many = np.unpackbits(np.frombuffer(row["many"], np.uint8))[:n].astype(bool)
+    counts = np.ones(n, np.int64)
+    counts[many] = widen(row["counts"], int(many.sum())).astype(np.int64)
+    return prints, counts
 
 
 def merged(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +130,24 @@ def merged(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return prints[first], np.add.reduceat(counts, first)
 
 
+def merge_filters(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One run out of filters' sorted runs; held are runs of at least doubling lengths, so each slot moves
+    a logarithmic number of times."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def join() -> None:
+        right, left = held.pop(), held.pop()
+        held.append(merged(*map(np.concatenate, zip(left, right))))
+
+    for part in parts:
+        held.append(part)
+        while len(held) > 1 and len(held[-2][0]) < 2 * len(held[-1][0]):
+            join()
+    while len(held) > 1:
+        join()
+    return held[0]
+
+
 def partition_filters(fingerprints: DataFrame, block_bits: int) -> DataFrame:
     """Counting quotient filters of each partition, a row per block that has fingerprints."""
 
@@ -132,7 +177,8 @@ def partition_filters(fingerprints: DataFrame, block_bits: int) -> DataFrame:
     return map_arrow(
         fingerprints.select("fingerprint"),
         run,
-        "block bigint, quotient_bits int, occupied binary, run_ends binary, remainders binary, counts binary",
+        "block bigint, quotient_bits int, occupied binary, run_ends binary, remainders binary, many binary, "
+        "counts binary",
     )
 
 
@@ -145,8 +191,8 @@ def repeated_fingerprints(fingerprints: DataFrame, n_rows: int) -> DataFrame:
     block_bits = max(MIN_BLOCK_BITS, math.ceil(math.log2(max(1, n_rows) / BLOCK_ROWS)))
 
     def merge(filters: pa.Table) -> pa.Table:
-        parts = [read_filter(block_bits, row) for row in filters.to_pylist()]
-        prints, counts = merged(*map(np.concatenate, zip(*parts)))
+        rows = (row for batch in filters.to_batches(64) for row in batch.to_pylist())
+        prints, counts = merge_filters(read_filter(block_bits, row) for row in rows)
         often = counts > 1
         return pa.table(
             {"fingerprint": prints[often].view(np.int64), "copies": counts[often]}
