@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -38,18 +39,48 @@ def ship(spark: SparkSession) -> None:
     context._tsreg_shipped = True
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What ``owner`` keeps in this worker from task to task; what others kept is dropped."""
+    for other in [name for name in _KEPT if name != owner]:
+        del _KEPT[other]
+    return _KEPT.setdefault(owner, {})
+
+
+def give_back() -> None:
+    """Hand free memory back to the system: workers wait for the next stage beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(
-    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame,
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str,
+    owner: str = "",
 ) -> DataFrame:
     """``mapInArrow`` with batches bounded by bytes, so that long texts don't pile up in a worker.
 
-    Sets the two batch limits of the session, which Spark reads when it plans the job.
+    Sets the two batch limits of the session, which Spark reads when it plans the job. Free memory is
+    given back after each batch. ``owner`` names the :func:`worker_cache` that stays in the workers.
     """
     ship(df.sparkSession)
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(owner)
+        for batch in run(batches):
+            yield batch
+            give_back()
+        give_back()
+
+    return df.mapInArrow(trimmed, schema)
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -19,11 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tsreg.llm.common import map_arrow
-from tsreg.llm.tokens import broadcast_tokenizer, encoder
+from tsreg.llm.tokens import OWNER, broadcast_tokenizer, encoder
 
 WINDOW = 4096
 END_ID = 2
-CACHE_ENTRIES = 500_000
 
 # a piece: document, ids of the document before it, ids of the piece as bytes, ids of the document
 Piece = tuple[object, int, bytes, int]
@@ -116,7 +115,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, tokens = Packer(window), encoder(source, CACHE_ENTRIES)
+        packer, tokens = Packer(window), encoder(source)
         sequence = TaskContext.get().partitionId() << 33
 
         def rows_of(windows: list[list[Piece]], id_type: pa.DataType) -> pa.RecordBatch:
@@ -147,4 +146,4 @@ def pack(
         if left:
             yield rows_of(left, id_type)
 
-    return map_arrow(docs.select("doc_id", "text"), run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema, OWNER)

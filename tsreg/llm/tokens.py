@@ -18,11 +18,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsreg.llm.common import map_arrow, texts_of
+from tsreg.llm.common import map_arrow, texts_of, worker_cache
 
 CACHE_ENTRIES = 250_000
 LONGEST_CACHED = 64
 JOINED = 200
+AT_ONCE = 4_000  # chunks whose encodings are held at a time
+OWNER = "tokens"
 FREQUENT = 20_000
 SKETCH_ITEMS = 1 << 16
 SKETCH_GROUPS = 32
@@ -57,7 +59,9 @@ def gather(pool: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np
     """The runs of ``pool`` with these numbers, one after the other, and their bounds from 0 on."""
     starts, lengths = np.cumsum(sizes) - sizes, sizes[numbers]
     ends = np.append(0, np.cumsum(lengths))
-    return pool[np.arange(ends[-1]) + np.repeat(starts[numbers] - ends[:-1], lengths)], ends
+    places = np.repeat(starts[numbers] - ends[:-1], lengths)
+    places += np.arange(ends[-1])
+    return pool[places], ends
 
 
 def cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -80,10 +84,17 @@ class Encoder:
         self.pretokens: dict[str, bytes] = {}
 
     def _singly(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        raw: list[bytes] = []
+        for start in range(0, len(texts), AT_ONCE):
+            found = self.tokenizer.encode_batch_fast(texts[start : start + AT_ONCE], add_special_tokens=False)
+            raw += [np.array(e.ids, "<u4").tobytes() for e in found]
+        return raw
 
     def _encode_pretokens(self, new: list[str]) -> None:
+        for start in range(0, len(new), AT_ONCE):
+            self._encode_joined(new[start : start + AT_ONCE])
+
+    def _encode_joined(self, new: list[str]) -> None:
         groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
         joined = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
         for group, encoding in zip(groups, joined):
@@ -134,17 +145,14 @@ class Encoder:
         return cut(ids, ends[split.offsets.to_numpy()])
 
 
-_ENCODERS: dict[tuple[int, int], Encoder] = {}
-
-
 def encoder(source: Broadcast, entries: int = CACHE_ENTRIES) -> Encoder:
     """The worker's encoder of a broadcast tokenizer file; its cache outlives a task."""
-    text = source.value
+    text, kept = source.value, worker_cache(OWNER)
     key = hash(text), entries
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(text, entries)
-    return _ENCODERS[key]
+    if key not in kept:
+        kept.clear()
+        kept[key] = Encoder(text, entries)
+    return kept[key]
 
 
 def broadcast_tokenizer(df: DataFrame, path: str | None = None) -> Broadcast:
@@ -238,4 +246,5 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
         docs.select("doc_id", "text"),
         run,
         f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean",
+        OWNER,
     )
