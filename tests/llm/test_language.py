@@ -141,3 +141,53 @@ def test_odd_rows(spark):
     assert language.languages(no_documents(spark)).collect() == []
     unknown = spark.createDataFrame([(1, "some text", None)], "doc_id bigint, text string, lang string")
     assert [r["lang_pred"] for r in language.languages(unknown).collect()] == ["und"]
+
+
+def _made_up(spark, languages):
+    """Documents in made-up languages, each with an alphabet of its own order of use."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(languages):
+        words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(5)) for _ in range(12)]
+        rows += [(k + 1000 * i, " ".join(rng.choices(words, k=40 if k else 80)), f"l{k:03d}") for i in range(10)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+
+
+def test_every_language_is_learned(spark):
+    """No number of languages is too many."""
+    docs = _made_up(spark, 140)
+    found = {r["doc_id"]: r["lang_pred"] for r in language.languages(docs).collect()}
+    assert all(found[k + 1000 * i] == f"l{k:03d}" for k in range(140) for i in range(10))
+
+
+def test_every_gram_counts(spark):
+    """A model that doesn't fit the workers gives the entropies of all n-grams, wherever they are held."""
+    docs = odd_documents(spark).select("doc_id", "text", "lang").unionByName(_made_up(spark, 12))
+    docs = docs.unionByName(spark.createDataFrame([(9000, "日本語 \U0001f600\U00010400 über", "ja")], docs.schema))
+    whole = language.train(docs)
+    assert isinstance(whole, language.Models)
+
+    def bits(models):
+        rows = language.with_entropies(docs, models).collect()
+        return sorted((str(r["doc_id"]), r["lang"] or "", [-1 if math.isnan(b) else b for b in r["bits"]]) for r in rows)
+
+    expected = bits(whole)
+    for frequent in (0, 3000, 1 << 22):
+        large = language.train(docs, rows=10, frequent=frequent)
+        assert isinstance(large, language.Weights) and large.languages == whole.languages
+        assert bool(large.frequent.others) == (frequent < 1 << 22)
+        for (d, lang, b), row in zip(expected, bits(large), strict=True):
+            assert (d, lang) == row[:2] and np.allclose(b, row[2], rtol=1e-5)
+
+
+def test_predictions_of_a_large_model(spark, monkeypatch):
+    """Whole query results don't depend on where the weights are held."""
+    docs = _made_up(spark, 6)
+    small = {r["doc_id"]: r for r in language.languages(docs).collect()}
+    large = language.train(docs, rows=10, frequent=500)
+    monkeypatch.setattr(language, "train", lambda docs: large)
+    found = {r["doc_id"]: r for r in language.languages(docs).collect()}
+    assert found.keys() == small.keys()
+    for d, r in found.items():
+        assert (r["lang_pred"], r["held_out"], r["rejected"]) == tuple(small[d][c] for c in ("lang_pred", "held_out", "rejected"))
+        assert math.isclose(r["score"], small[d]["score"], abs_tol=1e-4)
