@@ -65,12 +65,12 @@ samples AS (
 
 @query(f"WITH {SUPPLIER_BARS}, {_samples_sql()} SELECT * FROM samples")
 def sequence_samples(spark, sf_dir):
-    return _shown(timeline.sequence_samples(supplier_bars(spark, sf_dir), "close", LENGTH))
+    return _shown(timeline.sequence_samples(supplier_bars(spark, sf_dir, ["close"]), "close", LENGTH))
 
 
 @query(f"WITH {SUPPLIER_BARS}, {_samples_sql(where='AND i < n_samples')} SELECT * FROM samples")
 def sequence_samples_trimmed(spark, sf_dir):
-    rows = supplier_bars(spark, sf_dir)
+    rows = supplier_bars(spark, sf_dir, ["close"])
     return _shown(timeline.sequence_samples(rows, "close", LENGTH, drop_last=True))
 
 
@@ -78,7 +78,7 @@ def sequence_samples_trimmed(spark, sf_dir):
     f"""WITH {SUPPLIER_BARS}, {_samples_sql(1, 'AND i < n_samples AND i <= 14')} SELECT * FROM samples"""
 )
 def sequence_samples_capped(spark, sf_dir):
-    rows = supplier_bars(spark, sf_dir)
+    rows = supplier_bars(spark, sf_dir, ["close"])
     return _shown(timeline.sequence_samples(rows, "close", 1, drop_last=True, cap=14), 1)
 
 
@@ -94,7 +94,7 @@ SELECT s.symbol, s.date, s.i, s.x_size, round(s.x_first, 9) AS x_first, round(s.
 FROM samples s JOIN scaled c USING (symbol, date)"""
 )
 def sequence_samples_scaled(spark, sf_dir):
-    samples = sequence.prepare(supplier_bars(spark, sf_dir), 5).samples
+    samples = sequence.prepare(supplier_bars(spark, sf_dir, ["close"]), 5).samples
     rounded = {c: F.round(c, 9) for c in ("x_first", "x_middle", "x_last", "y")}
     return _shown(samples, 5, "held_out", unit=1_000_000).withColumns(rounded)
 
@@ -106,7 +106,7 @@ SELECT symbol, date, close, volume, {', '.join(
     for c in ('close', 'volume') for k in (1, 2, 5))} FROM bars"""
 )
 def lag_features(spark, sf_dir):
-    rows = supplier_bars(spark, sf_dir).select("symbol", "date", "close", "volume")
+    rows = supplier_bars(spark, sf_dir, ["close", "volume"])
     return timeline.add_lags(rows, ["close", "volume"], [1, 2, 5])
 
 
@@ -128,7 +128,7 @@ SELECT symbol, date, {', '.join(
 FROM ranked, edge"""
 )
 def minmax_scaled(spark, sf_dir):
-    rows = supplier_bars(spark, sf_dir)
+    rows = supplier_bars(spark, sf_dir, BAR_FEATURES)
     fitted = features.fit_scaler(ordering.chrono_split(rows).train, BAR_FEATURES, "minmax")
     names = [f"{c}_scaled" for c in BAR_FEATURES]
     found = features.scaled_columns(fitted, rows, names)
@@ -143,7 +143,7 @@ FROM ranked, edge WHERE rn > total * 80 // 100"""
 )
 def scaler_roundtrip(spark, sf_dir):
     """A saved and loaded scaler on the test part, there and back."""
-    train, test = ordering.chrono_split(supplier_bars(spark, sf_dir).select("symbol", "date", "close"))
+    train, test = ordering.chrono_split(supplier_bars(spark, sf_dir, ["close"]))
     path = fresh_path(spark, "scaler")
     serve.save_model(features.fit_scaler(train, ["close"], "minmax"), path)
     loaded = serve.load_model("pipeline", path)
@@ -156,7 +156,7 @@ def scaler_roundtrip(spark, sf_dir):
 
 @query(f"WITH {SUPPLIER_BARS} SELECT symbol, date, close, round(close, 6) AS restored FROM bars")
 def minmax_inverse(spark, sf_dir):
-    rows = supplier_bars(spark, sf_dir).select("symbol", "date", "close")
+    rows = supplier_bars(spark, sf_dir, ["close"])
     fitted = features.fit_scaler(ordering.chrono_split(rows).train, ["close"], "minmax")
     scaled = features.scaled_columns(fitted, rows, ["scaled_close"])
     restored = features.inverse_scaled(fitted, scaled, "scaled_close", "restored")
@@ -170,7 +170,7 @@ SELECT symbol, date, {', '.join(f'round({c} / {c}_sd, 6) AS {c}_scaled' for c in
 FROM bars, edge"""
 )
 def standard_scaled(spark, sf_dir):
-    rows = supplier_bars(spark, sf_dir)
+    rows = supplier_bars(spark, sf_dir, BAR_FEATURES)
     fitted = features.fit_scaler(rows, BAR_FEATURES, "standard")
     names = [f"{c}_scaled" for c in BAR_FEATURES]
     found = features.scaled_columns(fitted, rows, names)
@@ -287,7 +287,7 @@ FROM bars b JOIN (
   FROM predicted GROUP BY label) m ON b.close = m.label"""
 )
 def value_equijoin(spark, sf_dir):
-    history = supplier_bars(spark, sf_dir).select("symbol", "date", "close")
+    history = supplier_bars(spark, sf_dir, ["close"])
     predicted = predictions_by_lag(history, 1)
     return relations.match_on_value(history, predicted, "close", "label", "prediction")
 
@@ -326,7 +326,7 @@ SELECT symbol, date, r.close,
 FROM ranked r LEFT JOIN predicted p USING (symbol, date)"""
 )
 def prediction_overlay(spark, sf_dir):
-    history = supplier_bars(spark, sf_dir).select("symbol", "date", "close")
+    history = supplier_bars(spark, sf_dir, ["close"])
     cut = ordering.time_cut(history)
     predicted = predictions_by_lag(history, 1)
     return relations.overlay(
@@ -350,7 +350,7 @@ def _rounded(found):
 
 @query(f"WITH {SUPPLIER_BARS}, {lag_sql(1)} SELECT {METRICS_SQL} FROM predicted")
 def regression_metrics(spark, sf_dir):
-    predicted = predictions_by_lag(supplier_bars(spark, sf_dir), 1)
+    predicted = predictions_by_lag(supplier_bars(spark, sf_dir, ["close"]), 1)
     return _rounded(metrics.regression_metrics(predicted))
 
 
@@ -360,7 +360,7 @@ def regression_metrics(spark, sf_dir):
 SELECT * EXCLUDE (mse) FROM (SELECT symbol, {METRICS_SQL} FROM predicted GROUP BY symbol)"""
 )
 def regression_metrics_by_symbol(spark, sf_dir):
-    predicted = predictions_by_lag(supplier_bars(spark, sf_dir), 1)
+    predicted = predictions_by_lag(supplier_bars(spark, sf_dir, ["close"]), 1)
     return _rounded(metrics.regression_metrics(predicted, by=["symbol"])).drop("mse")
 
 
@@ -373,6 +373,6 @@ SELECT count(*) AS n,
 FROM moves WHERE previous IS NOT NULL"""
 )
 def directional_accuracy(spark, sf_dir):
-    predicted = predictions_by_lag(supplier_bars(spark, sf_dir), 2)
+    predicted = predictions_by_lag(supplier_bars(spark, sf_dir, ["close"]), 2)
     found = metrics.directional_accuracy(predicted)
     return found.withColumn("directional_accuracy", F.round("directional_accuracy", 8))

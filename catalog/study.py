@@ -259,7 +259,7 @@ def adjusted_bars(spark, sf_dir):
 
 @query(f"WITH {SUPPLIER_BARS}, {RANKED} SELECT symbol, date, close, rn AS rank FROM ranked")
 def global_rank(spark, sf_dir):
-    return ordering.global_rank(supplier_bars(spark, sf_dir).select("symbol", "date", "close"))
+    return ordering.global_rank(supplier_bars(spark, sf_dir, ["close"]))
 
 
 @query(
@@ -267,21 +267,21 @@ def global_rank(spark, sf_dir):
 SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn FROM bars"""
 )
 def series_rank(spark, sf_dir):
-    return timeline.series_rank(supplier_bars(spark, sf_dir).select("symbol", "date", "close"))
+    return timeline.series_rank(supplier_bars(spark, sf_dir, ["close"]))
 
 
 @query(
     f"WITH {SUPPLIER_BARS}, {RANKED} SELECT symbol, date, close FROM ranked WHERE rn <= total * 80 // 100"
 )
 def chrono_split_train(spark, sf_dir):
-    return ordering.chrono_split(supplier_bars(spark, sf_dir)).train.select("symbol", "date", "close")
+    return ordering.chrono_split(supplier_bars(spark, sf_dir, ["close"])).train.select("symbol", "date", "close")
 
 
 @query(
     f"WITH {SUPPLIER_BARS}, {RANKED} SELECT symbol, date, close FROM ranked WHERE rn > total * 80 // 100"
 )
 def chrono_split_test(spark, sf_dir):
-    return ordering.chrono_split(supplier_bars(spark, sf_dir)).test.select("symbol", "date", "close")
+    return ordering.chrono_split(supplier_bars(spark, sf_dir, ["close"])).test.select("symbol", "date", "close")
 
 
 @query(
@@ -290,7 +290,7 @@ SELECT count(*) AS n_total, count(*) * 80 // 100 AS n_train, count(*) - count(*)
 FROM bars"""
 )
 def chrono_split_sizes(spark, sf_dir):
-    rows = supplier_bars(spark, sf_dir)
+    rows = supplier_bars(spark, sf_dir, [])
     train, test = ordering.chrono_split(rows)
     tagged = train.select(F.lit(True).alias("in_train")).unionAll(test.select(F.lit(False)))
     return tagged.agg(
@@ -307,7 +307,7 @@ SELECT symbol, date, close, rn <= total * 80 // 100 AS in_train FROM (
          count(*) OVER (PARTITION BY symbol) AS total FROM bars)"""
 )
 def chrono_split_by_symbol(spark, sf_dir):
-    rows = supplier_bars(spark, sf_dir).select("symbol", "date", "close")
+    rows = supplier_bars(spark, sf_dir, ["close"])
     train, test = ordering.chrono_split_series(rows)
     return train.withColumn("in_train", F.lit(True)).unionAll(test.withColumn("in_train", F.lit(False)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,25 +44,35 @@ def sequence_number() -> Column:
 
 def bars(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
     """Daily bars out of ``lineitem``: one series per return flag, or per supplier."""
-    return bars_from_trades(
+    found = bars_from_trades(
         table(spark, sf_dir, "lineitem"),
-        symbol=F.col(symbol).cast("string"),
+        symbol=symbol,
         when="l_shipdate",
         price="l_extendedprice",
         size="l_quantity",
         sequence=sequence_number(),
         markdown="l_discount",
     )
+    # text only now: a number is the shorter key of the trades
+    return found.withColumn("symbol", F.col("symbol").cast("string"))
 
 
-def bar_table(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
-    """:func:`bars` written once per application, for queries that read them more than once."""
-    return stage_once(bars(spark, sf_dir, symbol), f"bars-{symbol}")
+def bar_table(
+    spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag", columns: Sequence[str] | None = None
+) -> DataFrame:
+    """:func:`bars` written once per application, for queries that read them more than once.
+
+    With ``columns``, only these beside the key: others are neither aggregated nor shuffled nor written.
+    """
+    rows = bars(spark, sf_dir, symbol)
+    if columns is not None:
+        rows = rows.select("symbol", "date", *columns)
+    return stage_once(rows, f"bars-{symbol}")
 
 
-def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many series: about as many bars as line items."""
-    return bar_table(spark, sf_dir, "l_suppkey")
+def supplier_bars(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Many series: about as many bars as line items, so name the ``columns`` that a query reads."""
+    return bar_table(spark, sf_dir, "l_suppkey", columns)
 
 
 def whole_hour(ts: str) -> Column:

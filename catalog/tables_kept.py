@@ -49,7 +49,7 @@ SELECT col AS "column", count(v) AS n, count(*) - count(v) AS nulls, round(avg(v
 )
 def profile_refresh(spark, sf_dir):
     """States of the days up to 1998, stored; then those of the days behind, added; all merged."""
-    rows, path = supplier_bars(spark, sf_dir), fresh_path(spark, "states")
+    rows, path = supplier_bars(spark, sf_dir, PROFILED), fresh_path(spark, "states")
     states.refresh(rows.filter("date < DATE '1999-01-01'"), path, PROFILED)
     found = states.merged(states.refresh(rows, path, PROFILED))
     return found.drop("quantiles").withColumns({c: F.round(c, 4) for c in ("mean", "stddev")})
@@ -74,4 +74,4 @@ SELECT symbol, date, close, part, place FROM ranked WHERE a = 1 OR b = 1 OR c =
 )
 def chart_rows(spark, sf_dir):
     """The chart of each supplier's closes: at most 60 rows, extremes kept."""
-    return chart.downsampled(supplier_bars(spark, sf_dir), "close", CHART_BUCKETS)
+    return chart.downsampled(supplier_bars(spark, sf_dir, ["close"]), "close", CHART_BUCKETS)

@@ -67,7 +67,7 @@ SELECT trial, CAST(reg AS DOUBLE) AS reg_param, round(m, 3) AS avg_metric, round
 )
 def cv_ridge_points(spark, sf_dir):
     """Parameters, means and choice of a grid over three folds of all suppliers' bars: one scan."""
-    train = serve.labelled(chrono_split(supplier_bars(spark, sf_dir)).train, FEATURES)
+    train = serve.labelled(chrono_split(supplier_bars(spark, sf_dir, [*FEATURES, "close"])).train, FEATURES)
     grid = tune.param_maps(tune.linear(), RIDGE)
     found = tune.mean_metrics(gram.cross_validate(train, len(FEATURES), grid, folds=3))
     return found.select(
@@ -97,7 +97,7 @@ UNION ALL SELECT 1, fold::INT, 'False', round(sqrt(avg(e0 * e0)), 3) FROM scored
 )
 def rolling_origin_sums(spark, sf_dir):
     """Every origin's fits from running sums over the blocks of days."""
-    rows = serve.labelled(supplier_bars(spark, sf_dir), ["open"])
+    rows = serve.labelled(supplier_bars(spark, sf_dir, ["open", "close"]), ["open"])
     grid = tune.param_maps(tune.linear(), {"fitIntercept": [True, False]})
     found = gram.rolling_origin(rows, 1, grid, folds=3)
     return found.select(
@@ -115,7 +115,7 @@ FROM ranked JOIN means USING (symbol), slope WHERE rn > total * 80 // 100"""
 )
 def pipeline_within_suppliers(spark, sf_dir):
     """A regression inside each supplier's series, through a pipeline that was saved and loaded."""
-    train, test = chrono_split(supplier_bars(spark, sf_dir))
+    train, test = chrono_split(supplier_bars(spark, sf_dir, ["open", "close"]))
     pipeline = build_pipeline(tune.linear(fitIntercept=False), "close", num=["open"], cat=["symbol"])
     path = fresh_path(spark, "pipeline")
     serve.save_model(pipeline.fit(train), path)
@@ -140,7 +140,7 @@ FROM bars WINDOW w AS (ORDER BY {draw}, date, symbol)"""
 @query(f"WITH {SUPPLIER_BARS} {_dealt_sql(1, 16)} UNION ALL {_dealt_sql(2, 32)}")
 def seq_minibatches(spark, sf_dir):
     """Two epochs of batches, of 16 and of 32 rows: each row is in one batch of an epoch."""
-    rows = supplier_bars(spark, sf_dir).select("symbol", "date")
+    rows = supplier_bars(spark, sf_dir, [])
     dealt = [
         minibatches(rows, ("date", "symbol"), size, epoch).withColumn("epoch", F.lit(epoch))
         for epoch, size in ((1, 16), (2, 32))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from catalog import tables
 from check import TABLES, rows_of
 
 DATA = entry.SMOKE_DIR
@@ -40,3 +41,29 @@ def test_entry(spark):
 
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(
+    "name, columns",
+    [
+        ("chrono_split_sizes", []),
+        ("chrono_split_by_symbol", ["close"]),
+        ("directional_accuracy", ["close"]),
+        ("minmax_scaled", ["open", "high", "low", "volume"]),
+    ],
+)
+def test_staged_bars_hold_what_is_read(spark, monkeypatch, name, columns):
+    """Bars are nearly as many as trades: no column is aggregated, shuffled and written that nobody reads."""
+    seen = []
+    once = tables.stage_once
+
+    def staged(df, label):
+        seen.append(df)
+        return once(df, label)
+
+    monkeypatch.setattr(tables, "stage_once", staged)
+    entry.queries()[name](spark, DATA).collect()
+    assert [df.columns for df in seen] == [["symbol", "date", *columns]]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert ("markdown" in plan, "sum(" in plan) == (False, "volume" in columns)
+    assert dict(seen[0].dtypes)["symbol"] == "string"
