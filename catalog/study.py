@@ -307,9 +307,7 @@ SELECT symbol, date, close, rn <= total * 80 // 100 AS in_train FROM (
          count(*) OVER (PARTITION BY symbol) AS total FROM bars)"""
 )
 def chrono_split_by_symbol(spark, sf_dir):
-    rows = supplier_bars(spark, sf_dir, ["close"])
-    train, test = ordering.chrono_split_series(rows)
-    return train.withColumn("in_train", F.lit(True)).unionAll(test.withColumn("in_train", F.lit(False)))
+    return ordering.chrono_marked_series(supplier_bars(spark, sf_dir, ["close"]))
 
 
 SIDES = ["l_suppkey", "l_quantity", "l_linestatus"]

@@ -52,6 +52,8 @@ def bars(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> Data
         size="l_quantity",
         sequence=sequence_number(),
         markdown="l_discount",
+        # a supplier has little more than one line item a day
+        combine=symbol != "l_suppkey",
     )
     # text only now: a number is the shorter key of the trades
     return found.withColumn("symbol", F.col("symbol").cast("string"))

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from catalog import tables
@@ -67,3 +68,16 @@ def test_staged_bars_hold_what_is_read(spark, monkeypatch, name, columns):
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert ("markdown" in plan, "sum(" in plan) == (False, "volume" in columns)
     assert dict(seen[0].dtypes)["symbol"] == "string"
+
+
+def test_sparse_trades_are_shuffled_uncombined(spark):
+    """Bars of suppliers are the same, with nothing combined in front of the shuffle."""
+    sparse = tables.bars(spark, DATA, "l_suppkey")
+    plan = sparse._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    assert "RepartitionByExpression" not in tables.bars(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    rows = tables.table(spark, DATA, "lineitem").selectExpr("*", "l_suppkey AS key")
+    combined = tables.bars_from_trades(
+        rows, F.col("key").cast("string"), "l_shipdate", "l_extendedprice", "l_quantity", tables.sequence_number(), "l_discount"
+    )
+    assert sorted(sparse.collect()) == sorted(combined.collect())

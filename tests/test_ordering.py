@@ -148,3 +148,21 @@ def test_timestamp_order(spark):
     assert train.count() == 400 and test.count() == 100
     ranked = sorted(od.global_rank(df, ("ts", "k"), max_cell=10).collect(), key=lambda r: r["ts"])
     assert [r["rank"] for r in ranked] == list(range(1, 501))
+
+
+def test_marked_series(spark, bars):
+    """Both parts in one table, any column types, ties with the cut in front."""
+    rows = bars.select("symbol", "date", F.create_map(F.lit("a"), "close").alias("m x"))
+    found = od.chrono_marked_series(rows, line=Timeline(width=9))
+    assert found.columns == [*rows.columns, "in_train"]
+    got = by_series(found.collect())
+    for name, held in by_series(bars.collect()).items():
+        k = len(held) * 80 // 100
+        assert [(r["date"], r["m x"]["a"], r["in_train"]) for r in got[name]] == [
+            (r["date"], r["close"], i < k) for i, r in enumerate(held)
+        ]
+    days = [dt.date(2024, 1, d) for d in (1, 2, 2, 2, 3)]
+    tied = spark.createDataFrame([("s", d, k) for k, d in enumerate(days)], "symbol string, date date, k int")
+    marks = {r["k"]: r["in_train"] for r in od.chrono_marked_series(tied, 40).collect()}
+    assert marks == {0: True, 1: True, 2: True, 3: True, 4: False}
+    assert not any(r["in_train"] for r in od.chrono_marked_series(tied.filter("k = 0")).collect())

@@ -219,18 +219,45 @@ def series_cuts(df: DataFrame, wanted: Column, line: Timeline = DAILY) -> DataFr
     )
 
 
-def chrono_split_series(
-    df: DataFrame, numerator: int = 80, denominator: int = 100, line: Timeline = DAILY
-) -> Split:
-    """:func:`chrono_split` inside each series."""
+def chrono_marked_series(
+    df: DataFrame, numerator: int = 80, denominator: int = 100, line: Timeline = DAILY, name: str = "in_train"
+) -> DataFrame:
+    """``df`` with a boolean ``name``: the first floor(n · numerator / denominator) rows of each series.
+
+    Rows that tie with the last of them on the time are among them. One wide shuffle: a bucket becomes an array
+    of its rows, its size gives the number of rows before it, and only the bucket with the cut is sorted.
+    """
     if not 0 < numerator < denominator:
         raise ValueError("the train share must lie between 0 and 1")
-    share = F.expr(f"_total * {int(numerator)} div {int(denominator)}")
-    tagged = df.join(series_cuts(df, share, line), list(line.by), "left")
-    in_train = F.coalesce(F.col(line.order) <= F.col("_cut"), F.lit(False))
-    return Split(
-        tagged.filter(in_train).select(*df.columns), tagged.filter(~in_train).select(*df.columns)
+    others = [c for c in df.columns if c not in line.by]
+    entry = F.struct(*[F.col(f"`{c}`") for c in others])
+    buckets = line.bucketed(df).groupBy(*line.cell).agg(F.collect_list(entry).alias("_rows"))
+    size = F.size("_rows").cast("bigint")
+    earlier = F.coalesce(F.sum(size).over(line.earlier_buckets()), F.lit(0))
+    cells = (
+        buckets.withColumns({"_offset": earlier, "_total": F.sum(size).over(Window.partitionBy(*line.by))})
+        # how many rows of the bucket are in front, if there are so many
+        .select(*line.cell, F.expr(f"_total * {int(numerator)} div {int(denominator)} - _offset").alias("_k"))
     )
+    times = F.sort_array(F.transform("_rows", lambda row: row[line.order]))
+    cut = F.when((F.col("_k") >= 1) & (F.col("_k") <= size), F.get(times, (F.col("_k") - 1).cast("int")))
+    marked = F.transform(
+        "_rows",
+        lambda row: F.struct(
+            *[row[c].alias(c) for c in others],
+            F.coalesce(row[line.order] <= F.col("_cut"), F.col("_k") > size).alias(name),
+        ),
+    )
+    rows = buckets.join(cells, list(line.cell)).withColumn("_cut", cut)
+    return rows.select(*line.by, F.inline(marked)).select(*[f"`{c}`" for c in df.columns], name)
+
+
+def chrono_split_series(
+    df: DataFrame, numerator: int = 80, denominator: int = 100, line: Timeline = DAILY
+) -> Split:
+    """:func:`chrono_split` inside each series; :func:`chrono_marked_series` has both parts in one table."""
+    marked = chrono_marked_series(df, numerator, denominator, line, "_in_train")
+    return Split(marked.filter("_in_train").drop("_in_train"), marked.filter("NOT _in_train").drop("_in_train"))
 
 
 def horizon(
@@ -323,6 +350,7 @@ def rolling_origin_folds(df: DataFrame, folds: int, first: str = "date") -> Data
 
 __all__ = [
     "Split",
+    "chrono_marked_series",
     "chrono_split",
     "chrono_split_series",
     "fold_column",

@@ -151,18 +151,24 @@ def bars_from_trades(
     size: str,
     sequence: Column,
     markdown: str,
+    combine: bool = True,
 ) -> DataFrame:
     """One bar per (symbol, day) out of single trades.
 
     ``sequence`` orders the trades of a day. Give one number rather than a struct: then every
     aggregation buffer is a primitive, and Spark combines in hash tables on the map side instead of
     sorting all trades first. ``adj_close`` takes the largest ``markdown`` of the day off the close.
+
+    Without ``combine`` trades are shuffled before anything is combined: for tables with few trades per
+    bar, where the hash tables of a map task would hold a bar for nearly each trade and spill.
     """
+    keyed = trades.withColumns(
+        {"_symbol": F.col(symbol) if isinstance(symbol, str) else symbol, "_date": F.to_date(when)}
+    )
+    if not combine:
+        keyed = keyed.repartition("_symbol", "_date")
     return (
-        trades.groupBy(
-            (F.col(symbol) if isinstance(symbol, str) else symbol).alias("symbol"),
-            F.to_date(when).alias("date"),
-        )
+        keyed.groupBy(F.col("_symbol").alias("symbol"), F.col("_date").alias("date"))
         .agg(
             F.min_by(price, sequence).alias("open"),
             F.max(price).alias("high"),
