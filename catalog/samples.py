@@ -373,6 +373,6 @@ SELECT count(*) AS n,
 FROM moves WHERE previous IS NOT NULL"""
 )
 def directional_accuracy(spark, sf_dir):
-    predicted = predictions_by_lag(supplier_bars(spark, sf_dir, ["close"]), 2)
-    found = metrics.directional_accuracy(predicted)
+    predicted = predictions_by_lag(supplier_bars(spark, sf_dir, ["close"]), 2, keep_bucket=True)
+    found = metrics.directional_accuracy(predicted, bucketed=True)
     return found.withColumn("directional_accuracy", F.round("directional_accuracy", 8))

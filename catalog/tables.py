@@ -93,12 +93,17 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions_by_lag(history: DataFrame, depth: int) -> DataFrame:
-    """A predictor both engines can state: the close ``depth`` rows earlier."""
-    lagged = add_lags(history.select("symbol", "date", "close"), ["close"], [depth])
+def predictions_by_lag(history: DataFrame, depth: int, keep_bucket: bool = False) -> DataFrame:
+    """A predictor both engines can state: the close ``depth`` rows earlier.
+
+    With ``keep_bucket``, rows keep the bucket that the lags put them in, for further lags.
+    """
+    rows = history.select("symbol", "date", "close")
+    lagged = add_lags(rows, ["close"], [depth], keep_bucket=keep_bucket)
     return lagged.filter(F.col(f"close_lag_{depth}").isNotNull()).select(
         "symbol",
         "date",
+        *(["_bucket"] if keep_bucket else []),
         F.col("close").alias("label"),
         F.col(f"close_lag_{depth}").alias("prediction"),
     )

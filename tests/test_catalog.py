@@ -81,3 +81,12 @@ def test_sparse_trades_are_shuffled_uncombined(spark):
         rows, F.col("key").cast("string"), "l_shipdate", "l_extendedprice", "l_quantity", tables.sequence_number(), "l_discount"
     )
     assert sorted(sparse.collect()) == sorted(combined.collect())
+
+
+def test_directional_accuracy_shuffles_its_bars_once(spark):
+    """The second lag finds the rows in the buckets of the first."""
+    found = entry.queries()["directional_accuracy"](spark, DATA)
+    found.collect()
+    lines = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    wide = [a for a, b in zip(lines, lines[1:]) if "Exchange hash" in a and "partial_collect_list" in b]
+    assert len(wide) == 1

@@ -108,6 +108,20 @@ def test_lags_take_one_scan_and_one_wide_shuffle(spark, tmp_path):
     assert "ReusedExchange" in plan
 
 
+@pytest.mark.parametrize("line", LINES, ids=lambda x: f"w{x.width}")
+def test_lags_of_lagged_rows(bars, line):
+    """Lags over what a filter on other lags leaves: the same with the rows left in their buckets."""
+    def twice(kept):
+        once = tl.add_lags(bars, ["close"], [2], line, keep_bucket=kept).filter("close_lag_2 IS NOT NULL")
+        found = tl.add_lags(once, ["close"], [1, 3], line, bucketed=kept)
+        assert found.columns == [*bars.columns, "close_lag_2", "close_lag_1", "close_lag_3"]
+        return sorted(found.collect(), key=lambda r: (r["symbol"], r["date"]))
+
+    rows = twice(True)
+    assert rows and rows == twice(False)
+    assert tl.add_lags(bars, ["close"], [1], line, keep_bucket=True).columns == [*bars.columns, "_bucket", "close_lag_1"]
+
+
 @pytest.mark.parametrize("depth", [1, 5, 40, 400])
 def test_deep_lags_of_sparse_series(spark, depth):
     rows = make_bars(spark, uneven_series())

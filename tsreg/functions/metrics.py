@@ -49,13 +49,20 @@ def metric_rows(metrics: DataFrame, ids: Sequence[str] = ()) -> DataFrame:
 
 
 def directional_accuracy(
-    df: DataFrame, label: str = "label", prediction: str = "prediction", line: Timeline = DAILY
+    df: DataFrame,
+    label: str = "label",
+    prediction: str = "prediction",
+    line: Timeline = DAILY,
+    bucketed: bool = False,
 ) -> DataFrame:
     """Share of rows whose predicted move from the previous actual value has the actual sign.
 
-    The first row of each series has no previous value and is left out.
+    The first row of each series has no previous value and is left out. ``bucketed``: the rows have kept
+    their ``_bucket`` from an earlier :func:`add_lags` on the same ``line`` and are not shuffled again.
     """
-    moves = add_lags(df.select(*line.by, line.order, label, prediction), [label], [1], line)
+    key = line.cell if bucketed else line.by
+    rows = df.select(*key, line.order, label, prediction)
+    moves = add_lags(rows, [label], [1], line, bucketed=bucketed)
     previous = F.col(f"{label}_lag_1")
     hit = F.signum(F.col(prediction) - previous) == F.signum(F.col(label) - previous)
     return moves.agg(

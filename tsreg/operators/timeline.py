@@ -137,21 +137,29 @@ def _carried(tails: DataFrame, line: Timeline, depth: int) -> DataFrame:
 
 
 def add_lags(
-    df: DataFrame, columns: Sequence[str], depths: Iterable[int], line: Timeline = DAILY
+    df: DataFrame,
+    columns: Sequence[str],
+    depths: Iterable[int],
+    line: Timeline = DAILY,
+    bucketed: bool = False,
+    keep_bucket: bool = False,
 ) -> DataFrame:
     """``<column>_lag_<k>``: the value k rows earlier in the series, null before its start.
 
     One wide shuffle: a bucket becomes an array of its rows, in which the lags are looked up, and the
     carried entries come from the same arrays. Columns must have types that can be ordered.
+
+    ``keep_bucket`` leaves the column ``_bucket`` on the rows. A second call on them, or on a part of
+    them, with ``bucketed`` and the same ``line`` finds each bucket in one place and shuffles no rows.
     """
     wanted = sorted(set(depths))
     if not wanted or wanted[0] < 1:
         raise ValueError("lags must be 1 or more")
-    others = [c for c in df.columns if c not in (*line.by, line.order)]
+    named = [c for c in df.columns if not (bucketed and c == "_bucket")]
+    others = [c for c in named if c not in (*line.by, line.order)]
     entry = F.struct(line.order, *others)
-    buckets = (
-        line.bucketed(df).groupBy(*line.cell).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
-    )
+    placed = df if bucketed else line.bucketed(df)
+    buckets = placed.groupBy(*line.cell).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
     lagged = F.transform(
         _last(F.col("_rows"), wanted[-1]), lambda row: F.struct(*[row[c].alias(c) for c in columns])
     )
@@ -168,8 +176,9 @@ def add_lags(
         return F.struct(*[row[c].alias(c) for c in (line.order, *others)], *lags)
 
     joined = buckets.join(carried.select(*line.cell, "_carry"), list(line.cell), "left")
-    rows = joined.select(*line.by, F.inline(F.transform("_rows", with_lags)))
-    return rows.select(*df.columns, *[f"{c}_lag_{k}" for c in columns for k in wanted])
+    kept = ["_bucket"] if keep_bucket else []
+    rows = joined.select(*line.by, *kept, F.inline(F.transform("_rows", with_lags)))
+    return rows.select(*named, *kept, *[f"{c}_lag_{k}" for c in columns for k in wanted])
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str], line: Timeline = DAILY) -> DataFrame:
